@@ -1,6 +1,404 @@
-"""The registered queries of the engine on the driver's tables, and their SQL."""
+"""The registered queries of the engine on the star-schema tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factgraph.functions import canon
+from factgraph.operators import context, graph, links, search, state
+from factgraph.sources import adapter as src
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+CHILD = """child AS (SELECT 'L'||l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS fact_id, 'C'||any_value(o_custkey) AS patient_root, 'O'||l_orderkey AS parent_id,
+ strftime(min(l_shipdate), '%Y-%m-%d') AS ts, 'risk:'||any_value(p_brand) AS t1, 'atc:'||any_value(p_type) AS t2, 'loinc:'||any_value(p_size) AS t3
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey),
+tags AS (SELECT DISTINCT unnest([t1, t2, t3]) AS tag, fact_id, patient_root, ts FROM child)"""
+FREQ = CHILD + """,
+n AS (SELECT patient_root, tag, count(DISTINCT fact_id) AS n FROM tags GROUP BY ALL), total AS (SELECT patient_root, count(DISTINCT fact_id) AS total FROM tags GROUP BY ALL),
+freq AS (SELECT patient_root, tag, n, total, n::DOUBLE / total AS frequency, n::DOUBLE / total >= 0.3 AS frequent FROM n JOIN total USING (patient_root))"""
+PAIRS = FREQ + """,
+rare AS (SELECT t.* FROM tags t JOIN freq f USING (patient_root, tag) WHERE NOT frequent AND (tag LIKE 'risk:%' OR tag LIKE 'atc:%')),
+pair AS (SELECT x.patient_root, x.tag, x.fact_id AS a, y.fact_id AS b, greatest(x.ts, y.ts) AS created_at FROM rare x JOIN rare y ON x.patient_root = y.patient_root AND x.tag = y.tag AND x.fact_id < y.fact_id),
+shared AS (SELECT patient_root, a, b, count(*) AS shared FROM pair GROUP BY ALL),
+cooc AS (SELECT p.patient_root, p.a, p.b, p.tag, shared, shared::DOUBLE AS score, created_at,
+ sha256('{"bead_a":"'||p.a||'","bead_b":"'||p.b||'","matched_tag":"'||p.tag||'","relation":"shared_tag","rule_version":"cooccurrence-v1"}') AS link_id FROM pair p JOIN shared USING (patient_root, a, b))"""
+#: Curated pairs of tags: rule_version, tag_a, tag_b, severity, relation.
+CURATED = [("r1", "risk:Brand#11", "risk:Brand#12", "warning", "interaction"), ("r2", "risk:Brand#3", "atc:PROMO", "critical", "contraindication"), ("r3", "risk:Brand#7", "risk:Brand#19", "info", "interaction")]
+_RULES = "rule(rule_version, tag_a, tag_b, severity, relation) AS (VALUES " + ", ".join(str(r) for r in CURATED) + ")"
+CUR = CHILD + ", " + _RULES + """,
+cur AS (SELECT DISTINCT x.patient_root, least(x.fact_id, y.fact_id) AS a, greatest(x.fact_id, y.fact_id) AS b, tag_a||'|'||tag_b AS tag, rule_version, relation, severity, greatest(x.ts, y.ts) AS created_at
+ FROM rule JOIN tags x ON x.tag = tag_a JOIN tags y ON y.tag = tag_b AND x.patient_root = y.patient_root AND x.fact_id <> y.fact_id)"""
+TURN = """turn AS (SELECT 'T'||conv_id||'-'||turn AS fact_id, CASE WHEN turn > 0 THEN 'T'||conv_id||'-'||(turn - 1) END AS parent_id, conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM conversations)"""
+STATUS = """st AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'retracted' WHEN quality = 0 THEN 'unattested' WHEN quality = 1 THEN 'active' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    return src.tag_rows(src.children(spark, d))
+
+
+def _curated(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(CURATED, "rule_version string, tag_a string, tag_b string, severity string, relation string")
+    return links.curated(_tags(spark, d), rules)
+
+
+def _doc_status(spark: SparkSession, d: str) -> DataFrame:
+    docs, lab = src.table(spark, d, "documents").select("doc_id"), src.table(spark, d, "labels")
+    status = F.when(F.col("toxic") == 1, "retracted").when(F.col("quality") == 0, "unattested").when(F.col("quality") == 1, "active")
+    return docs.join(lab, "doc_id", "left").select("doc_id", status.alias("status"))
+
+
+@register("""SELECT 'C'||c_custkey AS fact_id, sha256('{"amends":[],"content":{"name":'||to_json(c_name)||',"segment":'||to_json(c_mktsegment)||'},"parents":[],"retracts":[],"timestamp":"1900-01-01","type":"patient_registration"}') AS identity FROM customer""")
+def q01_fact_identity(spark: SparkSession, d: str) -> DataFrame:
+    content = F.concat(F.lit('{"name":'), canon.json_string(F.col("c_name")), F.lit(',"segment":'), canon.json_string(F.col("c_mktsegment")), F.lit("}"))
+    text = canon.canonical_fact(F.lit("patient_registration"), F.lit("1900-01-01"), content, F.array().cast("array<string>"))
+    return src.roots(spark, d).select("fact_id", canon.identity(text).alias("identity"))
+
+
+@register("""SELECT 'R'||l_partkey AS fact_id, CASE WHEN count(DISTINCT o_custkey) = 1 THEN 'C'||min(o_custkey) END AS patient_root, count(DISTINCT o_custkey)::BIGINT AS n_roots FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey""")
+def q02_root_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """A report on a part has all its orders as parents; it belongs to their patient, or is shared if there are several."""
+    li, o = src.table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), src.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    found = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey").agg(F.countDistinct("o_custkey").alias("n_roots"), F.min("o_custkey").alias("c"))
+    return found.select(F.concat(F.lit("R"), "l_partkey").alias("fact_id"), F.when(F.col("n_roots") == 1, F.concat(F.lit("C"), "c")).alias("patient_root"), "n_roots")
+
+
+@register(f"WITH {FREQ} SELECT patient_root, tag, n::BIGINT AS n, total::BIGINT AS total, round(frequency, 6) AS frequency, frequent FROM freq")
+def q03_tag_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return links.tag_frequency(_tags(spark, d)).withColumn("frequency", F.round("frequency", 6))
+
+
+@register(f"WITH {PAIRS} SELECT patient_root, a, b, tag, shared::BIGINT AS shared, score, created_at, link_id FROM cooc")
+def q04_cooccurrence_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.cooccurrence(_tags(spark, d))
+
+
+@register()
+def q05_cooccurrence_capped(spark: SparkSession, d: str) -> DataFrame:
+    return links.cooccurrence_capped(_tags(spark, d), links.CooccurrenceRule(cap=5))
+
+
+@register(f"WITH {CUR} SELECT * FROM cur")
+def q06_curated_links(spark: SparkSession, d: str) -> DataFrame:
+    return _curated(spark, d)
+
+
+@register("""SELECT 'C'||o_custkey AS patient_root, 'O'||o_orderkey AS fact_id, strftime(o_orderdate, '%Y-%m-%d') AS ts, coalesce(s.status, 'active') AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d'), 'O'||o_orderkey)::INTEGER AS place
+ FROM orders LEFT JOIN (VALUES ('F', 'retracted'), ('P', 'unattested')) s(k, status) ON o_orderstatus = k""")
+def q07_timeline(spark: SparkSession, d: str) -> DataFrame:
+    e = src.encounters(spark, d)
+    status = e.where("order_status <> 'O'").select(F.col("fact_id").alias("s_id"), F.when(F.col("order_status") == "F", "retracted").otherwise("unattested").alias("status"))
+    joined = e.join(status, F.col("fact_id") == F.col("s_id"), "left")
+    return joined.select("patient_root", "fact_id", "ts", F.coalesce("status", F.lit("active")).alias("status"), F.row_number().over(Window.partitionBy("patient_root").orderBy("ts", "fact_id")).alias("place"))
+
+
+@register(f"WITH {CHILD} SELECT fact_id, patient_root, ts FROM tags WHERE tag = 'risk:Brand#11'")
+def q08_search_tags(spark: SparkSession, d: str) -> DataFrame:
+    return _tags(spark, d).where("tag = 'risk:Brand#11'").select("fact_id", "patient_root", "ts").orderBy("ts", "fact_id")
+
+
+@register("""SELECT g.name AS resource, coalesce(n, 0)::BIGINT AS patients FROM (VALUES ('encounters'), ('observations'), ('events'), ('notes')) g(name) LEFT JOIN (SELECT 'encounters' AS k, count(DISTINCT o_custkey) AS n FROM orders UNION ALL SELECT 'observations', count(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'events', count(DISTINCT user_id) FROM events) ON k = g.name""")
+def q09_resource_counts(spark: SparkSession, d: str) -> DataFrame:
+    o = src.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    li = src.table(spark, d, "lineitem").select("l_orderkey")
+    rows = o.select(F.lit("encounters").alias("resource"), F.col("o_custkey").alias("who"))
+    rows = rows.unionAll(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit("observations"), "o_custkey")).unionAll(src.table(spark, d, "events").select(F.lit("events"), "user_id"))
+    known = spark.createDataFrame([("encounters",), ("observations",), ("events",), ("notes",)], "resource string")
+    return known.join(rows.groupBy("resource").agg(F.countDistinct("who").alias("n")), "resource", "left").select("resource", F.coalesce("n", F.lit(0)).alias("patients"))
+
+
+@register("""SELECT 'C'||o_custkey AS patient_root, strftime(max(o_orderdate), '%Y-%m-%d') AS last_encounter_at, strftime(max(s), '%Y-%m-%d') AS last_clinical_at, strftime(greatest(max(o_orderdate), max(s)), '%Y-%m-%d') AS last_visit_at,
+ strftime(arg_max(o_orderdate, o_orderkey) FILTER (o_orderstatus = 'F'), '%Y-%m-%d') AS deceased_at FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def q10_patient_activity(spark: SparkSession, d: str) -> DataFrame:
+    o = src.table(spark, d, "orders")
+    ship = src.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("s"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return o.join(ship, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.concat(F.lit("C"), "o_custkey").alias("patient_root")).agg(
+        day(F.max("o_orderdate")).alias("last_encounter_at"), day(F.max("s")).alias("last_clinical_at"), day(F.greatest(F.max("o_orderdate"), F.max("s"))).alias("last_visit_at"),
+        day(F.max_by(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")))).alias("deceased_at"))
+
+
+def _state_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as assessments; a label of quality attests its document (1: approved), a label of toxic 1 retracts it; every tenth document amends the one before."""
+    none = F.array().cast("array<string>")
+    docs = src.table(spark, d, "documents").select("doc_id").distinct()
+    me = F.concat(F.lit("D"), "doc_id")
+    a = docs.select(me.alias("fact_id"), F.when(F.col("doc_id") % 3 == 0, "assessment").otherwise("note").alias("type"), none.alias("parents"), F.when((F.col("doc_id") % 10 == 0) & (F.col("doc_id") > 0), F.array(F.concat(F.lit("D"), F.col("doc_id") - 1))).otherwise(none).alias("amends"), none.alias("retracts"), F.lit(None).cast("boolean").alias("approved"), F.col("doc_id").cast("long").alias("append_seq"))
+    lab = src.table(spark, d, "labels").dropDuplicates(["doc_id"])
+    v = lab.where(F.col("quality").isNotNull()).select(F.concat(F.lit("A"), "doc_id").alias("fact_id"), F.lit("attestation").alias("type"), F.array(me).alias("parents"), none.alias("amends"), none.alias("retracts"), (F.col("quality") == 1).alias("approved"), (F.col("doc_id") + 10**9).cast("long").alias("append_seq"))
+    r = lab.where("toxic = 1").select(F.concat(F.lit("X"), "doc_id").alias("fact_id"), F.lit("retraction").alias("type"), F.array(me).alias("parents"), none.alias("amends"), F.array(me).alias("retracts"), F.lit(None).cast("boolean").alias("approved"), (F.col("doc_id") + 2 * 10**9).cast("long").alias("append_seq"))
+    return a.unionByName(v).unionByName(r)
+
+
+@register("""WITH d AS (SELECT DISTINCT doc_id FROM documents), f AS (SELECT d.doc_id, 'D'||d.doc_id AS fact_id, d.doc_id % 3 = 0 AS assess, CASE WHEN d.doc_id % 10 = 0 AND d.doc_id > 0 THEN d.doc_id - 1 END AS amends, l.quality, l.toxic FROM d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+g AS (SELECT *, coalesce(toxic, 0) = 1 AS gone, (assess OR amends IS NOT NULL) AND coalesce(quality, 0) <> 1 AS open FROM f)
+SELECT g.fact_id, CASE WHEN g.gone THEN 'retracted' WHEN g.open THEN 'unattested' WHEN w.fact_id IS NOT NULL THEN 'amended' ELSE 'active' END AS status,
+ CASE WHEN g.gone THEN NULL WHEN g.open OR w.fact_id IS NULL THEN g.fact_id WHEN w.gone THEN NULL ELSE w.fact_id END AS current_id,
+ CASE WHEN NOT g.gone AND NOT g.open THEN w.fact_id END AS superseded_by, CASE WHEN g.quality = 1 OR (g.assess OR g.amends IS NOT NULL) THEN 'A'||CASE WHEN g.quality IS NOT NULL THEN g.doc_id END END AS attestation_id, CASE WHEN g.gone THEN 'X'||g.doc_id END AS retraction_id
+FROM g LEFT JOIN g w ON w.amends = g.doc_id AND NOT w.open""")
+def q11_record_state(spark: SparkSession, d: str) -> DataFrame:
+    return state.record_state(_state_facts(spark, d)).where(F.col("fact_id").startswith("D"))
+
+
+@register(f"WITH {TURN}, m AS (SELECT conv_id, max(turn) AS last FROM turn GROUP BY 1) SELECT fact_id AS id, 'T'||conv_id||'-'||last AS leaf FROM turn JOIN m USING (conv_id) WHERE turn < last")
+def q12_amend_chain(spark: SparkSession, d: str) -> DataFrame:
+    t = src.turns(spark, d)
+    return state.chain_leaf(t.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id"), F.col("fact_id").alias("next")))
+
+
+@register(f"WITH {STATUS} SELECT doc_id FROM st WHERE status = 'active'")
+def q13_active_list(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_status(spark, d).where("status = 'active'").select("doc_id")
+
+
+@register(f"WITH {TURN} SELECT a.fact_id AS start, b.fact_id, (a.turn - b.turn)::INTEGER AS depth FROM turn a JOIN turn b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 3 AND a.turn")
+def q14_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    t = src.turns(spark, d)
+    return graph.reach(t.select("fact_id"), t.where(F.col("parent_id").isNotNull()).select(F.col("fact_id").alias("src"), F.col("parent_id").alias("dst")), 3)
+
+
+@register(f"WITH {CHILD} SELECT c AS start, fact_id, depth FROM (SELECT 'C'||c_custkey AS c, 'C'||c_custkey AS fact_id, 0::INTEGER AS depth FROM customer UNION ALL SELECT 'C'||o_custkey, 'O'||o_orderkey, 1 FROM orders UNION ALL SELECT patient_root, fact_id, 2 FROM child)")
+def q15_descendants(spark: SparkSession, d: str) -> DataFrame:
+    down = src.encounters(spark, d).select(F.col("patient_root").alias("src"), F.col("fact_id").alias("dst")).unionByName(src.children(spark, d).select(F.col("parent_id").alias("src"), F.col("fact_id").alias("dst")))
+    return graph.reach(src.roots(spark, d).select("fact_id"), down, 2)
+
+
+@register(f"""WITH RECURSIVE {TURN}, e AS (SELECT fact_id AS src, parent_id AS dst FROM turn WHERE parent_id IS NOT NULL UNION SELECT 'T'||(conv_id + 1)||'-0', fact_id FROM turn WHERE turn = 0),
+r(start, fact_id, depth) AS (SELECT fact_id, fact_id, 0 FROM turn WHERE turn = 1 UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.fact_id = e.src WHERE r.depth < 5) SELECT start, fact_id, min(depth)::INTEGER AS depth FROM r GROUP BY ALL""")
+def q16_chain_across(spark: SparkSession, d: str) -> DataFrame:
+    """Ancestors over the edges of all patients: each conversation's first turn also has that of the conversation before as a parent."""
+    t = src.turns(spark, d)
+    e = t.where(F.col("parent_id").isNotNull()).select(F.col("fact_id").alias("src"), F.col("parent_id").alias("dst"))
+    across = t.where("turn = 0").select(F.concat(F.lit("T"), F.col("conv_id") + 1, F.lit("-0")).alias("src"), F.col("fact_id").alias("dst"))
+    return graph.reach(t.where("turn = 1").select("fact_id"), e.unionByName(across), 5)
+
+
+@register("""SELECT 'C'||c_custkey AS fact_id, CASE WHEN NOT (c_mktsegment = 'AUTOMOBILE' OR c_mktsegment = 'BUILDING') THEN c_name ELSE '{"_restricted":true}' END AS content, NOT (c_mktsegment = 'AUTOMOBILE' OR c_mktsegment = 'BUILDING') AS access FROM customer""")
+def q17_clearance_mask(spark: SparkSession, d: str) -> DataFrame:
+    facts = src.roots(spark, d).select("fact_id", F.col("c_name").alias("content"), "c_mktsegment")
+    names = lambda *x: F.array(*[F.lit(r) for r in x]).cast("array<string>")
+    deny = facts.where("c_mktsegment = 'AUTOMOBILE'").select("fact_id", names("insurance").alias("denied_roles"), names().alias("allowed_roles"), F.lit(None).cast("string").alias("expires_at"))
+    only = facts.where("c_mktsegment = 'BUILDING'").select("fact_id", names().alias("denied_roles"), names("dept:genetics").alias("allowed_roles"), F.lit("2999-01-01").alias("expires_at"))
+    past = facts.where("c_mktsegment = 'MACHINERY'").select("fact_id", names("insurance").alias("denied_roles"), names().alias("allowed_roles"), F.lit("2001-01-01T00:00:00Z").alias("expires_at"))
+    rules = state.active_rules(deny.unionByName(only).unionByName(past), "2024-06-01 00:00:00")
+    return state.mask(state.access(facts, rules, ["insurance"])).select("fact_id", "content", "access")
+
+
+@register(f"WITH {STATUS} SELECT doc_id, coalesce(status, 'active') <> 'retracted' AS keep, CASE WHEN coalesce(status, 'active') <> 'retracted' THEN 'D'||doc_id END AS resolved_id, coalesce(status, 'active') = 'unattested' AS not_for_clinical_action FROM st")
+def q18_status_resolve(spark: SparkSession, d: str) -> DataFrame:
+    out = state.resolve_status(F.col("status"), F.lit(None).cast("string"), F.concat(F.lit("D"), "doc_id"), include_unattested=True)
+    return _doc_status(spark, d).select("doc_id", *[c.alias(k) for k, c in out.items()])
+
+
+@register("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'the ')")
+def q19_text_match(spark: SparkSession, d: str) -> DataFrame:
+    return search.text_match(src.notes(spark, d), ["tion", "The "]).select("doc_id")
+
+
+@register("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), g(g) AS (SELECT DISTINCT substr('ention', i, 3) FROM generate_series(1, 4) s(i)),
+c AS (SELECT doc_id, g, len(list_filter(generate_series(1, greatest(length(t) - 2, 0)), lambda i: substr(t, i, 3) = g)) AS c FROM d, g), n AS (SELECT count(*) AS docs, avg(greatest(length(t) - 2, 0)) AS mean FROM d),
+f AS (SELECT g, count(*) FILTER (c > 0) AS df FROM c GROUP BY 1)
+SELECT d.doc_id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * greatest(length(t) - 2, 0) / mean))), 6) AS score FROM d JOIN c USING (doc_id) JOIN f USING (g), n WHERE contains(t, 'ention') GROUP BY d.doc_id ORDER BY 2 DESC, 1 LIMIT 50""")
+def q20_trigram_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return search.trigram_bm25(src.notes(spark, d), "ention").withColumn("score", F.round("score", 6))
+
+
+@register("""SELECT item_id, coalesce(list_sort(list_transform(regexp_extract_all(text, '[A-Za-z]{4,}'), lambda w, i: {'n': -length(w), 'i': i, 'w': lower(w)}))[1].w, 'encounter') AS word FROM benchmark""")
+def q21_safe_query_word(spark: SparkSession, d: str) -> DataFrame:
+    return src.table(spark, d, "benchmark").select("item_id", canon.safe_query_word(F.col("text")).alias("word"))
+
+
+_KNN = """WITH q AS (SELECT vec_id AS query_id, embedding AS v, label AS l FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))), 6) AS distance FROM embeddings, q WHERE vec_id <> query_id {0}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM x) SELECT * FROM r WHERE rank <= 10"""
+
+
+def _vector_queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = src.table(spark, d, "embeddings")
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+
+
+@register(_KNN.format(""))
+def q22_knn(spark: SparkSession, d: str) -> DataFrame:
+    e, q = _vector_queries(spark, d)
+    return search.knn(e, q)
+
+
+@register(_KNN.format("AND label = l"))
+def q23_knn_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    e, q = _vector_queries(spark, d)
+    return search.knn(e, q, partition="label")
+
+
+@register(f"""SELECT coalesce(a.id, b.id) AS id, a.id IS NOT NULL AS by_text, distance FROM (SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'ention')) a FULL JOIN (SELECT vec_id AS id, min(distance) AS distance FROM ({_KNN.format("")}) WHERE query_id = 0 GROUP BY 1) b ON a.id = b.id""")
+def q24_hybrid_anchors(spark: SparkSession, d: str) -> DataFrame:
+    e, q = _vector_queries(spark, d)
+    hits = search.text_match(src.notes(spark, d), ["ention"]).select(F.col("doc_id").alias("id"))
+    return search.hybrid(hits, search.knn(e, q.where("query_id = 0")).select(F.col("vec_id").alias("id"), "distance"))
+
+
+@register("""SELECT doc_id, (strlen(text) // 3)::BIGINT AS tokens, s AS summary FROM (SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents), LATERAL (SELECT coalesce(list_filter(l, lambda x: x[1] = '#')[1], l[1], '') AS line), LATERAL (SELECT CASE WHEN strlen(line) <= 200 THEN line ELSE (SELECT max(substr(line, 1, n)) FROM generate_series(50, 200) g(n) WHERE strlen(substr(line, 1, n)) <= 200) END AS s)""")
+def q25_token_estimate_summary(spark: SparkSession, d: str) -> DataFrame:
+    return src.notes(spark, d).select("doc_id", canon.token_estimate(F.col("text")).alias("tokens"), canon.note_summary(F.col("text")).alias("summary"))
+
+
+@register("""SELECT source, doc_id, used FROM (SELECT source, doc_id, sum(15 + strlen(coalesce(text, '')) // 3) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 4000""")
+def q26_pack_stop(spark: SparkSession, d: str) -> DataFrame:
+    items = src.table(spark, d, "documents").select("source", "doc_id", (F.lit(15) + canon.token_estimate(F.coalesce("text", F.lit("")))).alias("tokens"))
+    return context.pack_stop(items, 4000, "source", ["doc_id"]).select("source", "doc_id", "used")
+
+
+@register()
+def q27_pack_demote(spark: SparkSession, d: str) -> DataFrame:
+    t = src.turns(spark, d)
+    items = t.select(F.col("conv_id").alias("query"), "fact_id", F.when(F.col("turn") == 0, 0).when(F.col("role") == "system", 2).otherwise(F.least(F.col("turn"), F.lit(3))).cast("int").alias("tier"), F.lit(0).alias("link_rank"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("ts"), (F.lit(canon.REFERENCE_TOKENS) + canon.token_estimate(F.coalesce("text", F.lit("")))).alias("tokens"))
+    return context.pack_demote(items, 600)
+
+
+def _all_links(spark: SparkSession, d: str) -> DataFrame:
+    c = links.cooccurrence(_tags(spark, d)).select("patient_root", "a", "b", "tag", "created_at", "link_id", F.lit("info").alias("severity"), F.lit("cooccurrence").alias("evidence_basis"), F.lit("shared_tag").alias("relation"), F.lit("cooccurrence-v1").alias("rule_version"))
+    u = _curated(spark, d).select("patient_root", "a", "b", "tag", "created_at", canon.link_id(F.col("a"), F.col("b"), F.col("tag"), F.col("relation"), F.col("rule_version")).alias("link_id"), "severity", F.lit("curated_knowledge").alias("evidence_basis"), "relation", "rule_version")
+    return c.unionByName(u)
+
+
+_LINKS = PAIRS + ", " + CUR.removeprefix(CHILD + ", ") + """,
+lk AS (SELECT patient_root, a, b, tag, created_at, link_id, 3 AS s, 2 AS e FROM cooc UNION ALL SELECT patient_root, a, b, tag, created_at,
+ sha256('{"bead_a":"'||a||'","bead_b":"'||b||'","matched_tag":"'||tag||'","relation":"'||relation||'","rule_version":"'||rule_version||'"}'), CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 2 ELSE 3 END, 1 FROM cur),
+seed AS (SELECT patient_root AS query, min(fact_id) AS fact_id FROM child GROUP BY 1), en AS (SELECT a AS src, b AS dst, * FROM lk UNION ALL SELECT b, a, * FROM lk),
+p1 AS (SELECT query, dst AS fact_id, link_id, created_at, s, e, row_number() OVER (PARTITION BY query, dst ORDER BY s, e, created_at DESC, link_id) AS rn FROM seed JOIN en ON src = fact_id WHERE dst <> fact_id),
+h1 AS (SELECT * FROM p1 WHERE rn = 1)"""
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return src.children(spark, d).groupBy(F.col("patient_root").alias("query")).agg(F.min("fact_id").alias("fact_id"))
+
+
+@register(f"""WITH {_LINKS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s, e, created_at DESC, link_id, fact_id) AS rank, count(*) OVER (PARTITION BY query) AS candidates FROM h1)
+SELECT query, fact_id, link_id AS via_link_id, 1::INTEGER AS depth, rank::INTEGER AS rank, candidates::BIGINT AS candidates FROM r WHERE rank <= 20""")
+def q28_link_expansion_1(spark: SparkSession, d: str) -> DataFrame:
+    return graph.expand_links(_seeds(spark, d), _all_links(spark, d), 1)
+
+
+@register(f"""WITH {_LINKS}, p2 AS (SELECT h.query, dst AS fact_id, n.link_id, n.created_at, n.s, n.e, row_number() OVER (PARTITION BY h.query, dst ORDER BY n.s, n.e, n.created_at DESC, n.link_id) AS rn FROM h1 h JOIN en n ON n.src = h.fact_id
+ WHERE NOT EXISTS (SELECT 1 FROM h1 x WHERE x.query = h.query AND x.fact_id = n.dst) AND NOT EXISTS (SELECT 1 FROM seed x WHERE x.query = h.query AND x.fact_id = n.dst)),
+u AS (SELECT *, 1 AS depth FROM h1 UNION ALL SELECT *, 2 FROM p2 WHERE rn = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY depth, s, e, created_at DESC, link_id, fact_id) AS rank, count(*) OVER (PARTITION BY query) AS candidates FROM u)
+SELECT query, fact_id, link_id AS via_link_id, depth::INTEGER AS depth, rank::INTEGER AS rank, candidates::BIGINT AS candidates FROM r WHERE rank <= 20""")
+def q29_link_expansion_2(spark: SparkSession, d: str) -> DataFrame:
+    return graph.expand_links(_seeds(spark, d), _all_links(spark, d), 2)
+
+
+@register(f"WITH {CHILD} SELECT c.patient_root, count(*)::BIGINT AS edges FROM child c JOIN orders o ON c.parent_id = 'O'||o_orderkey WHERE o_orderstatus <> 'F' AND c.ts >= '1996' GROUP BY 1")
+def q30_graph_view(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between shown facts, by patient: hidden encounters and old children take their edges along."""
+    kids, enc = src.children(spark, d), src.encounters(spark, d)
+    nodes = enc.where("order_status <> 'F'").select("fact_id").unionByName(kids.where("ts >= '1996'").select("fact_id"))
+    _, kept = graph.graph_view(nodes, kids.select(F.col("fact_id").alias("src"), F.col("parent_id").alias("dst"), "patient_root"))
+    return kept.groupBy("patient_root").agg(F.count("*").alias("edges"))
+
+
+@register("""SELECT user_id, event_id, next_id FROM (SELECT user_id, event_id, ts, lead(event_id) OVER w AS next_id, lead(ts) OVER w AS next_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE next_ts > ts""")
+def q31_temporal_pairs(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = src.table(spark, d, "events").select("user_id", "event_id", "ts", F.lead("event_id").over(w).alias("next_id"), F.lead("ts").over(w).alias("next_ts"))
+    return e.where(F.col("next_ts") > F.col("ts")).select("user_id", "event_id", "next_id")
+
+
+@register(f"WITH {CHILD} SELECT patient_root, tag, count(*)::BIGINT AS n, string_agg(fact_id, ',' ORDER BY ts, fact_id) AS facts FROM tags WHERE tag LIKE 'risk:%' GROUP BY ALL HAVING count(*) >= 2")
+def q32_interaction_surface(spark: SparkSession, d: str) -> DataFrame:
+    t = _tags(spark, d).where(F.col("tag").startswith("risk:")).distinct().groupBy("patient_root", "tag").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "fact_id"))).alias("x"))
+    return t.where("n >= 2").select("patient_root", "tag", "n", F.array_join(F.col("x.fact_id"), ",").alias("facts"))
+
+
+@register(f"WITH {CHILD} SELECT parent_id, count(*)::BIGINT AS n, min(ts) AS first_ts, max(ts) AS last_ts, string_agg(fact_id, ',' ORDER BY ts, fact_id) AS facts FROM child GROUP BY 1")
+def q33_encounter_context(spark: SparkSession, d: str) -> DataFrame:
+    return src.children(spark, d).groupBy("parent_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_join(F.array_sort(F.collect_list(F.struct("ts", "fact_id")))["fact_id"], ",").alias("facts"))
+
+
+@register("""WITH w AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS gold, list_distinct(list_slice(string_split(lower(text), ' '), 1, 20)) AS got FROM benchmark)
+SELECT item_id, round(CASE WHEN len(gold) = 0 THEN 0 ELSE len(list_intersect(gold, got))::DOUBLE / len(gold) END, 6) AS recall, round(CASE WHEN len(got) = 0 THEN 0 ELSE len(list_intersect(gold, got))::DOUBLE / len(got) END, 6) AS precision FROM w""")
+def q34_retrieval_score(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.operators.evalkit import recall_precision
+
+    words = F.split(F.lower("text"), " ")
+    return recall_precision(src.table(spark, d, "benchmark").select("item_id", F.array_distinct(words).alias("gold"), F.array_distinct(F.slice(words, 1, 20)).alias("got")), "item_id")
+
+
+@register("SELECT event_type, count(*)::BIGINT AS n, quantile_disc(value, 0.5)::DOUBLE AS p50, quantile_disc(value, 0.95)::DOUBLE AS p95, max(value) AS worst FROM events GROUP BY 1")
+def q35_latency_stats(spark: SparkSession, d: str) -> DataFrame:
+    return src.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("worst"))
+
+
+@register("""WITH a AS (SELECT o_custkey, max(o_orderdate) AS last, bool_or(o_orderpriority = '1-URGENT') AS dead FROM orders GROUP BY 1), s AS (SELECT c_custkey, 'C'||c_custkey AS patient_root, strftime(last, '%Y-%m-%d') AS last_visit_at, CASE WHEN last IS NULL THEN 1 WHEN dead THEN 2 WHEN last >= TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS tier FROM customer LEFT JOIN a ON o_custkey = c_custkey)
+SELECT patient_root, last_visit_at, tier::INTEGER AS tier, row_number() OVER (ORDER BY tier, last_visit_at DESC NULLS LAST, patient_root)::INTEGER AS place FROM s ORDER BY place LIMIT 64""")
+def q36_reprojection_priority(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.plans.runs import reprojection_queue
+
+    a = src.table(spark, d, "orders").groupBy(F.concat(F.lit("C"), "o_custkey").alias("patient_root")).agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_visit_at"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("deceased"))
+    state_ = src.roots(spark, d).select(F.col("fact_id").alias("patient_root"), F.lit("old").alias("run_id"))
+    return reprojection_queue(state_, a, "new", "1998-01-01", 64)
+
+
+@register("""SELECT 'C'||o_custkey AS patient_root, max(o_orderkey)::BIGINT AS indexed_upto, max(o_orderkey) FILTER (o_orderstatus <> 'P')::BIGINT AS projected_upto FROM orders GROUP BY o_custkey HAVING max(o_orderkey) IS DISTINCT FROM max(o_orderkey) FILTER (o_orderstatus <> 'P')""")
+def q37_stale_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.plans.runs import stale
+
+    o = src.table(spark, d, "orders").withColumn("patient_root", F.concat(F.lit("C"), "o_custkey"))
+    have = o.groupBy("patient_root").agg(F.max("o_orderkey").cast("long").alias("indexed_upto"))
+    done = o.where("o_orderstatus <> 'P'").groupBy("patient_root").agg(F.max("o_orderkey").cast("long").alias("projected_upto"))
+    return stale(have, done)
+
+
+@register("SELECT user_id, count(*)::BIGINT AS n, max(event_id)::BIGINT AS upto, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def q38_catch_up(spark: SparkSession, d: str) -> DataFrame:
+    """A first run to a watermark and a second from it on give what one run over all gives."""
+    from factgraph.streaming.incremental import catch_up
+
+    e = src.table(spark, d, "events").select("user_id", "event_id", F.col("value").cast("decimal(18,4)").alias("value"))
+    first = e.where("event_id < 5000").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("upto"), F.sum("value").alias("total"))
+    return catch_up(first, e, "event_id", "user_id").select("user_id", "n", "upto", F.round(F.col("total").cast("double"), 2).alias("total"))
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity) AS rn FROM lineitem) WHERE rn = 1")
+def q39_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.operators.ingest import first_wins
+
+    li = src.table(spark, d, "lineitem")
+    return first_wins(li, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@register("""SELECT 'L'||l_orderkey||'-'||l_linenumber AS fact_id, 'O'||l_orderkey AS missing FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
+def q40_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.operators.ingest import missing_parents
+
+    li = src.table(spark, d, "lineitem").select(F.concat(F.lit("L"), "l_orderkey", F.lit("-"), "l_linenumber").alias("fact_id"), F.array(F.concat(F.lit("O"), "l_orderkey")).alias("parents")).distinct()
+    known = src.encounters(spark, d).where("order_status <> 'P'").select("fact_id")
+    return missing_parents(li, known)
+
+
+@register("SELECT 0::BIGINT AS wrong_order, 0::BIGINT AS unknown_severity, 0::BIGINT AS severe_without_evidence, 0::BIGINT AS duplicate_key")
+def q41_link_violations(spark: SparkSession, d: str) -> DataFrame:
+    return links.violations(_all_links(spark, d))
+
+
+@register()
+def q42_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: for every patient, anchors by tag, status, ancestors, linked facts, packed into a token budget."""
+    from factgraph.operators.retrieve import retrieve
+
+    kids = src.children(spark, d)
+    facts = kids.select("fact_id", "patient_root", "ts", F.concat_ws(" ", "tags").alias("text")).unionByName(src.encounters(spark, d).select("fact_id", "patient_root", "ts", F.concat(F.lit("encounter "), "o_orderpriority").alias("text"))).unionByName(src.roots(spark, d).select("fact_id", F.col("fact_id").alias("patient_root"), F.lit("1900-01-01").alias("ts"), F.col("c_name").alias("text")))
+    edges = kids.select(F.col("fact_id").alias("src"), F.col("parent_id").alias("dst")).unionByName(src.encounters(spark, d).select(F.col("fact_id").alias("src"), F.col("patient_root").alias("dst")))
+    status = src.encounters(spark, d).where("order_status = 'F'").select("fact_id", F.lit("retracted").alias("status"), F.lit(None).cast("string").alias("current_id"))
+    anchors = src.tag_rows(kids).where("tag = 'risk:Brand#11'").select(F.col("patient_root").alias("query"), "fact_id")
+    return retrieve(anchors, facts, edges, _all_links(spark, d), status)
