@@ -177,11 +177,11 @@ def mix(docs: DataFrame, how: Mix = Mix(), text: str = "text", row: str | None =
     b = how.block
     held = stream.where("size > 0").select("doc_id", "row", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
     held = held.select("doc_id", "row", "source", "block", F.greatest("start", F.col("block") * b).alias("lo"), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b).alias("hi"), "start")
-    c = chosen.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "shard", "slot", "pass", "n_words")
+    c = chosen.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "shard", "slot", "pass", "n_words").hint("merge")  # Spark would take the slots to be as few as the sources
     parts = held.join(c, held["source"].eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     end = F.least(F.col("hi"), F.col("block") * b + F.col("n_words"))
     blocks = parts.where(end > F.col("lo")).select("source", "shard", "slot", "pass", "block", "doc_id", "row", (F.col("lo") - F.col("start")).alias("first_word"), (end - F.col("lo")).alias("n_words"))
-    taken = blocks.groupBy(F.col("row").alias("r2")).agg(F.sum("n_words").alias("taken"))
+    taken = blocks.groupBy(F.col("row").alias("r2")).agg(F.sum("n_words").alias("taken")).hint("merge")
     p = plan.select(F.col("source").alias("s3"), "source_size", "target")
     documents = sized.join(taken, F.col("row") == F.col("r2"), "left").join(p, sized["source"].eqNullSafe(F.col("s3"))).select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row")
     return documents, blocks
