@@ -224,6 +224,6 @@ def pack(docs: DataFrame, how: Packing = Packing(), with_ids: bool = False, key:
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
 
     own = ["key", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    ranked = cut.join(counts.select("part", "length", "before"), ["part", "length"]).select(*own, (F.col("before") + F.col("rank")).alias("place"))
+    ranked = cut.join(counts.select("part", "length", "before").hint("merge"), ["part", "length"]).select(*own, (F.col("before") + F.col("rank")).alias("place"))
     schema = T.StructType([cut.schema[c] for c in own] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema).withColumnRenamed("key", key)
