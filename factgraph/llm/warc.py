@@ -126,7 +126,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, level: int = 2) -
     ids = rows.select("sha", F.coalesce("page_id", F.lit(2**63 - 1)).alias("id"), F.octet_length("html").alias("size"))
     shared = ids.where(F.col("size") >= least_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("sha2"), "first")
     known = ids.select("sha", "id").join(shared, F.col("sha") == F.col("sha2")).groupBy(F.col("id").alias("id2"), F.col("sha").alias("sha3")).agg(F.min("first").alias("first"))
-    joined = rows.withColumn("id", F.coalesce("page_id", F.lit(2**63 - 1))).join(known, (F.col("id") == F.col("id2")) & (F.col("sha") == F.col("sha3")), "left").select("id", "url", "html", "first", "sha")
+    # dealt out once: the join keeps this partitioning, in which copies of a row lie together, so that the first of them can be told
+    dealt = rows.withColumn("id", F.coalesce("page_id", F.lit(2**63 - 1))).repartition("id", "sha")
+    joined = dealt.join(known, (F.col("id") == F.col("id2")) & (F.col("sha") == F.col("sha3")), "left").select("id", "url", "html", "first", "sha")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -150,8 +152,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, level: int = 2) -
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n"])
 
-    # copies of a row lie together, so that the first of them can be told
-    return materialise(joined.repartition("id").sortWithinPartitions("id", "sha", "url").mapInArrow(run, "file string, n long"), "archives")
+    return materialise(joined.sortWithinPartitions("id", "sha", "url").mapInArrow(run, "file string, n long"), "archives")
 
 
 CAPTURE = "url_key string, timestamp string, record_id string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
