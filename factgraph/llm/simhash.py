@@ -139,7 +139,7 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n] if n else text
 
 
-def with_edits(docs: DataFrame, bits: int = BITS, rows_per_part: int = 20_000) -> DataFrame:
+def with_edits(docs: DataFrame, bits: int = BITS, rows_per_part: int = 2_000) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likenesses. One shuffle of the texts, by ranges of doc_id."""
     key = docs.schema["doc_id"]
 
@@ -149,7 +149,11 @@ def with_edits(docs: DataFrame, bits: int = BITS, rows_per_part: int = 20_000) -
         def out(rows: list[tuple]) -> pa.RecordBatch:
             texts = [r[1] for r in rows]
             edits = [edit(r[1], r[2]) for r in rows]
-            prints = [fingerprints(*tx.buffers(pa.array(x, pa.large_string())), bits) for x in (texts, edits, [r[2] for r in rows])]
+            # a row's neighbour is mostly the next row here: each text is fingerprinted once
+            once: dict[str, int] = {}
+            own, following, changed = ([once.setdefault(x, len(once)) for x in group] for group in (texts, [r[2] for r in rows], edits))
+            found = fingerprints(*tx.buffers(pa.array(list(once), pa.large_string())), bits)
+            prints = [found[own], found[changed], found[following]]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], id_type), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edits], pa.string()),
                  pa.array(_hex(prints[0])), pa.array(_hex(prints[1])), pa.array(likeness(prints[0], prints[1])), pa.array(likeness(prints[0], prints[2]))],
