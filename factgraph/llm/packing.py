@@ -145,11 +145,12 @@ def best_fit(items: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def solve(histogram: np.ndarray, steps: int = 1_500, rate: float = 0.05, share: float = 0.25, rest: float = 0.3) -> list[tuple[int, list[int]]]:
+def _solve(histogram: np.ndarray, steps: int, rate: float, share: float, rest: float, bend: float) -> list[tuple[int, list[int]]]:
     """(times, lengths) of the configurations that pack the histogram (index: length), in all exactly once.
 
     The weight of a length falls exponentially with the part of its demand that is covered, so that the plan covers all
-    lengths evenly. Each step prices the best configuration at length x weight and takes it a whole number of times, up to `share` of what is
+    lengths evenly. Each step prices the best configuration at length ** bend x weight (above 1, large pieces are placed while there are small ones to
+    fill up with) and takes it a whole number of times, up to `share` of what is
     left of its scarcest length. When no more than `rest` of the items are left, they are packed best-fit decreasing."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
@@ -163,7 +164,7 @@ def solve(histogram: np.ndarray, steps: int = 1_500, rate: float = 0.05, share:
         if left.sum() <= goal or not len(lengths):
             break
         weight = np.exp(rate * left[lengths] / need[lengths])
-        a = np.minimum(price(lengths, lengths * weight, capacity), left[lengths])
+        a = np.minimum(price(lengths, (lengths / capacity) ** bend * weight, capacity), left[lengths])
         some = a > 0
         times = max(1, int(share * (left[lengths[some]] // a[some]).min()))
         plan.append((times, np.repeat(lengths, a).tolist()))
@@ -182,6 +183,11 @@ def solve(histogram: np.ndarray, steps: int = 1_500, rate: float = 0.05, share:
     return plan + [(n, list(b)) for b, n in tail.items()]
 
 
+def solve(histogram: np.ndarray, steps: int = 1_500, rate: float = 0.05, share: float = 0.25, rest: float = 0.3, bends: tuple[float, ...] = (1.2, 1.0)) -> list[tuple[int, list[int]]]:
+    """The plan of fewest sequences among those of the given price curves."""
+    return min((_solve(histogram, steps, rate, share, rest, b) for b in bends), key=lambda plan: sum(n for n, _ in plan))
+
+
 def places(plan: list[tuple[int, list[int]]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of ranks, sorted by (length, first rank): length, first rank, first sequence, offset."""
     taken = np.zeros(capacity + 1, np.int64)
