@@ -24,7 +24,7 @@ rare AS (SELECT t.* FROM tags t JOIN freq f USING (patient_root, tag) WHERE NOT
 pair AS (SELECT x.patient_root, x.tag, x.fact_id AS a, y.fact_id AS b, greatest(x.ts, y.ts) AS created_at FROM rare x JOIN rare y ON x.patient_root = y.patient_root AND x.tag = y.tag AND x.fact_id < y.fact_id),
 shared AS (SELECT patient_root, a, b, count(*) AS shared FROM pair GROUP BY ALL),
 cooc AS (SELECT p.patient_root, p.a, p.b, p.tag, shared, shared::DOUBLE AS score, created_at,
- sha256('{"bead_a":"'||p.a||'","bead_b":"'||p.b||'","matched_tag":"'||p.tag||'","relation":"shared_tag","rule_version":"cooccurrence-v1"}') AS link_id FROM pair p JOIN shared USING (patient_root, a, b))"""
+ sha256('{"fact_a":"'||p.a||'","fact_b":"'||p.b||'","matched_tag":"'||p.tag||'","relation":"shared_tag","rule_version":"cooccurrence-v1"}') AS link_id FROM pair p JOIN shared USING (patient_root, a, b))"""
 #: Curated pairs of tags: rule_version, tag_a, tag_b, severity, relation.
 CURATED = [("r1", "risk:Brand#11", "risk:Brand#12", "warning", "interaction"), ("r2", "risk:Brand#3", "atc:PROMO", "critical", "contraindication"), ("r3", "risk:Brand#7", "risk:Brand#19", "info", "interaction")]
 _RULES = "rule(rule_version, tag_a, tag_b, severity, relation) AS (VALUES " + ", ".join(str(r) for r in CURATED) + ")"
@@ -274,7 +274,7 @@ def _all_links(spark: SparkSession, d: str) -> DataFrame:
 
 _LINKS = PAIRS + ", " + CUR.removeprefix(CHILD + ", ") + """,
 lk AS (SELECT patient_root, a, b, tag, created_at, link_id, 3 AS s, 2 AS e FROM cooc UNION ALL SELECT patient_root, a, b, tag, created_at,
- sha256('{"bead_a":"'||a||'","bead_b":"'||b||'","matched_tag":"'||tag||'","relation":"'||relation||'","rule_version":"'||rule_version||'"}'), CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 2 ELSE 3 END, 1 FROM cur),
+ sha256('{"fact_a":"'||a||'","fact_b":"'||b||'","matched_tag":"'||tag||'","relation":"'||relation||'","rule_version":"'||rule_version||'"}'), CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 2 ELSE 3 END, 1 FROM cur),
 seed AS (SELECT patient_root AS query, min(fact_id) AS fact_id FROM child GROUP BY 1), en AS (SELECT a AS src, b AS dst, * FROM lk UNION ALL SELECT b, a, * FROM lk),
 p1 AS (SELECT query, dst AS fact_id, link_id, created_at, s, e, row_number() OVER (PARTITION BY query, dst ORDER BY s, e, created_at DESC, link_id) AS rn FROM seed JOIN en ON src = fact_id WHERE dst <> fact_id),
 h1 AS (SELECT * FROM p1 WHERE rn = 1)"""

@@ -29,7 +29,7 @@ def identity(canonical: Column) -> Column:
 
 
 def link_id(a: Column, b: Column, tag: Column, relation: Column, rule: Column) -> Column:
-    parts = [F.lit('{"bead_a":'), json_string(a), F.lit(',"bead_b":'), json_string(b), F.lit(',"matched_tag":'), json_string(tag), F.lit(',"relation":'), json_string(relation), F.lit(',"rule_version":'), json_string(rule), F.lit("}")]
+    parts = [F.lit('{"fact_a":'), json_string(a), F.lit(',"fact_b":'), json_string(b), F.lit(',"matched_tag":'), json_string(tag), F.lit(',"relation":'), json_string(relation), F.lit(',"rule_version":'), json_string(rule), F.lit("}")]
     return F.sha2(F.concat(*parts), 256)
 
 
