@@ -402,3 +402,182 @@ def q42_retrieve(spark: SparkSession, d: str) -> DataFrame:
     status = src.encounters(spark, d).where("order_status = 'F'").select("fact_id", F.lit("retracted").alias("status"), F.lit(None).cast("string").alias("current_id"))
     anchors = src.tag_rows(kids).where("tag = 'risk:Brand#11'").select(F.col("patient_root").alias("query"), "fact_id")
     return retrieve(anchors, facts, edges, _all_links(spark, d), status)
+
+#: Text of a bundle for each order, written from the tables: its customer, the order as an encounter, its items as resources of four kinds by line number.
+_SYSTEM = {"snomed": "http://snomed.info/sct", "loinc": "http://loinc.org", "rxnorm": "http://www.nlm.nih.gov/research/umls/rxnorm"}
+_ITEM = """item AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'L'||l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS id, strftime(min(l_shipdate), '%Y-%m-%d') AS ts, ['Condition', 'MedicationRequest', 'Observation', 'DocumentReference'][1 + l_linenumber % 4] AS kind,
+ [314076, 855332, 309362, 860975, 308192, 824184, 1648767, 310965, 308056, 727316][1 + l_partkey % 10]::VARCHAR AS rx FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey)"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.functions.flatten import MEDICATIONS
+
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = src.table(spark, d, "lineitem").groupBy(*key).agg(F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("ts"))
+    kinds = F.array(*[F.lit(k) for k in ("Condition", "MedicationRequest", "Observation", "DocumentReference")])
+    codes = F.array(*[F.lit(m[0]) for m in MEDICATIONS])
+    return li.select(*key, "ts", F.concat(F.lit("L"), F.concat_ws("-", *key)).alias("id"), F.get(kinds, (F.col("l_linenumber") % 4).cast("int")).alias("kind"), F.get(codes, (F.col("l_partkey") % 10).cast("int")).alias("rx"))
+
+
+def _bundles(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): JSON bundles, one an order."""
+    coding = lambda system, code, shown=None: F.array(F.struct(F.lit(_SYSTEM[system]).alias("system"), code.alias("code"), *([shown.alias("display")] if shown is not None else [])))
+    entry = lambda **kw: F.to_json(F.struct(F.concat(F.lit("urn:uuid:"), kw["id"]).alias("fullUrl"), F.struct(*[v.alias(k) for k, v in kw.items()]).alias("resource")))
+    there = F.struct(F.concat(F.lit("urn:uuid:O"), "l_orderkey").alias("reference"))
+    i = _items(spark, d)
+    text = lambda k: F.concat(F.lit(f"{k} "), "l_partkey")
+    condition = entry(resourceType=F.lit("Condition"), id=F.col("id"), recordedDate=F.col("ts"), encounter=there, code=F.struct(coding("snomed", F.col("l_partkey").cast("string")).alias("coding"), text("finding").alias("text")))
+    request = entry(resourceType=F.lit("MedicationRequest"), id=F.col("id"), authoredOn=F.col("ts"), encounter=there, medicationReference=F.struct(F.concat(F.lit("M"), "id").alias("reference")))
+    drug = entry(resourceType=F.lit("Medication"), id=F.concat(F.lit("M"), "id"), code=F.struct(coding("rxnorm", F.col("rx"), text("drug")).alias("coding")))
+    observed = entry(resourceType=F.lit("Observation"), id=F.col("id"), effectiveDateTime=F.col("ts"), encounter=there, code=F.struct(coding("loinc", F.col("l_suppkey").cast("string"), text("measure")).alias("coding")), valueQuantity=F.struct((F.col("l_linenumber") / 4).alias("value"), F.lit("mg").alias("unit")))
+    note = entry(resourceType=F.lit("DocumentReference"), id=F.col("id"), date=F.col("ts"), status=F.when(F.col("l_partkey") % 2 == 0, "current").otherwise("superseded"), context=F.struct(F.array(there).alias("encounter")), content=F.array(F.struct(F.struct(F.base64(F.encode(F.concat(F.lit("\n# note "), "l_partkey"), "UTF-8")).alias("data")).alias("attachment"))))
+    own = F.when(F.col("kind") == "Condition", F.array(condition)).when(F.col("kind") == "MedicationRequest", F.array(request, drug)).when(F.col("kind") == "Observation", F.array(observed)).otherwise(F.array(note))
+    rows = i.groupBy("l_orderkey").agg(F.flatten(F.collect_list(own)).alias("items"))  # an order has a few lines
+    o = src.table(spark, d, "orders").join(src.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    who = entry(resourceType=F.lit("Patient"), id=F.concat(F.lit("C"), "c_custkey"), birthDate=F.lit("1970-01-01"), name=F.array(F.struct(F.array("c_mktsegment").alias("given"), F.col("c_name").alias("family"))))
+    visit = entry(resourceType=F.lit("Encounter"), id=F.concat(F.lit("O"), "o_orderkey"), period=F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("start")), type=F.array(F.struct(F.col("o_orderpriority").alias("text"))))
+    whole = F.array_join(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(visit, who)), ",")
+    return o.join(rows, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.concat(F.lit("O"), "o_orderkey").alias("path"), F.concat(F.lit('{"resourceType":"Bundle","entry":['), whole, F.lit("]}")).alias("content"))
+
+
+_MAPPED = _ITEM + """, f AS (SELECT 'O'||o_orderkey AS path, 'C'||o_custkey AS fhir_id, 'patient_registration' AS type, '1970-01-01' AS ts, NULL AS parent_fhir_id, 'patient_registration: '||least('C'||o_custkey, c_name, '1970-01-01', 'Patient', 'urn') AS summary, 0 AS step FROM orders JOIN customer ON o_custkey = c_custkey
+ UNION ALL SELECT 'O'||o_orderkey, 'O'||o_orderkey, 'fhir_encounter', strftime(o_orderdate, '%Y-%m-%d'), 'C'||o_custkey, 'fhir_encounter: '||o_orderpriority, 1 FROM orders
+ UNION ALL SELECT 'O'||l_orderkey, id, CASE kind WHEN 'DocumentReference' THEN 'clinical_note' ELSE 'fhir_'||lower(kind) END, ts, 'O'||l_orderkey, CASE kind WHEN 'Condition' THEN 'fhir_condition: finding '||l_partkey WHEN 'MedicationRequest' THEN 'fhir_medicationrequest: drug '||l_partkey
+ WHEN 'Observation' THEN 'fhir_observation: measure '||l_partkey||' '||CASE WHEN l_linenumber % 4 = 0 THEN (l_linenumber // 4)::VARCHAR ELSE rtrim((l_linenumber / 4)::DECIMAL(9, 2)::VARCHAR, '0') END||' mg' ELSE '# note '||l_partkey END, 2 FROM item JOIN orders ON l_orderkey = o_orderkey WHERE kind <> 'DocumentReference' OR l_partkey % 2 = 0)"""
+
+
+@register(f"WITH {_MAPPED} SELECT path, row_number() OVER (PARTITION BY path ORDER BY step, ts, fhir_id)::BIGINT AS append_seq, fhir_id, type, ts, parent_fhir_id, summary FROM f")
+def q43_bundle_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Bundles mapped to facts, with their one-line summaries."""
+    from factgraph.functions.flatten import content_summary
+    from factgraph.sources.bundles import bundle_facts
+
+    f = bundle_facts(_bundles(spark, d))
+    return f.select("path", "append_seq", "fhir_id", "type", "ts", "parent_fhir_id", content_summary("type", "content").alias("summary"))
+
+
+_BOOK = "book(rx, tag) AS (VALUES {0})"
+
+
+def _book_sql() -> str:
+    from factgraph.functions.flatten import MEDICATIONS
+
+    return _BOOK.format(", ".join(f"('{m[0]}', '{t}')" for m in MEDICATIONS for t in m[2] + m[3] + m[4]))
+
+
+@register(f"""WITH {_ITEM}, {_book_sql()} SELECT DISTINCT id AS fhir_id, tag FROM (SELECT id, 'snomed:'||l_partkey AS tag FROM item WHERE kind = 'Condition' UNION ALL SELECT id, 'loinc:'||l_suppkey FROM item WHERE kind = 'Observation'
+ UNION ALL SELECT id, 'rxnorm:'||rx FROM item WHERE kind = 'MedicationRequest' UNION ALL SELECT id, tag FROM item JOIN book USING (rx) WHERE kind = 'MedicationRequest') JOIN orders ON 'L'||o_orderkey||'-' = regexp_extract(id, '^L[0-9]+-')
+ UNION ALL SELECT 'O'||o_orderkey, 'temporal:encounter' FROM orders""")
+def q44_content_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of the codes in the content of bundles, with those that the medication dictionary adds."""
+    from factgraph.functions.flatten import tag_rows
+    from factgraph.sources.bundles import bundle_facts
+
+    f = bundle_facts(_bundles(spark, d)).select(F.col("fhir_id").alias("fact_id"), "patient_root", "ts", "type", "content")
+    return tag_rows(f).select(F.col("fact_id").alias("fhir_id"), "tag")
+
+
+_FRAMED = """SELECT sha256(t) AS fact_id, 'C'||c AS patient_root, strlen(t)::BIGINT AS n_bytes, true AS verified FROM (SELECT o_custkey AS c, '{"amends":[],"content":{"key":'||to_json(o_orderkey::VARCHAR)||',"priority":'||to_json(o_orderpriority)||'},"parents":["C'||o_custkey||'"],"retracts":[],"timestamp":"'||strftime(o_orderdate, '%Y-%m-%d')||'","type":"encounter"}' AS t FROM orders)"""
+
+
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.sources.frames import append_frames
+
+    content = F.concat(F.lit('{"key":'), canon.json_string(F.col("o_orderkey").cast("string")), F.lit(',"priority":'), canon.json_string(F.col("o_orderpriority")), F.lit("}"))
+    root = F.concat(F.lit("C"), "o_custkey")
+    core = canon.canonical_fact(F.lit("encounter"), F.date_format("o_orderdate", "yyyy-MM-dd"), content, F.array(root))
+    facts = src.table(spark, d, "orders").select(core.alias("core"), canon.identity(core).alias("fact_id"), root.alias("patient_root"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("written_at"), F.col("o_orderkey").cast("long").alias("append_seq"))
+    return append_frames(facts, segment=1_000_000)
+
+
+@register(_FRAMED)
+def q45_frame_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Facts written as framed logs and read back, each checked against its id."""
+    from factgraph.sources.frames import frames
+
+    return frames(_logs(spark, d)).select("fact_id", "patient_root", F.octet_length("core").cast("long").alias("n_bytes"), "verified")
+
+
+@register("SELECT 'C'||o_custkey AS patient_root, count(*)::BIGINT AS frames, false AS damaged, 0::BIGINT AS failed_hashes FROM orders GROUP BY o_custkey")
+def q46_verify_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The integrity report of the logs, by patient."""
+    from factgraph.sources.frames import verify
+
+    r = verify(_logs(spark, d)).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("patient_root"))
+    return r.agg(F.sum("frames").alias("frames"), F.bool_or("damaged").alias("damaged"), F.sum("failed_hashes").alias("failed_hashes"))
+
+
+_REQ = """req AS (SELECT DISTINCT l_orderkey, l_partkey, 'C'||o_custkey AS patient_root, 'L'||l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS id, strftime(min(l_shipdate) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey), '%Y-%m-%d') AS ts, p_name AS name, 'risk:'||p_type AS risk FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+_SCENARIO = """SELECT substr(sha256(patient_root||'|'||category||'|'||k), 1, 16) AS scenario_id, patient_root, category, question, answer, evidence FROM ("""
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    kids = src.children(spark, d).select("fact_id", "patient_root", "parent_id", "ts")
+    p = src.table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    return kids.withColumn("p", F.split_part("fact_id", F.lit("-"), F.lit(3)).cast("long")).join(p, F.col("p") == F.col("p_partkey")).select("patient_root", "fact_id", F.col("fact_id").alias("source_id"), "parent_id", "ts", F.col("p_name").alias("name"), F.array(F.concat(F.lit("risk:"), "p_type")).alias("risks"))
+
+
+def _flat(scenarios: DataFrame) -> DataFrame:
+    return scenarios.withColumn("evidence", F.array_join("evidence", ","))
+
+
+@register(f"WITH {_REQ} {_SCENARIO} SELECT patient_root, 'medication_lookup' AS category, id AS k, '患者の condition '''||o_orderpriority||''' に対して処方された薬は?' AS question, name AS answer, id||',O'||l_orderkey AS evidence FROM req JOIN orders ON l_orderkey = o_orderkey)")
+def q47_scenario_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Prescriptions with the reason for which they were made; an order stands for the condition of its items."""
+    from factgraph.operators.evalkit import medication_lookup
+
+    why = src.encounters(spark, d).select("patient_root", "fact_id", F.col("fact_id").alias("source_id"), F.col("o_orderpriority").alias("name"))
+    return _flat(medication_lookup(_requests(spark, d).withColumn("reasons", F.array(F.lit("gone"), F.col("parent_id"))), why))
+
+
+@register(f"""WITH {_REQ}, w AS (SELECT *, lead(id) OVER v AS nid, lead(name) OVER v AS nname, lead(ts) OVER v AS nts FROM req WINDOW v AS (PARTITION BY patient_root ORDER BY ts, id)) {_SCENARIO} SELECT patient_root, 'temporal_order' AS category, id||'|'||nid AS k, ''''||name||''' と '''||nname||''' はどちらが先か?' AS question, name AS answer, id||','||nid AS evidence FROM w WHERE nts > ts)""")
+def q48_scenario_order(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.operators.evalkit import temporal_order
+
+    return _flat(temporal_order(_requests(spark, d)))
+
+
+@register(f"""WITH {_REQ} {_SCENARIO} SELECT patient_root, 'encounter_context' AS category, 'O'||l_orderkey AS k, 'encounter '''||any_value(o_orderpriority)||''' (O'||l_orderkey||') で行われた処置/検査は?' AS question, string_agg(name, ', ' ORDER BY ts, id) AS answer, 'O'||l_orderkey||','||string_agg(id, ',' ORDER BY ts, id) AS evidence FROM req JOIN orders ON l_orderkey = o_orderkey GROUP BY patient_root, l_orderkey)""")
+def q49_scenario_encounter(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.operators.evalkit import encounter_context
+
+    e = src.encounters(spark, d).select("patient_root", "fact_id", F.col("fact_id").alias("source_id"), F.col("o_orderpriority").alias("name"))
+    return _flat(encounter_context(e, _requests(spark, d).select(F.col("parent_id").alias("encounter"), "fact_id", "name", "ts")))
+
+
+@register(f"""WITH {_REQ} {_SCENARIO} SELECT patient_root, 'medication_interaction_surface' AS category, risk AS k, '患者の薬剤リスク('''||risk||''')に関連する処方は?' AS question, string_agg(name, ', ' ORDER BY id) AS answer, string_agg(id, ',' ORDER BY id) AS evidence FROM req GROUP BY patient_root, risk HAVING count(*) >= 2)""")
+def q50_scenario_surface(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.operators.evalkit import interaction_surface
+
+    return _flat(interaction_surface(_requests(spark, d)))
+
+
+@register("""SELECT user_id, count(*) FILTER (event_id % 3 = 0)::BIGINT AS supported, count(*) FILTER (event_id % 3 = 1)::BIGINT AS context_out, count(*) FILTER (event_id % 3 = 2)::BIGINT AS hallucinated, round(count(*) FILTER (event_id % 3 = 2)::DOUBLE / count(*), 6) AS rate FROM events GROUP BY 1""")
+def q51_claim_tally(spark: SparkSession, d: str) -> DataFrame:
+    from factgraph.operators.evalkit import claim_tally
+
+    kinds = F.array(*[F.lit(k) for k in ("supported", "context_out_all_in", "hallucination")])
+    return claim_tally(src.table(spark, d, "events").select("user_id", F.get(kinds, (F.col("event_id") % 3).cast("int")).alias("attribution")), "user_id")
+
+
+@register("""SELECT 'C'||c_custkey AS fact_id, 'emergency_access' AS action, 'u1' AS user_id, '2024-06-01T00:00:00Z' AS at FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def q52_emergency_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What an emergency viewer saw of restricted facts is recorded."""
+    from factgraph.operators.clearance import emergency_audit
+
+    roots = src.roots(spark, d)
+    return emergency_audit(roots, roots.where("c_mktsegment = 'BUILDING'"), ["emergency"], "u1", "2024-06-01T00:00:00Z").select("fact_id", "action", "user_id", "at")
+
+
+@register("""WITH f AS (SELECT 'L'||l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS fact_id, o_orderstatus AS s, l_linenumber % 2 = 0 AS amends, l_suppkey % 5 = 0 AS anonymous FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT DISTINCT fact_id, 'unknown parents' AS reason FROM f WHERE s = 'P' UNION SELECT fact_id, 'unknown amends' FROM f WHERE s = 'P' AND amends UNION SELECT fact_id, 'author' FROM f WHERE amends AND anonymous""")
+def q53_ingest_rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Items as arriving facts: those of pending orders refer to what isn't there; every second one amends its order, some without an author."""
+    from factgraph.operators.corrections import rejected
+
+    known = src.encounters(spark, d)
+    kids = src.children(spark, d)
+    part = lambda i: F.split_part("fact_id", F.lit("-"), F.lit(i)).cast("long")
+    none = F.array().cast("array<string>")
+    facts = kids.select("fact_id", "patient_root", F.lit("observation").alias("type"), F.when(part(4) % 5 != 0, F.lit("somebody")).alias("author"), F.array("parent_id").alias("parents"), F.when(part(2) % 2 == 0, F.array("parent_id")).otherwise(none).alias("amends"), none.alias("retracts"), F.col("fact_id").alias("computed_id"))
+    return rejected(facts, known.where("order_status <> 'P'").select("fact_id", "patient_root"))

@@ -1,8 +1,8 @@
-"""Retrieval metrics."""
+"""Questions with known answers, and the metrics of retrieval that they serve."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,77 @@ def scenario_id(patient, category, discriminator):
 def answer_choice(text):
     """A or B of an answer line, '' if there is none."""
     return F.upper(F.regexp_extract(text, r"(?i)Answer:\s*([AB])", 1))
+
+
+# Categories of questions and their wording; {a}, {b} are names.
+QUESTIONS = {
+    "medication_lookup": "患者の condition '{a}' に対して処方された薬は?",
+    "temporal_order": "'{a}' と '{b}' はどちらが先か?",
+    "encounter_context": "encounter '{a}' ({b}) で行われた処置/検査は?",
+    "medication_interaction_surface": "患者の薬剤リスク('{a}')に関連する処方は?",
+}
+
+
+def _question(category: str, a: Column, b: Column | None = None) -> Column:
+    head, rest = QUESTIONS[category].split("{a}")
+    mid, *tail = rest.split("{b}")
+    return F.concat(F.lit(head), a, F.lit(mid), *([b, F.lit(tail[0])] if b is not None else []))
+
+
+def _scenario(rows: DataFrame, category: str, key: Column, question: Column, answer: Column, evidence: Column) -> DataFrame:
+    return rows.select(scenario_id(F.col("patient_root"), F.lit(category), key).alias("scenario_id"), "patient_root", F.lit(category).alias("category"), question.alias("question"), answer.alias("answer"), evidence.alias("evidence"))
+
+
+def medication_lookup(requests: DataFrame, conditions: DataFrame) -> DataFrame:
+    """What was prescribed for a condition. requests: patient_root, fact_id, source_id, name, reasons (ids of conditions, in order); the first that is known counts."""
+    c = conditions.select("patient_root", F.col("source_id").alias("reason"), F.col("fact_id").alias("c_id"), F.col("name").alias("c_name")).where(F.coalesce("c_name", F.lit("")) != "")
+    rows = requests.where(F.coalesce("name", F.lit("")) != "").select("patient_root", "fact_id", "source_id", "name", F.posexplode("reasons").alias("at", "reason")).join(c, ["patient_root", "reason"])
+    first = rows.groupBy("patient_root", "fact_id", "source_id", "name").agg(F.min(F.struct("at", "c_id", "c_name")).alias("c"))
+    return _scenario(first, "medication_lookup", F.col("source_id"), _question("medication_lookup", F.col("c.c_name")), F.col("name"), F.array("fact_id", "c.c_id"))
+
+
+def temporal_order(events: DataFrame) -> DataFrame:
+    """Which of two neighbouring events came first; those of one time are not asked about. events: patient_root, fact_id, source_id, name, ts."""
+    w = Window.partitionBy("patient_root").orderBy("ts", "source_id")
+    later = {c: F.lead(c).over(w).alias(f"next_{c}") for c in ("fact_id", "source_id", "name", "ts")}
+    rows = events.where((F.coalesce("name", F.lit("")) != "") & (F.coalesce("ts", F.lit("")) != "")).select("*", *later.values()).where(F.col("next_ts") > F.col("ts"))
+    return _scenario(rows, "temporal_order", F.concat_ws("|", "source_id", "next_source_id"), _question("temporal_order", F.col("name"), F.col("next_name")), F.col("name"), F.array("fact_id", "next_fact_id"))
+
+
+def encounter_context(encounters: DataFrame, children: DataFrame) -> DataFrame:
+    """What was done in an encounter. encounters: patient_root, fact_id, source_id, name; children: encounter (fact id), fact_id, name, ts."""
+    kids = children.groupBy(F.col("encounter").alias("fact_id")).agg(F.array_sort(F.collect_list(F.struct("ts", F.col("fact_id").alias("k"), "name"))).alias("k"))
+    rows = encounters.join(kids, "fact_id")
+    name = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("encounter"))
+    return _scenario(rows, "encounter_context", F.col("source_id"), _question("encounter_context", name, F.col("source_id")), F.array_join("k.name", ", "), F.concat(F.array("fact_id"), F.col("k.k")))
+
+
+def interaction_surface(requests: DataFrame) -> DataFrame:
+    """What of a patient's prescriptions bears on a risk, for risks of two or more. requests: patient_root, fact_id, source_id, name, risks."""
+    rows = requests.select("patient_root", "fact_id", "source_id", F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("source_id")).alias("name"), F.explode("risks").alias("risk"))
+    held = rows.groupBy("patient_root", "risk").agg(F.array_sort(F.collect_list(F.struct("source_id", "name", "fact_id"))).alias("m")).where(F.size("m") >= 2)
+    return _scenario(held, "medication_interaction_surface", F.col("risk"), _question("medication_interaction_surface", F.col("risk")), F.array_join("m.name", ", "), F.col("m.fact_id"))
+
+
+def at_most_per_patient(scenarios: DataFrame, n: int) -> DataFrame:
+    """The first n scenarios of each patient by category and id: a cap that the caller asks for."""
+    w = Window.partitionBy("patient_root").orderBy("category", "scenario_id")
+    return scenarios.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def claim_tally(claims: DataFrame, key: str) -> DataFrame:
+    """Counts of attributions and the share of hallucinated claims per key, 0 without any. claims: key, attribution (null: no claim)."""
+    n = lambda a: F.count_if(F.col("attribution") == a)
+    out = claims.groupBy(key).agg(n("supported").alias("supported"), n("context_out_all_in").alias("context_out"), n("hallucination").alias("hallucinated"))
+    total = F.col("supported") + F.col("context_out") + F.col("hallucinated")
+    return out.withColumn("rate", F.when(total > 0, F.round(F.col("hallucinated") / total, 6)).otherwise(0.0))
+
+
+def arm_summary(results: DataFrame) -> DataFrame:
+    """Per arm: runs, mean recall and precision, tokens, and the share of right answers; null where nothing was measured."""
+    return results.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.sum("tokens").alias("tokens"), F.round(F.avg(F.col("right").cast("int")), 6).alias("agreement"))
+
+
+def pending(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """(scenario_id, arm) that have no result yet: a run that stopped goes on there."""
+    return wanted.join(done.select("scenario_id", "arm"), ["scenario_id", "arm"], "left_anti")
