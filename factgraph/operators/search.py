@@ -51,13 +51,27 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partition: str | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partition: str | None = None, block: int = 2_000) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest of each query, itself left out; within its partition if one is named.
 
-    queries is a stated, small set (query_id, vector, and the partition); each is compared with every vector, in one pass over them."""
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("_q"), *([F.col(partition).alias("_p")] if partition else [])))
-    on = (F.col("_p") == F.col(partition)) & (F.col("query_id") != F.col("vec_id")) if partition else F.col("query_id") != F.col("vec_id")
-    near = vectors.join(q, on).select("query_id", "vec_id", F.round(l2(F.col("embedding"), F.col("_q")), 6).alias("distance"))
+    A search compares every query with every vector. Queries are counted: up to `block` of them are broadcast (2,000 vectors of 768 floats
+    are 6 MB) and meet each vector where it is read. More are cut into blocks, and every pair of a block of queries and a slice of the vectors
+    is a key of its own in a shuffled join, so that no task holds all of one side; ranking starts before the shuffle in both cases."""
+    q = queries.select("query_id", F.col("vector").alias("_q"), *([F.col(partition).alias("_p")] if partition else []))
+    v = vectors.select("vec_id", "embedding", *([F.col(partition).alias("_vp")] if partition else []))
+    on = F.col("query_id") != F.col("vec_id")
+    if partition:
+        on = on & (F.col("_p") == F.col("_vp"))
+    n = queries.count()
+    if n <= block:
+        pairs = v.join(F.broadcast(q), on)
+    else:
+        slices, blocks = 64, -(-n // block)
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = v.withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).withColumn("_block", each(blocks))
+        right = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_slice", each(slices))
+        pairs = left.join(right.hint("shuffle_hash"), ["_block", "_slice"]).where(on)
+    near = pairs.select("query_id", "vec_id", F.round(l2(F.col("embedding"), F.col("_q")), 6).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
