@@ -77,6 +77,7 @@ def test_bundle_order_parents_and_content():
     facts = bundles.map_bundle(_bundle())
     assert [(f["fhir_id"], f["ts"], f["parent_fhir_id"], f["parent_fallback"]) for f in facts] == [("p", "1980-01-01", None, False), ("e", "2020-01-05", "p", False), ("n", "2020-01-01", "e", False), ("m", "2020-01-02", "e", False), ("c", "2099-01-01", "p", True)]
     by = {f["fhir_id"]: f for f in facts}
+    assert all(f["fact_id"] == trust.fact_identity({"type": f["type"], "timestamp": f["ts"], "parents": f["parents"], "content": json.loads(f["content"])}) for f in facts)
     assert by["n"]["warning"] and json.loads(by["n"]["content"])["raw_text"].startswith("\n# Visit") and by["n"]["type"] == "clinical_note"
     assert json.loads(by["p"]["content"])["name"] == "Ann Bo"
     assert flatten.codings(json.loads(by["m"]["content"])) == [("http://www.nlm.nih.gov/research/umls/rxnorm", "309362")]
