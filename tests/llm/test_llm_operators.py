@@ -70,6 +70,14 @@ def test_near_classes_equal_brute_force(spark):
     assert kept.columns == table(spark, texts).columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes(texts)))
 
 
+def test_keep_one_tells_classes_apart_by_text(spark):
+    rng = random.Random(15)
+    a, b, c, d, e = (prose(rng, 100) for _ in range(5))
+    rows = [(1, a), (1, b), (1, a), (2, near_copy(rng, b, 1)), (None, c), (None, d), (None, c), (None, e), (7, e), (None, None), (None, None)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter([(1, a), (1, b), (None, c), (None, d), (7, e), (None, None)])
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     how = minhash.Banding(bands=100, rows=4)
