@@ -1,6 +1,7 @@
 """Secret scan: three base patterns, and a battery of randomness tests for tokens that no pattern names.
 
-Battery, per token of a text: the encoding is inferred from the characters (hex, base32, base64); a chi-squared test
+Battery, per token of a text (the sides of an inner "=" apart, and the parts of a path, where no alphabet holds it whole): the encoding is
+inferred from the characters (digits, hex, base32, base64); a chi-squared test
 of alphabet uniformity, a runs test about the alphabet's middle and a lag-one serial correlation test must each be
 consistent with a random draw. Whether an ordinary token (words, paths, identifiers) could look as uniform and as
 mixed is a second p-value, which falls with length; Benjamini-Hochberg over the tokens of the text controls the
@@ -32,8 +33,11 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What an inner "=" parts: padding stays with the last part.
+_SIDE = re.compile(r"[^=]+(?:=+$)?")
+_STEP = re.compile(r"[^/]+")
 #: Alphabets by encoding, in the order in which they are tried.
-ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+ALPHABETS = {"digits": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
 _RANK = {k: {c: i for i, c in enumerate(a)} for k, a in ALPHABETS.items()}
 _SETS = {k: set(a) for k, a in ALPHABETS.items()}
 
@@ -58,8 +62,6 @@ def _upper(z: float) -> float:
 
 def encoding(token: str) -> str | None:
     seen = set(token)
-    if not (seen & set("0123456789")) or seen <= set("0123456789"):
-        return None
     return next((k for k, a in _SETS.items() if seen <= a), None)
 
 
@@ -102,14 +104,28 @@ def ordinariness(token: str, kind: str, how: Battery) -> float:
     return min(1.0, math.exp(-half) * (1 + half))
 
 
+def parts(start: int, end: int, token: str, least: int) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, characters without padding, encoding) of what is tested of a token: each side of an inner "=", or, of a side that
+    no alphabet holds, the steps of the path."""
+    for side in _SIDE.finditer(token):
+        body = side[0].rstrip("=").lstrip("-_/+")
+        if len(body) < least:
+            continue
+        at = start + side.start() + side[0].find(body)
+        if kind := encoding(body):
+            yield at, start + side.end(), body, kind
+            continue
+        for m in _STEP.finditer(body):
+            step = m[0].lstrip("-_+")
+            if len(step) >= least and (kind := encoding(step)):
+                to = at + m.end() if m.end() < len(body) else start + side.end()
+                yield at + m.end() - len(step), to, step, kind
+
+
 def discoveries(tokens: list[tuple[int, int, str]], how: Battery = Battery()) -> list[tuple[int, int]]:
     """The spans of tokens judged random, by Benjamini-Hochberg among all of them."""
     found = []
-    for start, end, token in tokens:
-        body = token.rstrip("=").lstrip("-_/+=")
-        start += token.find(body) if body else 0
-        if len(body) < how.least or (kind := encoding(body)) is None:
-            continue
+    for start, end, body, kind in (x for t in tokens for x in parts(*t, how.least)):
         if min(randomness(body, kind)) < how.random_p:
             found.append((1.0, start, end))
         else:

@@ -148,6 +148,24 @@ def test_secret_spans():
     assert secret_scan.redact("a password: hunter22 b", secret_scan.base_spans("a password: hunter22 b")) == "a [SECRET] b"
 
 
+def test_secrets_behind_names_and_in_paths():
+    rng = random.Random(16)
+    draw = lambda kind, n: "".join(rng.choice(secret_scan.ALPHABETS[kind]) for _ in range(n))
+    for before, after in (("AWS_SECRET_ACCESS_KEY=", ""), ("session=", "=="), ("https://h.example/a?sig=", "&x=1"), ("export MY-KEY=", " end")):
+        hits = 0
+        for _ in range(50):
+            value = draw("base64", 44).lstrip("+/").ljust(44, "x")
+            spans = secret_scan.scan_text(before + value + after)[1]
+            hits += any((s, e) == (len(before), len(before) + 44 + 2 * (after == "==")) for s, _, e in spans)
+        assert hits >= 40, before
+    step = [(f"/srv/my-data_dir/{(x := draw('base64', 60).replace('/', 'a').lstrip('+'))}", x) for _ in range(50)]
+    assert sum(any(path[s:e] == x for s, _, e in secret_scan.scan_text(path)[1]) for path, x in step) >= 40
+    letters = ["".join(rng.choice(secret_scan.ALPHABETS["base64"][:52]) for _ in range(44)) for _ in range(50)]
+    assert sum(bool(secret_scan.scan_text("key " + x)[1]) for x in letters) >= 30
+    plain = ["internationalizationoforganizations", "getElementsByClassNameOrDefaultValue", "content=/usr/share/some-module/python_packages", "3141592653589793238462643383279"]
+    assert not any(secret_scan.scan_text(t)[1] for t in plain)
+
+
 def test_extraction_skips_what_surrounds_the_article(spark):
     page = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a>Menu</a></nav><div class="cookie-notice">Cookies</div>
     <article><h1>Head &amp; tail</h1><p>One<br> two&nbsp;three<p>Four <b>five</b></p><form><p>Mail</p></form><aside>Side</aside></article>
