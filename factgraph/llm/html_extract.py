@@ -5,7 +5,7 @@ have the same occurrence vector (how often they occur on each of its pages) form
 each is reduced to a 64-bit sum of hashes of (page, count), which Spark aggregates by host and token, so that a host may hold any share of
 all pages. A class is valid if it has at least two tokens and occurs on at least half of the host's distinct pages; valid classes nest by
 support into the host's template (`nest`). What the template does not cover are slots; the slots of the article are
-the result, menus, notices, forms, comments and the like being told by their elements and names.
+the result, menus, notices, forms, comments and the like being told by their elements and names (whole ones, and never of what holds the article).
 
 Template sizes are bounded: a page has a bounded number of tokens on average, and each template token is on half of the pages.
 
@@ -33,7 +33,7 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 
 #: Elements by their part in a page.
 RAW = frozenset("script style noscript template title textarea iframe svg math object canvas".split())
-OUTSIDE = frozenset("head nav header footer aside form button select menu dialog figcaption fieldset label option audio video".split())
+OUTSIDE = frozenset("head nav header footer aside form button select menu dialog fieldset label option audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
@@ -44,11 +44,22 @@ NOISE = frozenset(
     header masthead topbar comment comments commentlist reply replies respond disqus discussion related recommended recommendations widget widgets pagination pager
     toolbar search skip hidden tags complementary contentinfo form disclaimer""".split()
 )
+#: Words that beside one of NOISE leave a name what it is (site-footer); any other word makes it another name (has-sidebar).
+PLAIN = frozenset("area bar block bottom box button buttons center col column container email feed global group icons inner item items left link links list main outer page panel post posts primary right row secondary section site slot top unit wrap wrapper x".split())
+#: Names of readers' texts: such a part is never taken for the article.
+TALK = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 _WORD = re.compile(r"[a-z]+")
 
 
-def _noisy(attributes: str) -> bool:
-    return any(w in NOISE for m in _NAMES.finditer(attributes) for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", next(filter(None, m.groups()), "")).lower()))
+def _noise(attributes: str) -> frozenset[str]:
+    """The words of NOISE in the names that are noise as a whole."""
+    found: set[str] = set()
+    for m in _NAMES.finditer(attributes):
+        for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", next(filter(None, m.groups()), "")).lower().split():
+            words = set(_WORD.findall(name))
+            if words & NOISE and words <= NOISE | PLAIN:
+                found |= words & NOISE
+    return frozenset(found)
 
 
 @dataclass
@@ -58,23 +69,53 @@ class Block:
     outside: bool
     main: int  # number of the article or main element it is in, 0 for none
     linked: int  # characters within links
+    named: tuple[int, ...] = ()  # numbers of the elements around it whose names are noise
 
 
 @dataclass
 class Page:
     tokens: list[int] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
+    names: list[frozenset[str]] = field(default_factory=list)  # of the elements named as noise
+    around: dict[int, tuple[int, ...]] = field(default_factory=dict)  # by article or main element, the named elements it is in
+    own: set[int] = field(default_factory=set)  # article elements that are themselves named so
+
+
+def settle(page: Page) -> None:
+    """Marks as outside what lies in elements named as noise, but for those that hold the article: where no article or main element lies free of them, those
+    around the longest; where there is none at all, those with most of the text that is no link."""
+    inner = [b for b in page.blocks if not b.outside]
+    sizes: dict[int, int] = {}
+    for b in inner:
+        if b.main and b.main not in page.own and len(b.named) == len(page.around[b.main]):
+            sizes[b.main] = sizes.get(b.main, 0) + len(b.text)
+    talk = {i for i, words in enumerate(page.names) if words & TALK}
+    held: set[int] = set()
+    if not any(not page.around[k] for k in sizes):
+        open_ = [k for k in sizes if not talk & set(page.around[k])]
+        if open_:
+            held = set(page.around[max(open_, key=lambda k: (sizes[k], -k))])
+        elif page.names:
+            total, by_name = 0, [0] * len(page.names)
+            for b in inner:
+                n = max(0, len(b.text) - b.linked)
+                total += n
+                for i in b.named:
+                    by_name[i] += n
+            held = {i for i, n in enumerate(by_name) if 2 * n > total} - talk
+    for b in inner:
+        b.outside = any(i not in held for i in b.named)
 
 
 def parse(source: str) -> Page:
     """Tokens and text blocks. Elements that are never closed end with the next one that closes around them."""
     page = Page()
-    stack: list[tuple[str, bool, int, int]] = []  # name, outside, main, hash of the path
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # name, outside, main, hash of the path, named
     parts: list[str] = []
     linked, mains, links, at, n = 0, 0, 0, 0, len(source)
 
-    def top() -> tuple[str, bool, int, int]:
-        return stack[-1] if stack else ("", False, 0, 0)
+    def top() -> tuple[str, bool, int, int, tuple[int, ...]]:
+        return stack[-1] if stack else ("", False, 0, 0, ())
 
     def flush() -> None:
         nonlocal linked
@@ -82,10 +123,10 @@ def parse(source: str) -> Page:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                _, outside, main, path = top()
+                _, outside, main, path, around = top()
                 token = xxhash.xxh3_64_intdigest(text, path & 0xFFFFFFFFFFFFFFFF)
                 page.tokens.append(token)
-                page.blocks.append(Block(token, text, outside, main, linked))
+                page.blocks.append(Block(token, text, outside, main, linked, around))
         linked = 0
 
     def add(piece: str) -> None:
@@ -111,7 +152,7 @@ def parse(source: str) -> Page:
                 links = max(0, links - 1) if closes else 1
             if name == "br":
                 parts.append(" ")
-            elif not closes and name == "span" and _noisy(attributes):
+            elif not closes and name == "span" and _noise(attributes):
                 page.tokens.append(xxhash.xxh3_64_intdigest("span" + attributes, top()[3]))
             continue
         flush()
@@ -132,21 +173,26 @@ def parse(source: str) -> Page:
         if name == "body":
             while stack and stack[-1][0] == "head":
                 stack.pop()
-        _, outside, main, path = top()
+        _, outside, main, path, around = top()
         path = xxhash.xxh3_64_intdigest(name, path)
         # what names a class of elements is part of the role; numbers in it are not
         named = re.sub(r"\d+", "0", "".join(x or y or z for x, y, z in _NAMES.findall(attributes))) if attributes else ""
         page.tokens.append(xxhash.xxh3_64_intdigest(named, path))
         if name in VOID or attributes.endswith("/"):
             continue
+        noise = _noise(attributes) if attributes and name not in ("html", "body", "main") else frozenset()
+        if noise:
+            around = (*around, len(page.names))
+            page.names.append(noise)
         if not main and (name in MAIN or 'role="main"' in attributes):
             mains += 1
             main = mains
-        if name == "article" and main and outside is False and any(s[0] == "article" for s in stack) and _noisy(attributes):
-            outside = True
-        outside = outside or name in OUTSIDE or (name not in ("html", "body") and bool(attributes) and name not in MAIN and _noisy(attributes)) or (name in MAIN and bool(attributes) and _noisy(attributes))
-        stack.append((name, outside, main, path))
+            page.around[main] = around
+            if noise and name in MAIN:
+                page.own.add(main)
+        stack.append((name, outside or name in OUTSIDE, main, path, around))
     flush()
+    settle(page)
     return page
 
 
@@ -156,17 +202,9 @@ def slots(page: Page, template: frozenset[int] | set[int]) -> list[Block]:
 
 
 def main_text(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's slots, a line each. Of several articles the longest counts; without any, what is not mostly links."""
+    """The article's slots, a line each: of all article and main elements, or, where there is none, what is not mostly links."""
     inside = [b for b in slots(page, template) if not b.outside]
-    sizes: dict[int, int] = {}
-    for b in inside:
-        if b.main:
-            sizes[b.main] = sizes.get(b.main, 0) + len(b.text)
-    if sizes:
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        chosen = [b for b in inside if b.main == best]
-    else:
-        chosen = [b for b in inside if b.linked <= len(b.text) / 2]
+    chosen = [b for b in inside if b.main] or [b for b in inside if b.linked <= len(b.text) / 2]
     return "\n".join(b.text for b in chosen)
 
 

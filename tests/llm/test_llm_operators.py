@@ -176,6 +176,16 @@ def test_extraction_skips_what_surrounds_the_article(spark):
     assert all(got[i] == f"Story {i} is told here." for i in range(6)) and got[10] == got[11] == ""
 
 
+@pytest.mark.parametrize("wrapper", ['div class="site has-sidebar"', 'div class="no-header content"', 'div class="sidebar"', 'div id="search"', 'main class="with-sidebar"'])
+def test_wrappers_do_not_take_the_article_away(wrapper):
+    name, read = wrapper.split()[0], lambda x: html_extract.main_text(html_extract.parse(x))
+    around = f"<body><{wrapper}>{{}}<div class='site-footer'>Imprint</div></{name}>"
+    assert read(around.format("<article><p>One</p><figure><figcaption>Caption</figcaption></figure></article><article><p>Second part</p></article>")).split("\n")[:3] == ["One", "Caption", "Second part"]
+    assert "A long text of this page" in read(around.format("<p>A long text of this page</p>"))
+    comments = "<section id='comments'><article><p>A comment that is much longer than the text of this page is</p></article></section>"
+    assert read(f"<body><p>Text</p>{comments}") == "Text" and read(f"<body><article>Text</article>{comments}") == "Text"
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://b.example/x", "same"), (2, "http://a.example/", "same"), (3, "http://a.example/", "é"), (4, None, None), (5, "u", ""), (3, "http://a.example/", "é")]
     got = warc.captures(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
