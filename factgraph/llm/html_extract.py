@@ -3,8 +3,10 @@
 A page is a sequence of tokens: tags told apart by their path in the page, and text blocks with their path. Tokens of a host that
 have the same occurrence vector (how often they occur on each of its pages) form an equivalence class. Vectors are not stored:
 each is reduced to a 64-bit sum of hashes of (page, count), which Spark aggregates by host and token, so that a host may hold any share of
-all pages. A class is valid if it has at least two tokens and occurs on at least half of the host's distinct pages; valid classes nest by
-support into the host's template (`nest`). What the template does not cover are slots; the slots of the article are
+all pages. A class is valid if it has at least two tokens and occurs on at least half of the host's distinct pages. On each page the classes
+are put in the host's order and nested by support (`nest`): tokens out of order and classes that overlap another without lying in it are no template. Text is
+template if its class is on nearly all pages, or, outside of articles, if it has the element around it in its class, so that what a few pages have in
+common (near copies of an article) stays. What the template does not cover are slots; the slots of the article are
 the result, menus, notices, forms, comments and the like being told by their elements and names (whole ones, and never of what holds the article).
 
 Template sizes are bounded: a page has a bounded number of tokens on average, and each template token is on half of the pages.
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -70,6 +74,7 @@ class Block:
     main: int  # number of the article or main element it is in, 0 for none
     linked: int  # characters within links
     named: tuple[int, ...] = ()  # numbers of the elements around it whose names are noise
+    element: int = 0  # token of the element around it
 
 
 @dataclass
@@ -110,12 +115,12 @@ def settle(page: Page) -> None:
 def parse(source: str) -> Page:
     """Tokens and text blocks. Elements that are never closed end with the next one that closes around them."""
     page = Page()
-    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # name, outside, main, hash of the path, named
+    stack: list[tuple[str, bool, int, int, tuple[int, ...], int]] = []  # name, outside, main, hash of the path, named, token
     parts: list[str] = []
     linked, mains, links, at, n = 0, 0, 0, 0, len(source)
 
-    def top() -> tuple[str, bool, int, int, tuple[int, ...]]:
-        return stack[-1] if stack else ("", False, 0, 0, ())
+    def top() -> tuple[str, bool, int, int, tuple[int, ...], int]:
+        return stack[-1] if stack else ("", False, 0, 0, (), 0)
 
     def flush() -> None:
         nonlocal linked
@@ -123,10 +128,10 @@ def parse(source: str) -> Page:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                _, outside, main, path, around = top()
+                _, outside, main, path, around, element = top()
                 token = xxhash.xxh3_64_intdigest(text, path & 0xFFFFFFFFFFFFFFFF)
                 page.tokens.append(token)
-                page.blocks.append(Block(token, text, outside, main, linked, around))
+                page.blocks.append(Block(token, text, outside, main, linked, around, element))
         linked = 0
 
     def add(piece: str) -> None:
@@ -173,11 +178,11 @@ def parse(source: str) -> Page:
         if name == "body":
             while stack and stack[-1][0] == "head":
                 stack.pop()
-        _, outside, main, path, around = top()
+        _, outside, main, path, around, _ = top()
         path = xxhash.xxh3_64_intdigest(name, path)
         # what names a class of elements is part of the role; numbers in it are not
         named = re.sub(r"\d+", "0", "".join(x or y or z for x, y, z in _NAMES.findall(attributes))) if attributes else ""
-        page.tokens.append(xxhash.xxh3_64_intdigest(named, path))
+        page.tokens.append(element := xxhash.xxh3_64_intdigest(named, path))
         if name in VOID or attributes.endswith("/"):
             continue
         noise = _noise(attributes) if attributes and name not in ("html", "body", "main") else frozenset()
@@ -190,7 +195,7 @@ def parse(source: str) -> Page:
             page.around[main] = around
             if noise and name in MAIN:
                 page.own.add(main)
-        stack.append((name, outside or name in OUTSIDE, main, path, around))
+        stack.append((name, outside or name in OUTSIDE, main, path, around, element))
     flush()
     settle(page)
     return page
@@ -213,33 +218,36 @@ def host(url: Column) -> Column:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(host, token, pages, vector) by task, of (host, page, html); summed by the caller."""
+    """(host, token, pages, vector, spot: sum of its first places) by task, of (host, page, html); summed by the caller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[int]] = {}
 
         def out() -> pa.RecordBatch:
             keys = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([_signed(v[1]) for v in held.values()], pa.int64())], names=["host", "token", "pages", "vector"])
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([_signed(v[1]) for v in held.values()], pa.int64()), pa.array([v[2] for v in held.values()], pa.int64())], names=["host", "token", "pages", "vector", "spot"])
             held.clear()
             return batch
 
         for batch in batches:
             for h, page, source in zip(*[c.to_pylist() for c in batch.columns]):
                 seen: dict[int, int] = {}
-                for token in parse(source or "").tokens:
+                spots: dict[int, int] = {0: 0}
+                for k, token in enumerate(parse(source or "").tokens):
                     seen[token] = seen.get(token, 0) + 1
+                    spots.setdefault(token, k)
                 seen[0] = 1  # counts the pages of the host
                 for token, n in seen.items():
-                    v = held.setdefault((h, token), [0, 0])
+                    v = held.setdefault((h, token), [0, 0, 0])
                     v[0] += 1
+                    v[2] += spots[token]
                     v[1] ^= xxhash.xxh3_64_intdigest(page.to_bytes(8, "little", signed=True) + n.to_bytes(4, "little"))
                 if len(held) > 100_000:
                     yield out()
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "host string, token long, pages long, vector long")
+    return rows.mapInArrow(run, "host string, token long, pages long, vector long, spot long")
 
 
 def _signed(x: int) -> int:
@@ -247,14 +255,14 @@ def _signed(x: int) -> int:
 
 
 def equivalence_classes(pages: DataFrame, size: int = 2, support: float = 0.5, least_pages: int = 3) -> DataFrame:
-    """host, vector, pages, tokens of the valid classes. pages: url, html; copies of a page count once a host."""
+    """host, vector, pages, share (of the host's pages) and tokens of the valid classes, in the order of their mean first places. pages: url, html; copies of a page count once a host."""
     rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.select("host", F.xxhash64("html").alias("page"), "html")
-    counts = _counts(_first_of_copies(rows)).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"))
+    counts = _counts(_first_of_copies(rows)).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("spot").alias("spot"))
     counts = materialise(counts.where(F.col("pages") >= 2), "tokens")
     total = counts.where("token = 0").select(F.col("host").alias("h"), F.col("pages").alias("n"))
     frequent = counts.where("token <> 0").join(total, F.col("host") == F.col("h")).where((F.col("n") >= least_pages) & (F.col("pages") >= support * F.col("n")))
-    return frequent.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.collect_list("token").alias("tokens")).where(F.size("tokens") >= size)
+    return frequent.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.max(F.col("pages") / F.col("n")).alias("share"), F.transform(F.sort_array(F.collect_list(F.struct("spot", "token"))), lambda x: x["token"]).alias("tokens")).where(F.size("tokens") >= size)
 
 
 def _first_of_copies(rows: DataFrame) -> DataFrame:
@@ -266,21 +274,77 @@ def _first_of_copies(rows: DataFrame) -> DataFrame:
     return rows.join(repeated, ["host", "page"], "left_anti").unionByName(held)
 
 
-def nest(classes: list[tuple[int, list[int]]], order: dict[int, int]) -> list[tuple[int, list[int], int]]:
-    """(support, tokens, parent) with classes by falling support: the parent is the nearest earlier class within whose span of positions
-    (on a sample page) the class lies, -1 for none. order: position of each token on that page."""
-    ranked = sorted(classes, key=lambda c: (-c[0], min(order.get(t, 1 << 30) for t in c[1])))
-    spans = [(min(p), max(p)) if (p := [order[t] for t in tokens if t in order]) else (-1, -1) for _, tokens in ranked]
-    out = []
-    for i, (support, tokens) in enumerate(ranked):
-        around = [j for j in range(i) if spans[j][0] <= spans[i][0] and spans[i][1] <= spans[j][1] and spans[i][0] >= 0]
-        out.append((support, tokens, min(around, key=lambda j: spans[j][1] - spans[j][0], default=-1)))
+def _in_order(places: list[int]) -> list[int]:
+    """Indices of a longest increasing run of places, gaps allowed."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(places)
+    for i, x in enumerate(places):
+        k = bisect_left(ends, x)
+        ends[k:k + 1], last[k:k + 1] = [x], [i]
+        before[i] = last[k - 1] if k else -1
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+@dataclass
+class Class:
+    pages: int
+    share: float
+    tokens: list[int]  # in the host's order
+
+
+def nest(classes: list[Class], tokens: list[int]) -> list[tuple[Class, set[int], int]]:
+    """(class, its tokens in order, parent) of the classes that nest on a page of these tokens, by falling support.
+
+    The parent is the index of the narrowest class before it in whose span the class lies, -1 for none. Tokens that break the host's order go, and a class
+    that overlaps an earlier one without lying in it or around it. The first class is the page's frame and spans it; tokens that repeat on the page have no one place,
+    so a class of those lies within the frame alone."""
+    order: dict[int, int] = {}
+    for k, t in enumerate(tokens):
+        order.setdefault(t, k)
+    count = Counter(tokens)
+    here = [(c, own) for c in classes if (own := [t for t in c.tokens if t in order])]
+    here.sort(key=lambda x: (-x[0].pages, count[x[1][0]] > 1, min(order[t] for t in x[1])))
+    out: list[tuple[Class, set[int], int]] = []
+    spans: list[tuple[int, int]] = []
+    for c, own in here:
+        places = [order[t] for t in own]
+        if count[own[0]] > 1 and out:
+            out.append((c, set(own), 0))
+            spans.append((-1, -1))
+            continue
+        kept = _in_order(places)
+        lo, hi = (places[kept[0]], places[kept[-1]]) if out else (0, len(tokens))
+        if any(a < lo <= b < hi or lo < a <= hi < b for a, b in spans):
+            continue
+        around = [j for j, (a, b) in enumerate(spans) if a <= lo and hi <= b]
+        out.append((c, {own[k] for k in kept}, min(around, key=lambda j: spans[j][1] - spans[j][0], default=-1)))
+        spans.append((lo, hi))
     return out
 
 
+def template_of(page: Page, classes: list[Class], common: float = 0.9, least_pages: int = 3) -> set[int]:
+    """The tokens of the texts that the host's nested classes cover on a page: those of a class on `common` of the host's pages, and
+    outside of articles those that share a class with their element, on `least_pages` or more."""
+    held: dict[int, tuple[Class, set[int]]] = {}
+    for c, own, _ in nest(classes, page.tokens):
+        held.update((t, (c, own)) for t in own)
+    found = set()
+    for b in page.blocks:
+        if b.token in held:
+            c, own = held[b.token]
+            if c.share >= common or (not b.main and c.pages >= least_pages and b.element in own):
+                found.add(b.token)
+    return found
+
+
 def templates(pages: DataFrame, **limits) -> DataFrame:
-    """host and template, the tokens of its valid classes."""
-    return equivalence_classes(pages, **limits).groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("template"))
+    """host and template, its valid classes."""
+    return equivalence_classes(pages, **limits).groupBy("host").agg(F.collect_list(F.struct("pages", "share", "tokens")).alias("template"))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), salt: int = 16) -> DataFrame:
@@ -288,21 +352,22 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), salt:
     found = materialise(templates(pages), "templates")
     salted = found.select(F.col("host").alias("_host"), "template", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
     rows = pages.select(*keep, F.coalesce("html", F.lit("")).alias("_html"), host(F.col("url")).alias("_h"))
-    joined = rows.join(salted, (F.col("_h") == F.col("_host")) & (F.pmod(F.xxhash64("_html"), F.lit(salt)).cast("int") == F.col("_salt")), "left").select(*keep, "_html", "template")
+    joined = rows.join(salted, (F.col("_h") == F.col("_host")) & (F.pmod(F.xxhash64("_html"), F.lit(salt)).cast("int") == F.col("_salt")), "left").select(*keep, "_html", "_h", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset[int]] = {}
+        known: dict[str, list[Class]] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
+                held = batch.column(len(keep) + 2)
                 texts = []
-                for source, tokens in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()):
-                    key = tuple(tokens or ())
-                    if key not in known:
+                for i, (source, name) in enumerate(zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist())):
+                    if name not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[key] = frozenset(t % 2**64 for t in key)
-                    texts.append(main_text(parse(source), known[key]))
+                        known[name] = [Class(c["pages"], c["share"], [t % 2**64 for t in c["tokens"]]) for c in held[i].as_py() or ()]
+                    page = parse(source)
+                    texts.append(main_text(page, template_of(page, known[name]) if known[name] else frozenset()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     return joined.mapInArrow(run, T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

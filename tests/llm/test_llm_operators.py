@@ -186,6 +186,26 @@ def test_wrappers_do_not_take_the_article_away(wrapper):
     assert read(f"<body><p>Text</p>{comments}") == "Text" and read(f"<body><article>Text</article>{comments}") == "Text"
 
 
+def test_near_copies_on_a_small_host_keep_their_article(spark):
+    story = [f"<p>{i} Paragraph one of a story.</p><blockquote>{i} Said once.</blockquote><p>{i} Paragraph two of it.</p>" for i in range(4)]
+    frame = "<body><div>Shared banner</div><div>{}</div><footer>End</footer>"
+    bodies = [story[0], story[0] + "<p>Printed today</p>", story[1], story[2].replace("blockquote", "h4")]
+    pages = [(i, f"http://h.example/{i}", frame.format(b)) for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    first = "0 Paragraph one of a story.\n0 Said once.\n0 Paragraph two of it."
+    assert got[0] == first and got[1] == first + "\nPrinted today" and "Shared banner" not in "".join(got.values())
+
+
+def test_classes_nest_by_order_and_span():
+    frame, promo, across, turned = (html_extract.Class(n, n / 10, t) for n, t in ((10, [1, 2, 9]), (8, [3, 4, 5]), (6, [4, 6]), (5, [8, 7])))
+    across.tokens = [10, 6]
+    got = html_extract.nest([turned, across, promo, frame], [1, 2, 3, 10, 4, 5, 6, 7, 8, 9])
+    assert [(c.pages, own, parent) for c, own, parent in got][:2] == [(10, {1, 2, 9}, -1), (8, {3, 4, 5}, 0)]
+    assert all(c is not across for c, _, _ in got)  # overlaps promo without lying in it
+    assert [len(own) for c, own, _ in got if c is turned] == [1]  # one of two tokens breaks the order
+    assert html_extract._in_order([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://b.example/x", "same"), (2, "http://a.example/", "same"), (3, "http://a.example/", "é"), (4, None, None), (5, "u", ""), (3, "http://a.example/", "é")]
     got = warc.captures(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
