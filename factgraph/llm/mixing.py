@@ -2,8 +2,9 @@
 
 The words of a source, in a fixed pseudorandom order of its documents, form one stream that is cut into blocks of
 `block` words. A source's target says how many words it gives; whole passes over it take every block, and a last partial pass takes as
-many blocks as are needed, the final one trimmed, so that the words taken equal the target rounded down. Slots are dealt to
-output shards by a multinomial draw per source, and slot j of a pass is mapped to a block by a pseudorandom
+many blocks as are needed, the final one trimmed, so that the words taken equal the target rounded down. The number of output shards follows from the whole mix.
+Each source deals its slots to all of them by a multinomial draw of equal chances, so that a shard's counts are a multinomial draw in proportion to the sources' slots
+and the totals stay exact; slot j of a pass is mapped to a block by a pseudorandom
 permutation (a Feistel network with cycle walking), evaluated where it is needed and never stored. Blocks are joined by index.
 
 Everything is drawn from hashes and seeded generators of the data, so that reruns agree, whatever the partitioning.
@@ -99,6 +100,8 @@ def slots(plan: DataFrame, how: Mix = Mix()) -> DataFrame:
     plan: source, source_size, target. A source's slots are cut into ranges, so that no task makes more than about a million."""
 
     step = 1 << 20
+    every = plan.where("source_size > 0").agg(F.sum(F.ceil(F.floor("target") / how.block))).first()[0] or 0
+    shards = max(1, min(how.shards_most, -(-int(every) // how.shard_slots)))
     total = F.expr(f"cast(ceil(target / {how.block}) as bigint) + 2")
     ranges = plan.where("source_size > 0").select("source", "source_size", F.floor("target").cast("long").alias("take"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(total - 1, F.lit(0)), F.lit(step).cast("long"))).alias("at"))
 
@@ -129,7 +132,6 @@ def slots(plan: DataFrame, how: Mix = Mix()) -> DataFrame:
                         before = here * how.block - (here > spot) * (how.block - short)
                         words[m] = np.clip(rest - before, 0, words[m])
                     ok = words > 0
-                    shards = max(1, min(how.shards_most, -(-n // how.shard_slots)))
                     counts = np.random.default_rng(key).multinomial(n, np.full(shards, 1 / shards))
                     shard = np.searchsorted(np.cumsum(counts), _feistel(j, n, key + 17), "right")
                     yield pd.DataFrame({"source": pd.Series([source] * int(ok.sum()), dtype=object), "shard": shard[ok].astype(np.int32), "slot": j[ok], "pass": which[ok].astype(np.int32), "block": block[ok], "n_words": words[ok]})

@@ -259,6 +259,19 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs.where("false"))[0].count() == 0
 
 
+def test_shards_carry_the_weights_of_the_mix(spark):
+    plan = spark.createDataFrame([("hot", 800_000, 1_200_000.0), ("small", 20_000, 40_000.0), (None, 60_000, 120_000.0), ("none", 0, 0.0)], "source string, source_size long, target double")
+    by_shard = collections.defaultdict(collections.Counter)
+    words = collections.Counter()
+    for r in mixing.slots(plan, mixing.Mix(block=16, shard_slots=4096)).collect():
+        by_shard[r.shard][r.source] += 1
+        words[r.source] += r.n_words
+    assert words == {"hot": 1_200_000, "small": 40_000, None: 120_000} and sorted(by_shard) == list(range(21))
+    for counts in by_shard.values():
+        for source, want in (("hot", 75_000 / 21), ("small", 2_500 / 21), (None, 7_500 / 21)):
+            assert abs(counts[source] - want) < 5 * want**0.5
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randrange(1, 900)) for _ in range(120)] + ODD
