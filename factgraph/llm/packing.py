@@ -3,7 +3,7 @@
 Documents become token ids plus an end id; only those longer than a sequence are cut, the first piece taking the
 remainder. The driver sees the histogram of piece lengths, which has `capacity` cells at any corpus size. Multiplicative weights solve the covering
 program: a dual price per length, a knapsack dynamic program that finds the best configuration at these prices, prices falling for
-the lengths that it covers. Configurations are taken whole times as they are found, and what is then left is packed best-fit decreasing. Each piece then finds its place by its rank among the pieces of its length, in a table that grows with the configurations, not the rows.
+the lengths that it covers. Configurations are taken whole times as they are found, not to convergence, and what is then left (README has its share) is packed best-fit decreasing. Each piece then finds its place by its rank among the pieces of its length, in a table that grows with the configurations, not the rows.
 
 Cases: null counts as the empty text, which is the end id alone; repeated rows are packed each on its own; an empty table
 gives an empty result.
@@ -129,20 +129,30 @@ def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def best_fit(items: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best-fit decreasing."""
-    open_: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins: list[list[int]] = []
-    for x in np.sort(items)[::-1]:
-        room = next((r for r in range(int(x), capacity) if open_[r]), None)
-        if room is None:
-            bins.append([int(x)])
-            at, room = len(bins) - 1, capacity
-        else:
-            at = open_[room].pop()
-            bins[at].append(int(x))
-        open_[room - int(x)].append(at)
-    return bins
+def best_fit(histogram: np.ndarray) -> list[tuple[int, list[int]]]:
+    """(times, lengths) of best-fit decreasing over the histogram (index: length).
+
+    Equal bins are one group: pieces of a length fill the fullest bins that take them, each as often as it can, so that the work follows the lengths, not the pieces."""
+    capacity = len(histogram) - 1
+    open_: list[list[tuple[int, tuple[tuple[int, int], ...]]]] = [[] for _ in range(capacity + 1)]  # by room: bins, and their (length, count)
+    for x in np.flatnonzero(histogram)[::-1].tolist():
+        n, room = int(histogram[x]), x
+        while n:
+            while room < capacity and not open_[room]:
+                room += 1
+            held, own = open_[room].pop() if open_[room] else (n, ())
+            k = room // x
+            full = min(held, n // k)
+            if full:
+                open_[room - k * x].append((full, (*own, (x, k))))
+                n -= full * k
+            used = full
+            if used < held and 0 < n < k:
+                open_[room - n * x].append((1, (*own, (x, n))))
+                n, used = 0, used + 1
+            if own and used < held:
+                open_[room].append((held - used, own))
+    return [(n, [x for x, k in own for _ in range(k)]) for groups in open_ for n, own in groups]
 
 
 def _solve(histogram: np.ndarray, steps: int, rate: float, share: float, rest: float, bend: float) -> list[tuple[int, list[int]]]:
@@ -151,7 +161,7 @@ def _solve(histogram: np.ndarray, steps: int, rate: float, share: float, rest: f
     The weight of a length falls exponentially with the part of its demand that is covered, so that the plan covers all
     lengths evenly. Each step prices the best configuration at length ** bend x weight (above 1, large pieces are placed while there are small ones to
     fill up with) and takes it a whole number of times, up to `share` of what is
-    left of its scarcest length. When no more than `rest` of the items are left, they are packed best-fit decreasing."""
+    left of its scarcest length. When no more than `rest` of the items are left, or the steps are over, what is left is packed best-fit decreasing."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     plan: list[tuple[int, list[int]]] = []
@@ -169,18 +179,7 @@ def _solve(histogram: np.ndarray, steps: int, rate: float, share: float, rest: f
         times = max(1, int(share * (left[lengths[some]] // a[some]).min()))
         plan.append((times, np.repeat(lengths, a).tolist()))
         left[lengths] -= times * a
-    # a large rest is packed in whole multiples of a thinned histogram
-    while left.sum() > 50_000:
-        scale = int(left.sum() // 20_000)
-        thin = left // scale
-        if not thin.any():
-            break
-        plan += [(scale, b) for b in best_fit(np.repeat(np.arange(capacity + 1), thin), capacity)]
-        left -= thin * scale
-    tail: dict[tuple[int, ...], int] = {}
-    for b in best_fit(np.repeat(np.arange(capacity + 1), left), capacity):
-        tail[tuple(b)] = tail.get(tuple(b), 0) + 1
-    return plan + [(n, list(b)) for b, n in tail.items()]
+    return plan + best_fit(left)
 
 
 def solve(histogram: np.ndarray, steps: int = 1_500, rate: float = 0.05, share: float = 0.25, rest: float = 0.3, bends: tuple[float, ...] = (1.2, 1.0)) -> list[tuple[int, list[int]]]:

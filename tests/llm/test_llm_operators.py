@@ -317,6 +317,24 @@ def test_solver_uses_every_piece_once():
     assert (used == h).all()
 
 
+def test_rest_is_packed_best_fit_at_every_size():
+    rng = np.random.default_rng(17)
+    for n, lengths in ((60_000, 40), (3_000, 60), (5, 60)):
+        h = np.bincount(rng.integers(1, lengths + 1, n), minlength=65)
+        bins = collections.defaultdict(list)  # by room, piece by piece
+        for x in range(64, 0, -1):
+            for _ in range(h[x]):
+                room = next((r for r in range(x, 64) if bins[r]), 64)
+                own = bins[room].pop() if room < 64 else ()
+                bins[room - x].append((*own, x))
+        got = packing._solve(h, 0, 0.05, 0.25, 0.0, 1.0)
+        used = np.zeros(65, int)
+        for times, items in got:
+            np.add.at(used, items, times)
+        assert (used == h).all() and sum(times for times, _ in got) == sum(map(len, bins.values()))
+        assert collections.Counter(64 - sum(items) for times, items in got for _ in range(times)) == collections.Counter({r: len(b) for r, b in bins.items() if b})
+
+
 def test_gradients_match_differences():
     net = toxicity.Net(hidden=3, word_dim=2, char_dim=2, attention=2, window=5, vocabulary=4)
     m = toxicity.start_model(net, np.arange(3, dtype=np.uint64), np.zeros(3, np.float32))
