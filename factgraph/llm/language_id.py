@@ -39,13 +39,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _LOW, _LETTER = _tables()
 
 
+def _lower(point: int) -> int:
+    """Of any code point: its lower case, or a space if it is no letter."""
+    c = chr(point)
+    small = c.lower()
+    return 32 if not c.isalpha() else ord(small) if len(small) == 1 else point
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and text of every n-gram in the order of the texts, and whether each text has a letter."""
     points, at = tx.code_points(data, offsets)
     n_docs = len(offsets) - 1
     near = np.minimum(points, 65535)
-    letter = _LETTER[near] | (points > 65535)
-    c = np.where(points > 65535, points, _LOW[near])
+    letter, c = _LETTER[near], _LOW[near]
+    far = np.flatnonzero(points > 65535)
+    if len(far):
+        distinct, which = np.unique(points[far], return_inverse=True)
+        letter[far] = np.array([chr(x).isalpha() for x in distinct.tolist()])[which]
+        c[far] = np.array([_lower(x) for x in distinct.tolist()], np.uint32)[which]
     doc = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(at))
     has = np.bincount(doc[letter], minlength=n_docs) > 0
     again = np.zeros(len(c), bool)

@@ -126,6 +126,15 @@ def test_language_id_learns(spark):
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_letters_beyond_the_basic_plane(spark):
+    rows = [(i, "the and of " * 9, "en") for i in range(9)] + [(20, "😀🎉 😀", None), (21, "𝟘𝟙🜁", None), (22, "𐐀𐐨", None), (23, "the 😀 and", None), (24, "the   and", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    assert got[20] == got[21] == ("und", 0.0) and got[22][0] == "en" and got[23] == got[24]
+    grams = lambda t: [x.tolist() for x in language_id.grams(*tx.buffers(pa.array([t])))[:2]]
+    assert grams("𐐀b") == grams("𐐨b") and grams("a😀b") == grams("a b")
+
+
 def test_quality_counts(spark):
     texts = ["a b c a b c a", "x y\nx y\n\nz", "", None, "#$% a"] + ["the of and to " * 50]
     rows = {r.doc_id: r for r in quality_rules.score(table(spark, texts)).collect()}
