@@ -2,8 +2,9 @@
 
 Documents become token ids plus an end id; only those longer than a sequence are cut, the first piece taking the
 remainder. The driver sees the histogram of piece lengths, which has `capacity` cells at any corpus size. Multiplicative weights solve the covering
-program: a dual price per length, a knapsack dynamic program that finds the best configuration at these prices, prices falling for
-the lengths that it covers. Configurations are taken whole times as they are found, not to convergence, and what is then left (README has its share) is packed best-fit decreasing. Each piece then finds its place by its rank among the pieces of its length, in a table that grows with the configurations, not the rows.
+program: a dual price per length, a knapsack dynamic program that finds the best configurations at these prices, prices falling for
+the lengths that they cover; any prices bound the number of sequences from below. The fractional plan is rounded down, the program solved again for what is left,
+and the last residue packed best-fit decreasing (README has its share). Each piece then finds its place by its rank among the pieces of its length, in a table that grows with the configurations, not the rows.
 
 Cases: null counts as the empty text, which is the end id alone; repeated rows are packed each on its own; an empty table
 gives an empty result.
@@ -108,24 +109,34 @@ def pieces(docs: DataFrame, how: Packing = Packing(), with_ids: bool = False, te
     return docs.select(F.col(key).alias("key"), text).mapInArrow(run, T.StructType([T.StructField("key", docs.schema[key].dataType), *fields]))
 
 
-def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration (counts by length) of the highest value: an unbounded knapsack by dynamic programming."""
+def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack by dynamic programming: the best value by room, and the index of a length placed there first (of equals the longest; -1: none more
+    than in a smaller room)."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if k := upto[c]:
-            got = value[:k] + best[c - lengths[:k]]
+            got = (value[:k] + best[c - lengths[:k]])[::-1]
             j = int(got.argmax())
-            if got[j] > best[c]:
-                best[c], pick[c] = got[j], j
-    out, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[pick[c]] += 1
-            c -= lengths[pick[c]]
+            if got[j] > best[c] + 1e-12:
+                best[c], pick[c] = got[j], k - 1 - j
+    return best, pick
+
+
+def configurations(lengths: np.ndarray, pick: np.ndarray, first: np.ndarray, capacity: int) -> np.ndarray:
+    """A row of counts by length for each index in `first`: the best configuration that holds a piece of that length."""
+    out = np.zeros((len(first), len(lengths)), np.int64)
+    live = np.arange(len(first))
+    out[live, first] += 1
+    room = capacity - lengths[first]
+    last = np.maximum.accumulate(np.where(pick >= 0, np.arange(capacity + 1), 0))
+    while len(live):
+        room[live] = last[room[live]]
+        live = live[room[live] > 0]
+        j = pick[room[live]]
+        out[live, j] += 1
+        room[live] -= lengths[j]
     return out
 
 
@@ -155,36 +166,83 @@ def best_fit(histogram: np.ndarray) -> list[tuple[int, list[int]]]:
     return [(n, [x for x, k in own for _ in range(k)]) for groups in open_ for n, own in groups]
 
 
-def _solve(histogram: np.ndarray, steps: int, rate: float, share: float, rest: float, bend: float) -> list[tuple[int, list[int]]]:
-    """(times, lengths) of the configurations that pack the histogram (index: length), in all exactly once.
-
-    The weight of a length falls exponentially with the part of its demand that is covered, so that the plan covers all
-    lengths evenly. Each step prices the best configuration at length ** bend x weight (above 1, large pieces are placed while there are small ones to
-    fill up with) and takes it a whole number of times, up to `share` of what is
-    left of its scarcest length. When no more than `rest` of the items are left, or the steps are over, what is left is packed best-fit decreasing."""
+@dataclass
+class Plan:
+    """configurations: (times, lengths), in all every piece once; bound: no packing has fewer sequences; placed, rest: sequences by the program, and best-fit."""
+
+    configurations: list[tuple[int, list[int]]]
+    bound: int = 0
+    placed: int = 0
+    rest: int = 0
+
+
+def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, weight: np.ndarray, rounds: int, rate: float, near: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower bound, configurations, how often each, log weights) of the covering program by multiplicative weights.
+
+    The price of a length is its length times its weight. A round prices by the knapsack, for every length, the best configuration that holds it, and takes
+    those whose value is within `near` of the best, each as much as its length's demand is worth. Weights then fall exponentially with what a round covers beyond the demand and rise
+    with what it lacks, by steps that shrink. The plan is the average of the rounds but for the first third. Any prices give a bound: the worth of the demand over the best configuration's."""
+    area = float((need * lengths).sum()) / capacity
+    found: dict[bytes, float] = {}
+    bound, skipped = 0.0, rounds // 3
+    for t in range(rounds):
+        value = np.exp(weight) * lengths / capacity
+        best, pick = price(lengths, value, capacity)
+        bound = max(bound, float((value * need).sum() / best[capacity]))
+        chosen = np.flatnonzero(value + best[capacity - lengths] >= (1 - near) * best[capacity])
+        rows = np.minimum(configurations(lengths, pick, chosen, capacity), need.astype(np.int64))
+        amount = (need * value)[chosen]
+        amount *= area / amount.sum()
+        if t >= skipped:
+            for x, row in zip(amount / (rounds - skipped), rows):
+                key = row.tobytes()
+                found[key] = found.get(key, 0.0) + x
+        weight = weight - rate / (t + 5) * np.clip(amount @ rows / need - 1, -1, 4)
+        weight -= weight.max()
+    return bound, np.array([np.frombuffer(k, np.int64) for k in found]), np.array(list(found.values())), weight
+
+
+def solve(histogram: np.ndarray, rounds: int = 80, rate: float = 0.7, near: float = 0.01, part: float = 0.2, phases: int = 20, grain: float = 0.002) -> Plan:
+    """The plan for a histogram (index: length), the same way at every size.
+
+    Rounding is iterated: a phase solves the program for what is left, rounds its configurations down to whole times (once at least), those first that the last prices find tightest,
+    until `part` of the bound is placed, and goes on with the rest at the prices reached. After the phase at which that takes the fewest sequences the rest is packed best-fit."""
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
-    plan: list[tuple[int, list[int]]] = []
-    if left[capacity]:
-        plan.append((int(left[capacity]), [capacity]))
+    taken: list[tuple[int, list[int]]] = []
+    placed = int(left[capacity])
+    if placed:
+        taken.append((placed, [capacity]))
         left[capacity] = 0
-    need, goal = left.astype(float), rest * left.sum()
-    for _ in range(steps):
+    weights = np.zeros(capacity + 1)
+    bound, least, plan = placed, None, None
+    for phase in range(phases):
         lengths = np.flatnonzero(left)
-        if left.sum() <= goal or not len(lengths):
+        if not len(lengths):
             break
-        weight = np.exp(rate * left[lengths] / need[lengths])
-        a = np.minimum(price(lengths, (lengths / capacity) ** bend * weight, capacity), left[lengths])
-        some = a > 0
-        times = max(1, int(share * (left[lengths[some]] // a[some]).min()))
-        plan.append((times, np.repeat(lengths, a).tolist()))
-        left[lengths] -= times * a
-    return plan + best_fit(left)
-
-
-def solve(histogram: np.ndarray, steps: int = 1_500, rate: float = 0.05, share: float = 0.25, rest: float = 0.3, bends: tuple[float, ...] = (1.2, 1.0)) -> list[tuple[int, list[int]]]:
-    """The plan of fewest sequences among those of the given price curves."""
-    return min((_solve(histogram, steps, rate, share, rest, b) for b in bends), key=lambda plan: sum(n for n, _ in plan))
+        need = left[lengths].astype(float)
+        low, rows, amounts, weights[lengths] = fractional(lengths, need, capacity, weights[lengths], rounds, rate, near)
+        if not phase:
+            bound += int(np.ceil(low - 1e-6))
+        value = np.exp(weights[lengths]) * lengths / capacity
+        loose = np.floor((1 - rows @ value / price(lengths, value, capacity)[0][capacity]) / grain)
+        now, rest = 0, left[lengths]
+        for i in np.lexsort((-amounts, loose)):
+            some = rows[i] > 0
+            times = min(max(1, int(amounts[i])), int((rest[some] // rows[i][some]).min()))
+            if times:
+                taken.append((times, np.repeat(lengths, rows[i]).tolist()))
+                rest -= times * rows[i]
+                now += times
+            if now >= part * low:
+                break
+        left[lengths] = rest
+        placed += now
+        residue = best_fit(left)
+        total = placed + sum(n for n, _ in residue)
+        if least is None or total <= least:
+            least, plan = total, Plan(taken + residue, bound, placed, total - placed)
+    return plan or Plan(taken, bound, placed)
 
 
 def places(plan: list[tuple[int, list[int]]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +268,7 @@ def pack(docs: DataFrame, how: Packing = Packing(), with_ids: bool = False, key:
     histogram = np.zeros(how.capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # a row per length, capacity at most
         histogram[length] = n
-    table = places(solve(histogram), how.capacity)
+    table = places(solve(histogram).configurations, how.capacity)
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -316,17 +317,70 @@ def test_both_tokenizers_agree_on_plain_characters():
     assert packing.encode("a<|endoftext|>b").tolist() == [*slow.encode("a<|endoftext|>b", add_special_tokens=False).ids, 2]
 
 
-def test_solver_uses_every_piece_once():
-    rng = np.random.default_rng(11)
-    h = np.bincount(rng.integers(1, 1025, 3000), minlength=1025)
-    used = np.zeros(1025, int)
-    for times, items in packing.solve(h, steps=300):
-        assert sum(items) <= 1024
-        np.add.at(used, items, times)
-    assert (used == h).all()
+def _lengths(rng, kind, n):
+    return {"uniform": lambda: rng.integers(1, 1025, n), "middle": lambda: rng.integers(300, 701, n), "narrow": lambda: rng.integers(200, 401, n), "few": lambda: rng.choice([190, 270, 340, 410, 520], n)}[kind]()
 
 
-def test_rest_is_packed_best_fit_at_every_size():
+@pytest.mark.parametrize(("kind", "n"), [("uniform", 3_000), ("uniform", 30_000), ("uniform", 400_000), ("middle", 3_000), ("narrow", 30_000), ("few", 30_000)])
+def test_program_needs_no_more_sequences_than_best_fit(kind, n):
+    h = np.bincount(_lengths(np.random.default_rng(11), kind, n), minlength=1025)
+    plan = packing.solve(h)
+    used = np.zeros(1025, int)
+    for times, items in plan.configurations:
+        assert times > 0 and sum(items) <= 1024
+        np.add.at(used, items, times)
+    total = sum(times for times, _ in plan.configurations)
+    assert (used == h).all() and total == plan.placed + plan.rest
+    assert plan.bound <= total <= sum(times for times, _ in packing.best_fit(h))
+    assert total <= 1.02 * plan.bound and (kind not in ("narrow", "few") or total <= 1.006 * plan.bound)
+
+
+def test_small_plans_are_near_the_optimum():
+    def optimum(items, capacity):
+        best = len(items)
+
+        def go(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(items):
+                best = len(rooms)
+                return
+            for r in set(rooms):
+                if r >= items[i]:
+                    rest = list(rooms)
+                    rest[rest.index(r)] -= items[i]
+                    go(i + 1, rest)
+            go(i + 1, [*rooms, capacity - items[i]])
+
+        go(0, [])
+        return best
+
+    rng = np.random.default_rng(18)
+    over = 0
+    for _ in range(30):
+        items = sorted(rng.integers(3, 17, 11).tolist(), reverse=True)
+        plan = packing.solve(np.bincount(items, minlength=25), rounds=30, phases=4)
+        total, want = plan.placed + plan.rest, optimum(items, 24)
+        assert plan.bound <= want <= total <= want + 1
+        over += total - want
+    assert over <= 3
+    assert packing.solve(np.zeros(9, int)).configurations == [] and packing.solve(np.bincount([8], minlength=9)).configurations == [(1, [8])]
+
+
+def test_best_configurations_equal_brute_force():
+    rng = np.random.default_rng(19)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 13, 4))
+        value = rng.random(len(lengths))
+        best, pick = packing.price(lengths, value, 12)
+        counts = [c for c in itertools.product(*[range(12 // x + 1) for x in lengths]) if np.dot(c, lengths) <= 12]
+        for row, k in zip(packing.configurations(lengths, pick, np.arange(len(lengths)), 12), range(len(lengths))):
+            assert row @ lengths <= 12 and row @ value == pytest.approx(max(np.dot(c, value) for c in counts if c[k]))
+        assert best[12] == pytest.approx(max(np.dot(c, value) for c in counts))
+
+
+def test_residue_is_packed_best_fit():
     rng = np.random.default_rng(17)
     for n, lengths in ((60_000, 40), (3_000, 60), (5, 60)):
         h = np.bincount(rng.integers(1, lengths + 1, n), minlength=65)
@@ -336,7 +390,7 @@ def test_rest_is_packed_best_fit_at_every_size():
                 room = next((r for r in range(x, 64) if bins[r]), 64)
                 own = bins[room].pop() if room < 64 else ()
                 bins[room - x].append((*own, x))
-        got = packing._solve(h, 0, 0.05, 0.25, 0.0, 1.0)
+        got = packing.best_fit(h)
         used = np.zeros(65, int)
         for times, items in got:
             np.add.at(used, items, times)
