@@ -1,9 +1,11 @@
 """Quality rules: base counts of a text, and its divergence from language references. DataFrame functions only.
 
-Every document's character-class histogram and common-word histogram are compared with the reference of each
-language by the Jensen-Shannon distance (square root of the divergence, base 2). A document passes if one
-language accepts it on both histograms. Short texts are guarded: below `min_chars` characters or `min_words`
-words their histograms are noise and the divergence test is not applied.
+Every document's character-class histogram and common-word histogram (a cell for each of a language's common words, one for all other words) are compared with
+the reference of each language by the Jensen-Shannon distance (square root of the divergence, base 2). A reference's common words share
+`common_share` of all words by Zipf's law, in the order of their ranks. A document passes if one language accepts it on both histograms.
+
+Lengths are guarded in two ways. A histogram of n words over k + 1 cells lies about k / (8 n ln 2) of divergence from its own source by chance alone, so that the bound on the
+squared distance of words rises by `word_noise` times that. Below `guard_words` words, or `guard_chars` characters, the word or the class histogram is noise and isn't compared at all.
 
 Cases: a null text counts as empty; a document without words fails the base rules; repeated rows are scored each
 on its own; no row is dropped, and other columns of the input are ignored. An empty table gives an empty result.
@@ -25,12 +27,18 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 
 @dataclass(frozen=True)
 class Reference:
-    """Expected shares of the character classes in CLASSES' order, and of the common words among all words."""
+    """Expected shares of the character classes in CLASSES' order, and of the common words among all words; common: the words by falling rank."""
 
     classes: tuple[float, ...]
     common_share: float
     common: tuple[str, ...]
 
+    @property
+    def words(self) -> tuple[float, ...]:
+        """Shares of the common words by Zipf's law with an exponent of 0.9, and of all others."""
+        ranks = [r**-0.9 for r in range(1, len(self.common) + 1)]
+        return (*[self.common_share * r / sum(ranks) for r in ranks], 1 - self.common_share)
+
 
 #: Shares typical of edited prose, and frequent function words, of each language.
 REFERENCES = {
@@ -45,10 +53,15 @@ REFERENCES = {
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    guard_words: int = 50
+    guard_words: int = 60
     guard_chars: int = 200
     max_class_distance: float = 0.25
-    max_word_distance: float = 0.36
+    max_word_distance: float = 0.2
+    word_noise: float = 2.0
+
+    def word_bound(self, words: int) -> tuple[float, float]:
+        """(a, b): the squared distance over so many common words may be a + b / n at most."""
+        return self.max_word_distance**2, self.word_noise * words / (8 * math.log(2))
 
 
 def _let(value: Column, body) -> Column:
@@ -56,10 +69,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _count_in(words: Column, known: tuple[str, ...]) -> Column:
-    return F.size(F.filter(words, lambda x: x.isin(list(known))))
-
-
 def _less(text: Column, pattern: str) -> Column:
     """Code points that a removal of the pattern takes away."""
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
@@ -81,19 +90,14 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(_let(windows, of_hashes))
 
 
-def _divergence(shares: list[Column], reference: tuple[float, ...]) -> Column:
-    """Jensen-Shannon distance of two histograms; the second is constant."""
-    total = F.lit(0.0)
-    for p, q in zip(shares, reference, strict=True):
-        m = (p + F.lit(q)) / 2
-        total = total + F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-        if q > 0:
-            total = total + F.lit(q) * (F.lit(math.log2(q)) - F.log2(m))
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+def _divergence(shares: Column, reference: tuple[float, ...]) -> Column:
+    """Jensen-Shannon divergence, base 2, of two histograms; the second is constant and without zeros."""
+    each = lambda p, q: F.when(p > 0, p * F.log2(p / ((p + q) / 2))).otherwise(0.0) + q * (F.log2(q) - F.log2((p + q) / 2))
+    return F.greatest(F.aggregate(F.zip_with(shares, F.array(*[F.lit(q) for q in reference]), each), F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0))
 
 
 def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: Rules = Rules(), references: dict[str, Reference] = REFERENCES, text: str = "text") -> DataFrame:
-    """The columns in `keep`, the base counts, the distances of the best language, base_failed and kept."""
+    """The columns in `keep`, the base counts, base_failed and kept."""
     body = F.coalesce(F.col(text), F.lit(""))
     every = sorted({w for r in references.values() for w in r.common})
     words = F.array_remove(F.split(body, f"{SPACE}+"), "")
@@ -104,7 +108,7 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: Rules = R
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
-            _let(common, lambda c: F.struct(*[_count_in(c, r.common).alias(k) for k, r in references.items()])).alias("common"),
+            _let(common, lambda c: F.array(*[F.size(c) - F.size(F.array_remove(c, x)) for x in every])).alias("common"),
         )
 
     def chars(rest: Column) -> Column:
@@ -135,16 +139,25 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: Rules = R
         w["n_repeat_words"].alias("n_repeat_words"),
         "_n",
         F.array(*[x.cast("double") / F.greatest(n, F.lit(1)) for x in (n - c["rest"], c["upper"], c["digit"], c["space"], c["rest"] - c["upper"] - c["digit"] - c["space"] - c["other"], c["other"])]).alias("_h"),
-        F.struct(*[(w["common"][k].cast("double") / F.greatest(w["n_words"], F.lit(1))).alias(k) for k in references]).alias("_s"),
+        w["common"].alias("_s"),
     )
-    h = [F.col("_h")[i] for i in range(len(CLASSES))]
-    best = F.array_min(F.array(*[F.struct((F.greatest(_divergence(h, r.classes) / rules.max_class_distance, _divergence([F.col("_s")[k], 1 - F.col("_s")[k]], (r.common_share, 1 - r.common_share)) / rules.max_word_distance)).alias("d"), F.lit(k).alias("k")) for k, r in references.items()]))
+    total = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+
+    def ratio(r: Reference) -> Column:
+        """Above 1: the language's reference is too far."""
+        held = F.array(*[F.col("_s")[every.index(x)].cast("double") for x in r.common])
+        rest = total - F.aggregate(held, F.lit(0.0), lambda s, x: s + x)
+        base, noise = rules.word_bound(len(r.common))
+        words_ = _divergence(F.transform(F.array_append(held, rest), lambda x: x / total), r.words) / (F.lit(base) + F.lit(noise) / total)
+        classes = _divergence(F.col("_h"), r.classes) / rules.max_class_distance**2
+        return F.greatest(F.when(F.col("n_words") < rules.guard_words, 0.0).otherwise(words_), F.when(F.col("_n") < rules.guard_chars, 0.0).otherwise(classes))
+
+    best = F.array_min(F.array(*[ratio(r) for r in references.values()]))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    guarded = (F.col("n_words") < rules.guard_words) | (F.col("_n") < rules.guard_chars)
     names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return (
-        out.select(*names, failed.alias("base_failed"), guarded.alias("_g"), best.alias("_b"))
-        .select(*names, "base_failed", (~F.col("base_failed") & (F.col("_g") | (F.col("_b")["d"] <= 1.0))).alias("kept"))
+        out.select(*names, failed.alias("base_failed"), best.alias("_b"))
+        .select(*names, "base_failed", (~F.col("base_failed") & (F.col("_b") <= 1.0)).alias("kept"))
     )
 
 

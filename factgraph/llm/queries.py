@@ -60,26 +60,33 @@ QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing, op3_minhash_
 def _quality_sql() -> str:
     rules, refs = quality_rules.Rules(), quality_rules.REFERENCES
 
-    def distance(shares: list[str], expected: tuple[float, ...]) -> str:
+    def divergence(shares: list[str], expected: tuple[float, ...]) -> str:
         parts = [f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + {q} * (log2({q}) - log2(({p} + {q}) / 2)))" for p, q in zip(shares, expected)]
-        return f"sqrt(greatest(({' + '.join(parts)}) / 2, 0))"
+        return f"greatest(({' + '.join(parts)}) / 2, 0)"
 
     n = "greatest(n, 1)::DOUBLE"
     shares = [f"(lo / {n})", f"(up / {n})", f"(di / {n})", f"(sp / {n})", f"((n - lo - up - di - sp - ot) / {n})", f"(ot / {n})"]
-    words = lambda k: ", ".join(f"'{w}'" for w in refs[k].common)
-    share = lambda k: f"(len(list_filter(ws, lambda v: v IN ({words(k)}))) / greatest(len(ws), 1)::DOUBLE)"
-    best = ", ".join(f"greatest({distance(shares, r.classes)} / {rules.max_class_distance}, {distance([f's_{k}', f'(1 - s_{k})'], (r.common_share, 1 - r.common_share))} / {rules.max_word_distance})" for k, r in refs.items())
+    every = sorted({w for r in refs.values() for w in r.common})
+    held = ", ".join(f"coalesce(map_extract(hist, '{w}')[1], 0)::DOUBLE AS w{i}" for i, w in enumerate(every))
+
+    def ratio(r: quality_rules.Reference) -> str:
+        own = [f"w{every.index(w)}" for w in r.common]
+        base, noise = rules.word_bound(len(own))
+        words = divergence([*[f"({w} / m)" for w in own], f"((m - ({' + '.join(own)})) / m)"], r.words)
+        return f"greatest(CASE WHEN len(ws) < {rules.guard_words} THEN 0 ELSE {words} / ({base} + {noise} / m) END, CASE WHEN n < {rules.guard_chars} THEN 0 ELSE {divergence(shares, r.classes)} / {rules.max_class_distance**2} END)"
+
+    best = ", ".join(ratio(r) for r in refs.values())
     gone = lambda c: f"(length(x) - length(regexp_replace(x, '{c}', '', 'g')))"
     word, gap, wide, signs = r"[^\x20\x09-\x0D]", quality_rules.SPACE, r"[^\x00-\x7F]", f"[{quality_rules.SYMBOLS}]"
     return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT *, length(x) AS n, regexp_extract_all(x, '{word}+') AS ws, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '{word}')) AS ls FROM t),
+h AS (SELECT rid, list_histogram(ws) AS hist, greatest(len(ws), 1)::DOUBLE AS m FROM w),
 p AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
 r AS (SELECT rid, count(DISTINCT j) AS rep FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM p WHERE (rid, g) IN (SELECT (rid, g) FROM p GROUP BY rid, g HAVING count(*) > 1)) GROUP BY rid),
-c AS (SELECT w.*, coalesce(rep, 0) AS rep, len(ls) - len(list_distinct(ls)) AS dup, {gone('[a-z]')} AS lo, {gone('[A-Z]')} AS up, {gone('[0-9]')} AS di, {gone(gap)} AS sp, {gone(wide)} AS ot, {gone(signs)} AS sy,
- {', '.join(f'{share(k)} AS s_{k}' for k in refs)} FROM w LEFT JOIN r USING (rid)),
+c AS (SELECT w.*, coalesce(rep, 0) AS rep, len(ls) - len(list_distinct(ls)) AS dup, {gone('[a-z]')} AS lo, {gone('[A-Z]')} AS up, {gone('[0-9]')} AS di, {gone(gap)} AS sp, {gone(wide)} AS ot, {gone(signs)} AS sy, m, {held} FROM w JOIN h USING (rid) LEFT JOIN r USING (rid)),
 f AS (SELECT *, len(ws) < {rules.min_words} OR 100 * rep > {rules.max_repeat_percent} * len(ws) AS bad, least({best}) AS best FROM c)
 SELECT doc_id, len(ws)::BIGINT AS n_words, (n - sp)::BIGINT AS word_chars, sy::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, bad AS base_failed,
- NOT bad AND (len(ws) < {rules.guard_words} OR n < {rules.guard_chars} OR best <= 1) AS kept FROM f"""
+ NOT bad AND best <= 1 AS kept FROM f"""
 
 
 _WARC_SQL = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT x, min(page_id) AS first FROM p GROUP BY x),
