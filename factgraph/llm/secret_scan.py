@@ -2,10 +2,10 @@
 
 Battery, per token of a text (the sides of an inner "=" apart, and the parts of a path, where no alphabet holds it whole): the encoding is
 inferred from the characters (digits, hex, base32, base64); a chi-squared test
-of alphabet uniformity, a runs test about the alphabet's middle and a lag-one serial correlation test must each be
-consistent with a random draw. Whether an ordinary token (words, paths, identifiers) could look as uniform and as
-mixed is a second p-value, which falls with length; Benjamini-Hochberg over the tokens of the text controls the
-share of false discoveries, so that a short token needs more evidence than a long one.
+of alphabet uniformity, a runs test about the alphabet's middle and a lag-one serial correlation test must together be
+consistent with a random draw. What then speaks against an ordinary token (words, paths, identifiers) of the same length is a likelihood ratio, whose logarithm grows
+with length; the Benjamini-Hochberg procedure for such e-values over the tokens of the text controls the share of false discoveries, so that a short token, or one
+among many, needs more evidence for each character.
 
 Cases: null counts as the empty text, which has no spans; repeated rows are scanned each on its own; very long texts
 are scanned whole. Offsets are code points, ends exclusive. An empty table gives an empty result.
@@ -42,17 +42,21 @@ _RANK = {k: {c: i for i, c in enumerate(a)} for k, a in ALPHABETS.items()}
 _SETS = {k: set(a) for k, a in ALPHABETS.items()}
 
 
+#: Shares of the letters a to z in English text, per mille.
+_LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+_ORDINARY = {c: (1, math.log(0.1)) for c in "0123456789"} | {c: (3, math.log(0.25)) for c in "+/-_"}
+_ORDINARY |= {chr(base + i): (group, math.log(x / sum(_LETTERS))) for base, group in ((97, 0), (65, 2)) for i, x in enumerate(_LETTERS)}
+
+
 @dataclass(frozen=True)
 class Battery:
-    """least: shortest token; random_p: a test below this rejects randomness; fdr: share of false discoveries;
-    ordinary_square: sum of squared character shares of ordinary tokens; ordinary_switch: how often the class of
-    character (lower, upper, digit, other) changes from one to the next in ordinary tokens."""
+    """least: shortest token; random_p: a text's token is no random draw if the three tests together (Bonferroni) are less likely than this; fdr: share of false discoveries;
+    ordinary_switch: how often the class of character (lower, upper, digit, other) changes from one to the next in ordinary tokens."""
 
     least: int = 20
-    random_p: float = 1e-4
+    random_p: float = 3e-4
     fdr: float = 0.01
-    ordinary_square: float = 0.065
-    ordinary_switch: float = 0.15
+    ordinary_switch: float = 0.25
 
 
 def _upper(z: float) -> float:
@@ -86,22 +90,20 @@ def randomness(token: str, kind: str) -> tuple[float, float, float]:
     return _upper(chi_z), min(1.0, runs_p), min(1.0, serial_p)
 
 
-def ordinariness(token: str, kind: str, how: Battery) -> float:
-    """Chance that an ordinary token of this length is as uniform and changes class as often; Fisher's combination."""
-    size, n = len(ALPHABETS[kind]), len(token)
-    counts = np.bincount([_RANK[kind][c] for c in token], minlength=size)
-    pairs = float((counts * (counts - 1)).sum()) / (n * (n - 1))
-    likely = max(how.ordinary_square, 1.35 / size)
-    spread = math.sqrt(2 * likely * (1 - likely)) / n + 2 * math.sqrt(max(0.0, likely**1.5 - likely**2)) / math.sqrt(n) * 0.5
-    alike = max(1e-300, 1 - _upper((pairs - likely) / spread))
-    group = [0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in token]
-    switches = sum(x != y for x, y in zip(group, group[1:]))
-    p, m = how.ordinary_switch, n - 1
-    tail = 0.0
-    for k in range(switches, m + 1):
-        tail += math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + (m - k) * math.log(1 - p))
-    half = -(math.log(alike) + math.log(max(min(tail, 1.0), 1e-300)))
-    return min(1.0, math.exp(-half) * (1 + half))
+def evidence(token: str, kind: str, how: Battery) -> float:
+    """The logarithm of how much likelier the token is as a uniform draw from its alphabet than as an ordinary token of the same length.
+
+    An ordinary token keeps the class of its characters (lower, upper, digit, other) from one to the next but for a share of `ordinary_switch`, and has English letters within a class. Both
+    are distributions over all tokens of a length, so that under the second the ratio is 1 on average (an e-value). Digits alone are an ordinary number, and no evidence."""
+    if kind == "digits":
+        return 0.0
+    stay, leave = math.log(1 - how.ordinary_switch), math.log(how.ordinary_switch / 3)
+    ordinary, before = math.log(1 / 4), None
+    for c in token:
+        group, share = _ORDINARY[c]
+        ordinary += share + (0.0 if before is None else stay if group == before else leave)
+        before = group
+    return -len(token) * math.log(len(ALPHABETS[kind])) - ordinary
 
 
 def parts(start: int, end: int, token: str, least: int) -> Iterator[tuple[int, int, str, str]]:
@@ -123,15 +125,14 @@ def parts(start: int, end: int, token: str, least: int) -> Iterator[tuple[int, i
 
 
 def discoveries(tokens: list[tuple[int, int, str]], how: Battery = Battery()) -> list[tuple[int, int]]:
-    """The spans of tokens judged random, by Benjamini-Hochberg among all of them."""
+    """The spans of tokens judged random: those that the battery can't tell from random draws, by the Benjamini-Hochberg procedure for e-values among all tokens tested,
+    which holds its share of false discoveries however the tokens depend on each other."""
     found = []
     for start, end, body, kind in (x for t in tokens for x in parts(*t, how.least)):
-        if min(randomness(body, kind)) < how.random_p:
-            found.append((1.0, start, end))
-        else:
-            found.append((ordinariness(body, kind, how), start, end))
-    found.sort()
-    passed = max((i for i, (p, _, _) in enumerate(found, 1) if p <= how.fdr * i / len(found)), default=0)
+        passes = 3 * min(randomness(body, kind)) >= how.random_p
+        found.append((evidence(body, kind, how) if passes else -math.inf, start, end))
+    found.sort(key=lambda x: (-x[0], x[1]))
+    passed = max((i for i, (e, _, _) in enumerate(found, 1) if e >= math.log(len(found) / (i * how.fdr))), default=0)
     return [(s, e) for _, s, e in found[:passed]]
 
 

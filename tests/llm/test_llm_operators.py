@@ -1,5 +1,8 @@
 import collections
+import hashlib
 import itertools
+import math
+import os
 import random
 import re
 import zlib
@@ -9,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from factgraph.llm import _text as tx
-from factgraph.llm import html_extract, language_id, minhash, mixing, packing, quality_rules, secret_scan, simhash, toxicity, warc
+from factgraph.llm import html_extract, language_id, minhash, mixing, packing, quality_rules, queries, secret_scan, simhash, toxicity, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 ODD = [None, "", "a", "\n\n", "a b c d e f " * 40, "É ñ 日本 " * 30, "x" * 5000]
@@ -94,8 +97,6 @@ def test_simhash_edits_and_neighbours(spark):
     texts = [prose(rng, n) for n in (300, 200, 40)] + ODD
     rows = {r.doc_id: r for r in simhash.with_edits(table(spark, texts), rows_per_part=3).collect()}
     assert len(rows) == len(texts)
-    import hashlib
-
     for i, t in enumerate(texts):
         t, following = t or "", texts[(i + 1) % len(texts)] or ""
         n = len(t) // 4
@@ -145,6 +146,58 @@ def test_quality_counts(spark):
     assert quality_rules.keep_rows(table(spark, texts)).columns == table(spark, texts).columns
 
 
+ENGLISH = """It was a bright day in the spring of the year, and the people of the town went out to see what the river had left on the land. For a long time nobody spoke. At first
+the water was as high as a man, but by the end of the week it was back in its bed, and with it went the fear that had been on every face. The mayor said that this was the worst of it, and
+that the work was to be done from both sides of the bridge at once. In the evening a few of them met in the old school, and it is from them that we have the story."""
+
+
+def _ratio(text, rules, r):
+    """By the definition, in plain Python."""
+    words = re.findall(WORD, text)
+    distance = lambda p, q: sum((a * math.log2(2 * a / (a + b)) if a else 0) + b * math.log2(2 * b / (a + b)) for a, b in zip(p, q)) / 2
+    n, counts = len(words), collections.Counter(words)
+    own = [counts[w] for w in r.common]
+    a, b = rules.word_bound(len(own))
+    by_word = distance([x / n for x in [*own, n - sum(own)]], r.words) / (a + b / n) if n >= rules.guard_words else 0
+    kinds = [sum(f(c) for c in text) for f in (lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c in " \t\n\v\f\r")]
+    other = sum(ord(c) > 127 for c in text)
+    shares = [x / len(text) for x in [*kinds, len(text) - sum(kinds) - other, other]]
+    return max(by_word, distance(shares, r.classes) / rules.max_class_distance**2 if len(text) >= rules.guard_chars else 0)
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rng = random.Random(20)
+    rules, refs = quality_rules.Rules(), quality_rules.REFERENCES
+    names = [f"word{i}" for i in range(900)]
+    weighted = [w for r, w in enumerate(refs["en"].common) for _ in range(60 // (r + 1))]
+    texts = [ENGLISH, ENGLISH.upper(), " ".join(f"{w}###" for w in ENGLISH.split())]
+    texts += [" ".join(rng.choice(names) for _ in range(n)) for n in (55, 59, 60, 200)]  # no common word
+    texts += [" ".join("a" if rng.random() < 0.3 else rng.choice(names) for _ in range(n)) for n in (90, 300)]  # keyword lists in which one word recurs
+    texts += [" ".join(rng.choice(weighted if rng.random() < 0.3 else names) for _ in range(n)) for n in (55, 80, 200, 1000) for _ in range(5)]
+    texts += [" ".join(rng.choice(list(refs[k].common) + names[:30]) for _ in range(200)) for k in refs] + [" ".join(f"x{i % 10}" for i in range(50)), *ODD, "y " * 300_000]
+    rows = {r.doc_id: r for r in quality_rules.score(table(spark, texts)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        want = not rows[i].base_failed and min(_ratio(t, rules, r) for r in refs.values()) <= 1
+        assert rows[i].kept == want, (i, (t or "")[:80])
+    assert rows[0].kept and [rows[i].kept for i in (1, 2, 5, 6, 7, 8)] == [False] * 6
+    assert quality_rules.score(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    con = pytest.importorskip("duckdb").connect()
+    for f in os.listdir(folder):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    got, want = queries.QUERIES[name](spark, folder), con.execute(queries.ORACLES[name])
+    names = sorted(got.columns)
+    order = [[d[0] for d in want.description].index(c) for c in names]
+    assert collections.Counter(map(tuple, got.select(*names).collect())) == collections.Counter(tuple(r[i] for i in order) for r in want.fetchall())
+
+
 def test_secret_spans():
     base, every = secret_scan.scan_text("password: hunter22 and AKIAABCDEFGHIJKL12 " + "0123456789abcdef" * 2)
     assert secret_scan.render(base) == "assign:0:18,access:23:41,hex:42:74" and every[:2] == base[:2]
@@ -176,6 +229,42 @@ def test_secrets_behind_names_and_in_paths():
     assert not any(secret_scan.scan_text(t)[1] for t in plain)
 
 
+def test_evidence_against_ordinary_tokens_is_an_e_value():
+    """Over all tokens of a length, the chances of an ordinary token sum to 1; so the ratio is 1 on average under it."""
+    how = secret_scan.Battery()
+    total = 0.0
+    for token in itertools.product(secret_scan.ALPHABETS["base64"] + "-_", repeat=2):
+        total += math.exp(-secret_scan.evidence("".join(token), "base64", how) - 2 * math.log(64))
+    assert total == pytest.approx(1)
+    rng = random.Random(23)
+    words = "get set user name value internal service account report status data table index merge default class element buffer string path".split()
+    make = [lambda n: "".join(w.capitalize() for w in rng.choices(words, k=n)), lambda n: "_".join(rng.choices(words, k=n)), lambda n: "/" + "/".join(rng.choices(words, k=n)) + "/2024"]
+    assert sum(bool(secret_scan.scan_text(f"x {f(rng.randrange(4, 8))} y")[1]) for f in make for _ in range(300)) <= 3
+    for kind, lengths in {"hex": (20, 28), "base32": (20, 40), "base64": (20, 32, 64), "base64url": (24, 44)}.items():
+        for n in lengths:
+            hits = sum(any(k == 3 for _, k, _ in secret_scan.scan_text("key " + "".join(rng.choice(secret_scan.ALPHABETS[kind]) for _ in range(n)) + " end")[1]) for _ in range(60))
+            assert hits >= 54, (kind, n)
+
+
+def test_scan_and_redaction_of_tables(spark):
+    rng = random.Random(24)
+    parts = ["password: hunter22x", "Api_Key = 'ABCDEFGH'", "token=short", "AKIAABCDEFGHIJKL12", "AKIAXY", "0123456789abcdef" * 2 + "0", "deadbeef", "é 日本", "\n", "secret", "some prose,"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(60)] + ["password: hunter22x"] * 2 + [*ODD, "a " * 200_000 + "secret: 0123456789"]
+    docs = table(spark, texts).withColumnRenamed("node", "spans")
+    got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert len(got) == len(texts) and secret_scan.scan(docs.where("false")).count() == 0
+    rules = [(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 8), ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("[0-9a-f]+", lambda m: len(m[0]) >= 32)]
+    hidden = {r.doc_id: r for r in secret_scan.redact_rows(docs).collect()}
+    for i, t in enumerate(texts):
+        base = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(rules) for m in re.finditer(p, t or "") if ok(m))
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(line.split(",")) <= {*got[i].spans.split(","), ""}
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
+        assert hidden[i].spans == "clash" and (hidden[i].text is None) == (t is None) and hidden[i].n_chars == (None if t is None else len(hidden[i].text))
+        assert t is None or not any(t[a:b] in hidden[i].text for a, _, b in base if b - a > 11) and (base or hidden[i].text == t)
+    assert hidden[0].asDict().keys() == set(docs.columns)
+
+
 def test_extraction_skips_what_surrounds_the_article(spark):
     page = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a>Menu</a></nav><div class="cookie-notice">Cookies</div>
     <article><h1>Head &amp; tail</h1><p>One<br> two&nbsp;three<p>Four <b>five</b></p><form><p>Mail</p></form><aside>Side</aside></article>
