@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factgraph.llm import _text as tx
+from factgraph.llm._spark import materialise
 
 BITS, WIDTH, CHUNK = 128, 3, 150_000
 
@@ -96,14 +97,72 @@ def within_radius(queries: DataFrame, corpus: DataFrame, radius: int = 3, bits:
     return pairs.select("query_fingerprint", column, apart("query_fingerprint", column).cast("int").alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
-def _ordered_parts(docs: DataFrame, rows_per_part: int) -> DataFrame:
+def radius_counts(queries: DataFrame, corpus: DataFrame, radius: int = 3, bits: int = BITS, blocks: int | None = None, column: str = "fingerprint", tile: int = 20_000) -> DataFrame:
+    """(fingerprint, near) of each distinct fingerprint of `queries`: how many rows of `corpus` have another fingerprint at most `radius` bits apart, all of them.
+
+    Block tables as in `within_radius`, but no pair is made: the queries and the rows that agree with one on a table's key are compared where they meet, in tiles of at most about `tile` of
+    either, and a tile gives a count for each of its queries. A pair that agrees on several tables counts in the first alone."""
+    blocks = blocks or radius + 2
+    if not radius < blocks <= bits // 8:
+        raise ValueError("blocks must exceed radius and hold whole bytes")
+    edges = [i * (bits // 8) // blocks for i in range(blocks + 1)]
+    choices = list(itertools.combinations(range(blocks), blocks - radius))
+
+    def keyed(df: DataFrame, *more: str) -> DataFrame:
+        fp = F.unhex(column)
+        keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *[F.substring(fp, edges[b] + 1, edges[b + 1] - edges[b]) for b in c]).alias("key")) for t, c in enumerate(choices)]
+        return df.select(fp.alias("fp"), *more, F.explode(F.array(*keys)).alias("x")).select("x.t", "x.key", "fp", *more)
+
+    asked = keyed(queries.select(column).where(F.col(column).isNotNull()).distinct())
+    held = keyed(corpus.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")), "n")
+    met = materialise(held.join(asked.select("t", "key").distinct().hint("merge"), ["t", "key"], "left_semi"), "met")
+    cells = asked.groupBy("t", "key").agg(F.ceil(F.count("*") / tile).alias("qs")).join(met.groupBy("t", "key").agg(F.ceil(F.count("*") / tile).alias("ms")), ["t", "key"])
+    spot = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt_q = asked.join(cells, ["t", "key"]).select("t", "key", spot("qs").alias("i"), every("ms").alias("j"), "fp", F.lit(0).cast("long").alias("n"))
+    dealt_m = met.join(cells, ["t", "key"]).select("t", "key", every("qs").alias("i"), spot("ms").alias("j"), "fp", "n")
+
+    def compare(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(table.num_rows, bits // 8)
+        n, t = table.column("n").to_numpy(), table.column("t")[0].as_py()
+        ask, have, weight = raw[n == 0], raw[n > 0], n[n > 0]
+        near = np.zeros(len(ask), np.int64)
+        for lo in range(0, len(have), 4096):
+            part = have[lo : lo + 4096]
+            for k in range(len(ask)):
+                differ = part ^ ask[k]
+                hits = np.flatnonzero(np.bitwise_count(differ).sum(1) <= radius)
+                if not len(hits):
+                    continue
+                same = np.stack([~differ[hits, edges[b] : edges[b + 1]].any(1) for b in range(blocks)], 1)
+                agree = np.stack([same[:, c].all(1) for c in map(list, choices)], 1)
+                near[k] += weight[lo + hits[(agree.argmax(1) == t) & differ[hits].any(1)]].sum()
+        return pa.table({column: pa.array(_hex(ask), pa.string()), "near": pa.array(near)})
+
+    rows = dealt_q.unionByName(dealt_m).groupBy("t", "key", "i", "j").applyInArrow(compare, f"{column} string, near long")
+    return rows.groupBy(column).agg(F.sum("near").alias("near"))
+
+
+def with_near_rows(scored: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of `with_edits` and near_rows: for the query set, every doc_id divisible by 20, how many other rows have a fingerprint at most `radius` bits from this one; null
+    for all others."""
+    scored = materialise(scored, "fingerprints")
+    chosen = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    found = radius_counts(scored.where(chosen), scored, radius).select(F.col("fingerprint").alias("_f"), "near")
+    copies = scored.groupBy(F.col("fingerprint").alias("_c")).agg((F.count("*") - 1).alias("copies"))
+    asked = scored.where(chosen).join(found, F.col("fingerprint") == F.col("_f"), "left").join(copies, F.col("fingerprint") == F.col("_c"), "left")
+    return asked.select(*scored.columns, (F.coalesce("near", F.lit(0)) + F.col("copies")).cast("long").alias("near_rows")).unionByName(scored.where(~chosen).withColumn("near_rows", F.lit(None).cast("long")))
+
+
+def _ordered_parts(docs: DataFrame, rows_per_part: int, parts_most: int = 10_000) -> DataFrame:
     """docs in parts of neighbouring doc_id, each closed by a copy of the next part's first row (the last by the first part's).
 
-    Columns: part, again (1 for a copy), doc_id, text. The bounds are quantiles of doc_id, at most 10,000 numbers."""
+    Columns: part, again (1 for a copy), doc_id, text. The bounds are quantiles of doc_id. They are part of the plan, and the first ids of the parts are
+    broadcast, so there are `parts_most` at most; a part is streamed in order, so that its size takes no memory."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = rows.count()
-    n = max(1, min(10_000, -(-size // rows_per_part)))
+    n = max(1, min(parts_most, -(-size // rows_per_part)))
     bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []
     part = F.lit(0)
     if bounds:
