@@ -2,9 +2,9 @@
 
 The words of a source, in a fixed pseudorandom order of its documents, form one stream that is cut into blocks of
 `block` words. A source's target says how many words it gives; whole passes over it take every block, and a last partial pass takes as
-many blocks as are needed, the final one trimmed, so that the words taken equal the target rounded down. The number of output shards follows from the whole mix.
+many blocks as are needed, the final one trimmed, so that the words taken equal the target rounded down. The number of output shards, a power of two, follows from the whole mix.
 Each source deals its slots to all of them by a multinomial draw of equal chances, so that a shard's counts are a multinomial draw in proportion to the sources' slots
-and the totals stay exact; slot j of a pass is mapped to a block by a pseudorandom
+and the totals stay exact; the draw is made by halves (a binomial at each node of a tree over the shards), of which only the path to a slot's shard is evaluated. Slot j of a pass is mapped to a block by a pseudorandom
 permutation (a Feistel network with cycle walking), evaluated where it is needed and never stored. Blocks are joined by index.
 
 Everything is drawn from hashes and seeded generators of the data, so that reruns agree, whatever the partitioning.
@@ -34,14 +34,13 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Mix:
-    """share: words of the mix against words of the input; most: how often a source may be taken; weights repeat over the sources in order."""
+    """share: words of the mix against words of the input; most: how often a source may be taken; weights repeat over the sources in order; shard_slots: slots of an output shard at most, on average."""
 
     share: float = 1.5
     most: float = 2.0
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     block: int = 256
     shard_slots: int = 4096
-    shards_most: int = 4096
     rows_per_chunk: int = 20_000
     seed: int = 7
 
@@ -61,10 +60,10 @@ def targets(sizes: DataFrame, how: Mix = Mix()) -> DataFrame:
     s = sizes.select("source", "source_size", weight.alias("w"))
     s = s.withColumn("most", how.most * F.col("source_size"))
     upto = every.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    s = s.select("*", (how.share * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("rest"), F.sum("w").over(upto.rowsBetween(0, Window.unboundedFollowing)).alias("w_rest"))
+    s = s.select("*", (how.share * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("rest"), F.sum("w").over(upto.rowsBetween(0, Window.unboundedFollowing)).alias("w_rest"), F.row_number().over(upto).alias("place"))
     s = s.withColumn("stops", F.col("rest") * F.col("w") / F.col("w_rest") > F.col("most"))
-    # after the first that does not stop, none does
-    open_ = F.min(F.when(~F.col("stops"), F.struct((F.col("most") / F.col("w")).alias("r"), (F.col("rest") / F.col("w_rest")).alias("level")))).over(every)
+    # after the first that does not stop, none does; sources may tie
+    open_ = F.min(F.when(~F.col("stops"), F.struct("place", (F.col("rest") / F.col("w_rest")).alias("level")))).over(every)
     s = s.withColumn("level", open_["level"])
     return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("level") * F.col("w"))).alias("target"))
 
@@ -91,17 +90,29 @@ def _key(source: str | None, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{'null' if source is None else 's' + source}".encode(), digest_size=7).digest(), "little")
 
 
-SLOTS = "source string, shard int, slot long, pass int, block long, n_words long"
+def deal(rank: np.ndarray, n: int, levels: int, key: int) -> np.ndarray:
+    """The shard, of 2 ** levels, of each rank of 0 to n - 1: a multinomial draw of the shards' counts, in which equal ranks and keys agree wherever they are evaluated."""
+    node, size, at = np.zeros(len(rank), np.int64), np.full(len(rank), n, np.int64), rank.astype(np.int64)
+    for level in range(levels):
+        _, first, back = np.unique(node, return_index=True, return_inverse=True)
+        left = np.array([np.random.default_rng((key, level, int(node[i]))).binomial(int(size[i]), 0.5) for i in first], np.int64)[back]
+        right = at >= left
+        node = 2 * node + right
+        at, size = np.where(right, at - left, at), np.where(right, size - left, left)
+    return node
+
+
+SLOTS = "source string, shard int, shards int, slot long, pass int, block long, n_words long"
 
 
 def slots(plan: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """The mix as rows: source, output shard, slot within the source, pass, block index, words taken from the block.
+    """The mix as rows: source, output shard, number of shards, slot within the source, pass, block index, words taken from the block.
 
     plan: source, source_size, target. A source's slots are cut into ranges, so that no task makes more than about a million."""
 
     step = 1 << 20
     every = plan.where("source_size > 0").agg(F.sum(F.ceil(F.floor("target") / how.block))).first()[0] or 0
-    shards = max(1, min(how.shards_most, -(-int(every) // how.shard_slots)))
+    levels = max(0, -(-int(every) // how.shard_slots) - 1).bit_length()
     total = F.expr(f"cast(ceil(target / {how.block}) as bigint) + 2")
     ranges = plan.where("source_size > 0").select("source", "source_size", F.floor("target").cast("long").alias("take"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(total - 1, F.lit(0)), F.lit(step).cast("long"))).alias("at"))
 
@@ -132,9 +143,8 @@ def slots(plan: DataFrame, how: Mix = Mix()) -> DataFrame:
                         before = here * how.block - (here > spot) * (how.block - short)
                         words[m] = np.clip(rest - before, 0, words[m])
                     ok = words > 0
-                    counts = np.random.default_rng(key).multinomial(n, np.full(shards, 1 / shards))
-                    shard = np.searchsorted(np.cumsum(counts), _feistel(j, n, key + 17), "right")
-                    yield pd.DataFrame({"source": pd.Series([source] * int(ok.sum()), dtype=object), "shard": shard[ok].astype(np.int32), "slot": j[ok], "pass": which[ok].astype(np.int32), "block": block[ok], "n_words": words[ok]})
+                    shard = deal(_feistel(j, n, key + 17), n, levels, key)
+                    yield pd.DataFrame({"source": pd.Series([source] * int(ok.sum()), dtype=object), "shard": shard[ok].astype(np.int32), "shards": np.int32(1 << levels), "slot": j[ok], "pass": which[ok].astype(np.int32), "block": block[ok], "n_words": words[ok]})
 
     return ranges.repartition(F.col("source"), F.col("at")).mapInPandas(run, SLOTS)
 
@@ -169,7 +179,7 @@ def streams(sized: DataFrame, how: Mix = Mix()) -> DataFrame:
 
 
 def mix(docs: DataFrame, how: Mix = Mix(), text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """row: a column that numbers the rows, if there is one. Returns (documents, blocks). documents: doc_id, size, source, source_size, target, taken, row; blocks: the slots of `slots` with the documents whose
+    """row: a column that numbers the rows, if there is one. Returns (documents, blocks). documents: doc_id, size, source, source_size, target, taken, row, first_shard (the least output shard that holds words of it, null for none); blocks: the slots of `slots` with the documents whose
     words they hold: doc_id, first word in the document, words."""
     row = F.col(row) if row else F.monotonically_increasing_id()
     sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64("doc_id", text, F.lit(how.seed)).alias("h"), row.alias("row")), "sized")
@@ -179,13 +189,13 @@ def mix(docs: DataFrame, how: Mix = Mix(), text: str = "text", row: str | None =
     b = how.block
     held = stream.where("size > 0").select("doc_id", "row", "source", "start", "size", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
     held = held.select("doc_id", "row", "source", "block", F.greatest("start", F.col("block") * b).alias("lo"), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b).alias("hi"), "start")
-    c = chosen.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "shard", "slot", "pass", "n_words").hint("merge")  # Spark would take the slots to be as few as the sources
+    c = chosen.select(F.col("source").alias("s2"), F.col("block").alias("b2"), "shard", "shards", "slot", "pass", "n_words").hint("merge")  # Spark would take the slots to be as few as the sources
     parts = held.join(c, held["source"].eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     end = F.least(F.col("hi"), F.col("block") * b + F.col("n_words"))
-    blocks = parts.where(end > F.col("lo")).select("source", "shard", "slot", "pass", "block", "doc_id", "row", (F.col("lo") - F.col("start")).alias("first_word"), (end - F.col("lo")).alias("n_words"))
-    taken = blocks.groupBy(F.col("row").alias("r2")).agg(F.sum("n_words").alias("taken")).hint("merge")
+    blocks = parts.where(end > F.col("lo")).select("source", "shard", "shards", "slot", "pass", "block", "doc_id", "row", (F.col("lo") - F.col("start")).alias("first_word"), (end - F.col("lo")).alias("n_words"))
+    taken = blocks.groupBy(F.col("row").alias("r2")).agg(F.sum("n_words").alias("taken"), F.min("shard").alias("first_shard")).hint("merge")
     p = plan.select(F.col("source").alias("s3"), "source_size", "target")
-    documents = sized.join(taken, F.col("row") == F.col("r2"), "left").join(p, sized["source"].eqNullSafe(F.col("s3"))).select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row")
+    documents = sized.join(taken, F.col("row") == F.col("r2"), "left").join(p, sized["source"].eqNullSafe(F.col("s3"))).select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row", "first_shard")
     return documents, blocks
 
 
@@ -207,21 +217,33 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def mixed_rows(docs: DataFrame, how: Mix = Mix(), text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """The mix as documents with the columns of docs: a row for each pass that takes words of a document, holding those words."""
+    """The mix as documents with the columns of docs, whatever their names: a row for each pass that takes words of a document, holding those words.
+
+    Rows come in the order of the output shards, each where its first slot is, so that any run of rows carries the target weights."""
     names = docs.columns
-    base = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "base")
-    _, blocks = mix(base, how, text, "_row")
-    spans = blocks.groupBy(F.col("row").alias("_r"), "pass").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
-    chosen = base.join(spans, F.col("_row") == F.col("_r")).select(*[F.col(f"`{c}`") for c in names], "_spans")
-    length = length if length in names else None
+    own = [f"c{i}" for i in range(len(names))]
+    base = materialise(docs.toDF(*own).withColumn("row", F.monotonically_increasing_id()), "base")
+    named = {c: F.col(own[names.index(c)]).alias(c) for c in ("doc_id", "source", text)}
+    _, blocks = mix(base.select(*named.values(), F.col("row").alias("_row")), how, text, "_row")
+    spans = blocks.groupBy(F.col("row").alias("r"), "pass").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"), F.min(F.struct("shard", "slot", "shards")).alias("at"))
+    chosen = base.join(spans, F.col("row") == F.col("r")).select(*own, "spans", "at", "row", "pass")
+    at_text, at_length = names.index(text), names.index(length) if length in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                made = [taken_text(t, [(x["first_word"], x["n_words"]) for x in s]) for t, s in zip(batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist())]
-                fresh = {text: pa.array(made, pa.string())} | ({length: pa.array([len(t) for t in made], pa.int64())} if length else {})
-                yield pa.RecordBatch.from_arrays([fresh.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
-
-    fields = [T.StructField(c, T.LongType()) if c == length else docs.schema[c] for c in names]
-    return chosen.mapInArrow(run, T.StructType(fields))
+                made = [taken_text(t, [(x["first_word"], x["n_words"]) for x in s]) for t, s in zip(batch.column(at_text).to_pylist(), batch.column(len(own)).to_pylist())]
+                columns = list(batch.columns)
+                columns[at_text] = pa.array(made, pa.string())
+                if at_length is not None:
+                    columns[at_length] = pa.array([len(t) for t in made], pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns[: len(own)], *columns[len(own) + 1 :]], names=[*own, "at", "row", "pass"])
+
+    kinds = {at_text: T.StringType(), at_length: T.LongType()}
+    fields = [T.StructField(c, kinds.get(i, chosen.schema[c].dataType)) for i, c in enumerate(own)]
+    rows = chosen.mapInArrow(run, T.StructType([*fields, *[chosen.schema[c] for c in ("at", "row", "pass")]]))
+    # a run of shards is a partition; its number is known beforehand, so that nothing is sampled
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionById(parts, F.floor(F.col("at.shard") * parts / F.col("at.shards")).cast("int"))
+    return dealt.sortWithinPartitions("at", "row", "pass").select(*own).toDF(*names)

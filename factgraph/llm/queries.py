@@ -15,7 +15,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.with_edits(table(spark, sf_dir, "documents"))
+    return simhash.with_near_rows(simhash.with_edits(table(spark, sf_dir, "documents")))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factgraph.llm import _text as tx
 from factgraph.llm import html_extract, language_id, minhash, mixing, packing, quality_rules, queries, secret_scan, simhash, toxicity, warc
@@ -116,6 +117,44 @@ def test_block_tables_find_all_within_radius(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("tile", [4, 20_000])
+def test_radius_counts_equal_brute_force(spark, tile):
+    rng = random.Random(25)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    every = [b ^ sum({1 << rng.randrange(128) for _ in range(rng.randrange(0, 4))}) for b in base for _ in range(6)] + [0, 0, 1, 2**128 - 1]
+    prints = [f"{x:032x}" for x in every]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    got = {r.fingerprint: r.near for r in simhash.radius_counts(df.where("doc_id % 3 = 0"), df, 3, tile=tile).collect()}
+    assert got == {p: sum(0 < apart(p, x) <= 3 for x in prints) for p in prints[::3]}
+    near = {r.doc_id: r.near_rows for r in simhash.with_near_rows(df).collect()}
+    assert near == {i: sum(apart(p, x) <= 3 for x in prints) - 1 if i % 20 == 0 else None for i, p in enumerate(prints)}
+    assert simhash.with_near_rows(df.where("false")).count() == 0
+
+
+def brute_fingerprint(text):
+    """128 signed votes of the three-word shingles' 64-bit hashes, one by one."""
+    data, offsets = tx.buffers(pa.array([text]))
+    s, e, doc = tx.words(data, offsets)
+    counts = collections.Counter(tx.window_hashes(tx.span_hashes(data, s, e), doc, 3)[0].tolist())
+    bits = ""
+    for lane in range(2):
+        mixed = {t: int(tx.mix(np.array([(t + 0x9E3779B97F4A7C15 * (lane + 1)) % 2**64], np.uint64))[0]) for t in counts}
+        for b in range(64):
+            votes = sum((1 if mixed[t] >> b & 1 else -1) * (1 + math.log(n)) for t, n in counts.items())
+            bits += "1" if votes > 1e-6 * sum(1 + math.log(n) for n in counts.values()) else "0"
+    return "".join(f"{int(bits[i : i + 8], 2):02x}" for i in range(0, 128, 8))
+
+
+def test_fingerprints_equal_brute_force():
+    rng = random.Random(26)
+    texts = [prose(rng, n, [f"v{i}" for i in range(40)]) for n in (1, 2, 3, 50, 400)] + ["", "a b c d " * 30]
+    data, offsets = tx.buffers(pa.array(texts))
+    got = simhash.fingerprints(data, offsets)
+    assert [r.tobytes().hex() for r in got] == [brute_fingerprint(t) for t in texts]
+    assert simhash.likeness(got[:1], got[:1])[0] == 1 and simhash.likeness(got[:1], 255 - got[:1])[0] == 0
+
+
 def test_language_id_learns(spark):
     rng = random.Random(4)
     a, b = ["the", "and", "of", "with"], ["der", "und", "für", "nicht"]
@@ -338,6 +377,13 @@ def brute_targets(sizes):
     return out
 
 
+def test_targets_equal_brute_force_with_ties(spark):
+    rng = random.Random(29)
+    for sizes in ({"a": 24, "b": 8}, {"a": 30, "b": 10, "c": 20}, {"a": 0, "b": 0}, {None: 7}, {"a": 5, None: 5, "Z": 5}, *[{x: rng.randrange(0, 40) for x in rng.sample(["a", "b", "c", "d", "é", None], 4)} for _ in range(6)]):
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(brute_targets(sizes))
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(0, 400)), rng.choice(["a", "b", "c", "d", None])) for i in range(200)] + [(1000, None, "empty"), (3, "x y", "a"), (3, "x y", "a")]
@@ -365,12 +411,77 @@ def test_shards_carry_the_weights_of_the_mix(spark):
     for r in mixing.slots(plan, mixing.Mix(block=16, shard_slots=4096)).collect():
         by_shard[r.shard][r.source] += 1
         words[r.source] += r.n_words
-    assert words == {"hot": 1_200_000, "small": 40_000, None: 120_000} and sorted(by_shard) == list(range(21))
+    assert words == {"hot": 1_200_000, "small": 40_000, None: 120_000} and sorted(by_shard) == list(range(32))
     for counts in by_shard.values():
-        for source, want in (("hot", 75_000 / 21), ("small", 2_500 / 21), (None, 7_500 / 21)):
+        for source, want in (("hot", 75_000 / 32), ("small", 2_500 / 32), (None, 7_500 / 32)):
             assert abs(counts[source] - want) < 5 * want**0.5
 
 
+def test_deal_is_one_multinomial_draw():
+    n, levels = 5_000, 3
+    shard = mixing.deal(np.arange(n), n, levels, 99)
+    counts = np.bincount(shard, minlength=8)
+    assert (np.diff(shard) >= 0).all() and counts.sum() == n and ((counts - n / 8) ** 2 / (n / 8)).sum() < 26  # 0.0005 of chi-squared with 7 degrees
+    some = np.random.default_rng(1).permutation(n)[:300]
+    assert (mixing.deal(some, n, levels, 99) == shard[some]).all()
+    assert (mixing.deal(np.arange(5), 5, 0, 1) == 0).all()
+    draws = np.array([np.bincount(mixing.deal(np.arange(40), 40, 2, k), minlength=4) for k in range(400)])
+    assert abs(draws.mean(0) - 10).max() < 0.6 and abs(draws.var(0) - 7.5).max() < 2
+
+
+def brute_mix(docs, how):
+    """(row, pass) -> sorted word numbers, by loops; docs: (row, source, size, h) in the order of the streams."""
+    sizes = collections.Counter()
+    for _, source, size, _ in docs:
+        sizes[source] += size
+    out = collections.defaultdict(list)
+    first = {}
+    for source, target in brute_targets(dict(sizes)).items():
+        if not sizes[source]:
+            continue
+        words = [(row, k) for row, s, size, _ in docs if s == source for k in range(size)]
+        blocks = [words[i : i + how.block] for i in range(0, len(words), how.block)]
+        key, left, slot = mixing._key(source, how.seed), math.floor(target), 0
+        while left:
+            which, j = divmod(slot, len(blocks))
+            b = int(mixing._feistel(np.array([j]), len(blocks), key + which * 1000003)[0])
+            for row, k in blocks[b][:left]:
+                out[row, which].append(k)
+            left -= min(left, len(blocks[b]))
+            slot += 1
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_mixed_rows_equal_brute_force(spark):
+    rng = random.Random(27)
+    how = mixing.Mix(block=8, rows_per_chunk=10**9, shard_slots=16)
+    rows = [(i, prose(rng, rng.randrange(0, 60)), rng.choice(["a", "b", "c", None]), "k", i) for i in range(80)] + [(5, "x y z", "a", "k", 1), (5, "x y z", "a", "k", 1), (900, None, "a", None, 2), (901, "one\ttwo\n three", "b", "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _row string, place int").coalesce(1)
+    numbered = docs.withColumn("r", F.monotonically_increasing_id()).select("r", "source", "text", "doc_id", F.xxhash64("doc_id", "text", F.lit(how.seed)).alias("h")).collect()
+    streams = sorted(((r.r, r.source, len(re.findall(WORD, r.text or "")), r.h, r.doc_id) for r in numbered), key=lambda x: (x[3], x[4], x[2]))
+    want = collections.Counter()
+    for (row, _), words in brute_mix([x[:4] for x in streams], how).items():
+        text = numbered[row].text
+        spans = [m.span() for m in re.finditer(WORD, text)]
+        runs = [[w for _, w in g] for _, g in itertools.groupby(enumerate(words), lambda x: x[1] - x[0])]
+        want[numbered[row].doc_id, text if len(words) == len(spans) else "\n".join(text[spans[r[0]][0] : spans[r[-1]][1]] for r in runs)] += 1
+    mixed = mixing.mixed_rows(docs, how, length=None)
+    assert mixed.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in mixed.collect()) == want
+    assert mixing.mixed_rows(docs.where("false"), how, length=None).count() == 0
+
+
+def test_mixed_rows_come_by_shard(spark):
+    rng = random.Random(28)
+    docs = spark.createDataFrame([(i, prose(rng, 40), "hot" if i % 4 else "rare", 0) for i in range(800)], "doc_id long, text string, source string, n_chars long")
+    got = [(r.source, len(r.text.split())) for r in mixing.mixed_rows(docs, mixing.Mix(block=16, shard_slots=64)).collect()]
+    total = sum(n for _, n in got)
+    share = sum(n for s, n in got if s == "rare") / total
+    for k in range(4):  # any quarter of the rows carries the weights
+        part = got[k * len(got) // 4 : (k + 1) * len(got) // 4]
+        assert abs(sum(n for s, n in part if s == "rare") / sum(n for _, n in part) - share) < 0.12
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(9)
     texts = [prose(rng, rng.randrange(1, 900)) for _ in range(120)] + ODD
