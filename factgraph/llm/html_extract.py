@@ -73,7 +73,7 @@ class Block:
     outside: bool
     main: int  # number of the article or main element it is in, 0 for none
     linked: int  # characters within links
-    named: tuple[int, ...] = ()  # numbers of the elements around it whose names are noise
+    named: int = -1  # number of the nearest element around it whose name is noise, -1 for none
     element: int = 0  # token of the element around it
 
 
@@ -82,7 +82,8 @@ class Page:
     tokens: list[int] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     names: list[frozenset[str]] = field(default_factory=list)  # of the elements named as noise
-    around: dict[int, tuple[int, ...]] = field(default_factory=dict)  # by article or main element, the named elements it is in
+    outer: list[int] = field(default_factory=list)  # the nearest such element around each of them
+    around: dict[int, int] = field(default_factory=dict)  # by article or main element, the nearest named element it is in
     own: set[int] = field(default_factory=set)  # article elements that are themselves named so
 
 
@@ -92,35 +93,53 @@ def settle(page: Page) -> None:
     inner = [b for b in page.blocks if not b.outside]
     sizes: dict[int, int] = {}
     for b in inner:
-        if b.main and b.main not in page.own and len(b.named) == len(page.around[b.main]):
+        if b.main and b.main not in page.own and b.named == page.around[b.main]:
             sizes[b.main] = sizes.get(b.main, 0) + len(b.text)
-    talk = {i for i, words in enumerate(page.names) if words & TALK}
+    talk: list[bool] = []  # whether an element, or one around it, holds readers' texts
+    for words, o in zip(page.names, page.outer):
+        talk.append(bool(words & TALK) or (o >= 0 and talk[o]))
     held: set[int] = set()
-    if not any(not page.around[k] for k in sizes):
-        open_ = [k for k in sizes if not talk & set(page.around[k])]
+    if not any(page.around[k] < 0 for k in sizes):
+        open_ = [k for k in sizes if not talk[page.around[k]]]
         if open_:
-            held = set(page.around[max(open_, key=lambda k: (sizes[k], -k))])
+            at = page.around[max(open_, key=lambda k: (sizes[k], -k))]
+            while at >= 0:
+                held.add(at)
+                at = page.outer[at]
         elif page.names:
             total, by_name = 0, [0] * len(page.names)
             for b in inner:
                 n = max(0, len(b.text) - b.linked)
                 total += n
-                for i in b.named:
-                    by_name[i] += n
-            held = {i for i, n in enumerate(by_name) if 2 * n > total} - talk
+                if b.named >= 0:
+                    by_name[b.named] += n
+            for i in range(len(by_name) - 1, -1, -1):  # an element comes after those around it
+                if page.outer[i] >= 0:
+                    by_name[page.outer[i]] += by_name[i]
+            held = {i for i, n in enumerate(by_name) if 2 * n > total and not page.names[i] & TALK}
+    gone: list[bool] = []
+    for i, o in enumerate(page.outer):
+        gone.append(i not in held or (o >= 0 and gone[o]))
     for b in inner:
-        b.outside = any(i not in held for i in b.named)
+        b.outside = b.named >= 0 and gone[b.named]
 
 
 def parse(source: str) -> Page:
-    """Tokens and text blocks. Elements that are never closed end with the next one that closes around them."""
+    """Tokens and text blocks, in one pass. Elements that are never closed end with the next one that closes around them."""
     page = Page()
-    stack: list[tuple[str, bool, int, int, tuple[int, ...], int]] = []  # name, outside, main, hash of the path, named, token
+    stack: list[tuple[str, bool, int, int, int, int]] = []  # name, outside, main, hash of the path, named, token
+    open_: Counter[str] = Counter()  # of the stack, by name
     parts: list[str] = []
     linked, mains, links, at, n = 0, 0, 0, 0, len(source)
+    last = source.rfind(">") + 1  # no tag ends beyond
 
-    def top() -> tuple[str, bool, int, int, tuple[int, ...], int]:
-        return stack[-1] if stack else ("", False, 0, 0, (), 0)
+    def top() -> tuple[str, bool, int, int, int, int]:
+        return stack[-1] if stack else ("", False, 0, 0, -1, 0)
+
+    def pop() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
 
     def flush() -> None:
         nonlocal linked
@@ -143,11 +162,15 @@ def parse(source: str) -> Page:
                 linked += len(piece)
 
     while True:
-        m = _TAG.search(source, at)
-        add(source[at : m.start() if m else n])
+        m = _TAG.search(source, at, last)
         if not m:
+            end = source.find("<!--", at)
+            add(source[at : end if end >= 0 else n])
             break
+        add(source[at : m.start()])
         at = m.end()
+        if at == last and source.startswith("<!--", m.start()) and not source.startswith("-->", at - 3):
+            break  # a comment that is never closed
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
@@ -168,16 +191,15 @@ def parse(source: str) -> Page:
                 at = end.end() if end else n
             continue
         if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if open_[name]:
+                while pop() != name:
+                    pass
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-            stack.pop()
+            pop()
         if name == "body":
             while stack and stack[-1][0] == "head":
-                stack.pop()
+                pop()
         _, outside, main, path, around, _ = top()
         path = xxhash.xxh3_64_intdigest(name, path)
         # what names a class of elements is part of the role; numbers in it are not
@@ -187,7 +209,8 @@ def parse(source: str) -> Page:
             continue
         noise = _noise(attributes) if attributes and name not in ("html", "body", "main") else frozenset()
         if noise:
-            around = (*around, len(page.names))
+            page.outer.append(around)
+            around = len(page.names)
             page.names.append(noise)
         if not main and (name in MAIN or 'role="main"' in attributes):
             mains += 1
@@ -196,6 +219,7 @@ def parse(source: str) -> Page:
             if noise and name in MAIN:
                 page.own.add(main)
         stack.append((name, outside or name in OUTSIDE, main, path, around, element))
+        open_[name] += 1
     flush()
     settle(page)
     return page

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -324,6 +325,61 @@ def test_wrappers_do_not_take_the_article_away(wrapper):
     assert read(f"<body><p>Text</p>{comments}") == "Text" and read(f"<body><article>Text</article>{comments}") == "Text"
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<", "<!--", "<div class='ad'>", "<div>", "</p><div>", "<a '\">", "<p title=\"", "&#", "&amp", "<script>", "<li><b>", "<div class=ad></p>"])
+def test_parser_is_linear(piece):
+    page = html_extract.parse("<p>Start</p>" + piece * (1_000_000 // len(piece)))
+    began = time.time()
+    html_extract.main_text(page)
+    took = []
+    for n in (100_000, 800_000):
+        began = time.time()
+        html_extract.parse(piece * (n // len(piece)))
+        took.append(time.time() - began)
+    assert took[1] < 10 and took[1] < 25 * max(took[0], 0.02)
+    assert page.blocks[0].text == "Start"
+
+
+def test_comments_and_tags_that_never_end():
+    read = lambda x: html_extract.main_text(html_extract.parse(x))
+    assert read("<p>a</p><!-- gone > <p>b</p>") == "a" and read("a <!-- b") == "a" and read("a <!-- b --> c") == "a c"
+    assert read("<p>a</p>b < c <d") == "a\nb < c <d" and read("<p>a<b") == "a<b" and read("a -->") == "a -->"
+    assert read("<!-- x --><p>a</p><!--y-->") == "a"
+
+
+def test_classes_equal_brute_force(spark):
+    rng = random.Random(30)
+    blocks = ["<div>Banner</div>", "<p>Promo {}</p>", "<ul><li>One</li><li>Two</li></ul>", "<h2>Read more</h2>", "<p>Story {}</p>"]
+    pages = [(f"http://h{i % 2}.example/{i}", "".join(b.format(rng.randrange(3)) for b in blocks if rng.random() < 0.8)) for i in range(24)] + [("http://h0.example/x", None), (None, "<p>alone</p>")]
+    pages += pages[:5]
+    got = collections.defaultdict(set)
+    for r in html_extract.equivalence_classes(spark.createDataFrame(pages, "url string, html string")).collect():
+        got[r.host].add((r.pages, frozenset(t % 2**64 for t in r.tokens)))
+    want = collections.defaultdict(set)
+    for host in ("h0.example", "h1.example", ""):
+        own = sorted({h or "" for u, h in pages if (u or "http:///").split("/")[2] == host})
+        seen = [collections.Counter(html_extract.parse(h).tokens) for h in own]
+        vectors = collections.defaultdict(set)
+        for t in set().union(*seen):
+            vectors[tuple(c[t] for c in seen)].add(t)
+        for v, tokens in vectors.items():
+            n = sum(x > 0 for x in v)
+            if len(own) >= 3 and len(tokens) >= 2 and n >= max(2, 0.5 * len(own)):
+                want[host].add((n, frozenset(tokens)))
+    assert got == want and want
+
+
+def test_only_the_template_tells_a_notice_from_the_article(spark):
+    pages = [(i, "http://h.example/", f"<article><p>Written for the readers of this paper.</p><p>Text {i} of its own.</p></article>") for i in range(8)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert all("Written" in html_extract.main_text(html_extract.parse(h)) for _, _, h in pages)
+    assert {r.text for r in html_extract.extract(docs).collect()} == {f"Text {i} of its own." for i in range(8)}
+    long = [*pages, (90, "http://long.example/", "<article>" + "<p>A long page.</p>" * 60_000 + "</article>"), (91, "http://other.example/", None)]
+    more = spark.createDataFrame([(*x, "clash", 1) for x in long], "page_id long, url string, html string, text string, _html int")
+    got = {r.page_id: (r.n_chars, r.text) for r in html_extract.extract(more).collect()}
+    assert got[90][0] == 60_000 * 13 - 1 and got[91] == (0, "") and got[3][1] == "Text 3 of its own."
+    assert html_extract.extract(docs.where("false")).count() == 0
+
+
 def test_near_copies_on_a_small_host_keep_their_article(spark):
     story = [f"<p>{i} Paragraph one of a story.</p><blockquote>{i} Said once.</blockquote><p>{i} Paragraph two of it.</p>" for i in range(4)]
     frame = "<body><div>Shared banner</div><div>{}</div><footer>End</footer>"
