@@ -162,7 +162,10 @@ def score(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rules: Rules = R
 
 
 def keep_rows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows that pass, with the columns of docs."""
+    """The rows that pass, with the columns of docs.
+
+    A filter would be pushed below the projections, and each mention of a count would count all words again; a generator of one row or none stays above them."""
     own = docs.columns
     renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("text"))
-    return score(renamed, ("_row",), rules).where("kept").select(*[F.col("_row").getField(c).alias(c) for c in own])
+    passed = score(renamed, ("_row",), rules).select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return passed.select(*[F.col("_row").getField(c).alias(c) for c in own])
