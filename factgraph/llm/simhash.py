@@ -122,24 +122,44 @@ def radius_counts(queries: DataFrame, corpus: DataFrame, radius: int = 3, bits:
     dealt_q = asked.join(cells, ["t", "key"]).select("t", "key", spot("qs").alias("i"), every("ms").alias("j"), "fp", F.lit(0).cast("long").alias("n"))
     dealt_m = met.join(cells, ["t", "key"]).select("t", "key", every("qs").alias("i"), spot("ms").alias("j"), "fp", "n")
 
-    def compare(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(table.num_rows, bits // 8)
-        n, t = table.column("n").to_numpy(), table.column("t")[0].as_py()
-        ask, have, weight = raw[n == 0], raw[n > 0], n[n > 0]
+    def compare(t: int, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ask, have, weight = fp[n == 0], fp[n > 0], n[n > 0]
         near = np.zeros(len(ask), np.int64)
         for lo in range(0, len(have), 4096):
             part = have[lo : lo + 4096]
             for k in range(len(ask)):
                 differ = part ^ ask[k]
                 hits = np.flatnonzero(np.bitwise_count(differ).sum(1) <= radius)
+                hits = hits[differ[hits].any(1)]
                 if not len(hits):
                     continue
                 same = np.stack([~differ[hits, edges[b] : edges[b + 1]].any(1) for b in range(blocks)], 1)
                 agree = np.stack([same[:, c].all(1) for c in map(list, choices)], 1)
-                near[k] += weight[lo + hits[(agree.argmax(1) == t) & differ[hits].any(1)]].sum()
-        return pa.table({column: pa.array(_hex(ask), pa.string()), "near": pa.array(near)})
+                near[k] += weight[lo + hits[agree.argmax(1) == t]].sum()
+        return ask[near > 0], near[near > 0]
 
-    rows = dealt_q.unionByName(dealt_m).groupBy("t", "key", "i", "j").applyInArrow(compare, f"{column} string, near long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells follow each other; one may go on in the next batch."""
+        cell, fp, n = np.zeros((0, 4), np.int64), np.zeros((0, bits // 8), np.uint8), np.zeros(0, np.int64)
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                cell = np.r_[cell, np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)]
+                fp = np.r_[fp, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, bits // 8)]
+                n = np.r_[n, batch.column(5).to_numpy()]
+            if not len(n):
+                continue
+            first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
+            ends = np.r_[first[1:], len(n)] if batch is None else first[1:]
+            found = [compare(int(cell[a, 0]), fp[a:b], n[a:b]) for a, b in zip(first, ends)]
+            to = int(ends[-1]) if len(ends) else 0
+            cell, fp, n = cell[to:], fp[to:], n[to:]
+            if any(len(x) for x, _ in found):
+                yield pa.RecordBatch.from_arrays([pa.array(_hex(np.concatenate([x for x, _ in found])), pa.string()), pa.array(np.concatenate([y for _, y in found]))], names=[column, "near"])
+
+    dealt = dealt_q.unionByName(dealt_m).repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
+    rows = dealt.mapInArrow(run, f"{column} string, near long")
+    asked_all = queries.select(column).where(F.col(column).isNotNull()).distinct().withColumn("near", F.lit(0).cast("long"))
+    rows = rows.unionByName(asked_all)
     return rows.groupBy(column).agg(F.sum("near").alias("near"))
 
 
