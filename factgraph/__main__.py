@@ -1,21 +1,32 @@
-"""python -m factgraph COMMAND STORE [BUNDLES]: import bundles, reindex, verify, or patients."""
+"""python -m factgraph COMMAND STORE ...: import bundles, publish a file of rules, reindex, reproject, correct, verify, trust, embed, or patients."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import time
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from factgraph.functions.embed import hash_embedder
+from factgraph.operators import corrections, trust
 from factgraph.sources import bundles
+from factgraph.sources.rules import read_rules
 from factgraph.store import FactStore
 
 
 def main() -> None:
     args = argparse.ArgumentParser(prog="factgraph", description=__doc__)
-    args.add_argument("command", choices=("import", "reindex", "verify", "patients"))
+    args.add_argument("command", choices=("import", "rules", "reindex", "reproject", "correct", "verify", "trust", "embed", "patients"))
     args.add_argument("store")
-    args.add_argument("bundles", nargs="?")
+    args.add_argument("bundles", nargs="?", help="import: a folder of bundles; rules: a file; trust: a policy; correct: the fact to correct")
+    args.add_argument("--action", choices=("retract", "attest"), default="attest", help="of correct")
+    args.add_argument("--author", default="")
+    args.add_argument("--note", default="approved", help="of correct: the reason of a retraction, or approved or rejected")
+    args.add_argument("--recent", default="2000-01-01", help="of reproject: patients seen since then come first")
+    args.add_argument("--limit", type=int, default=64, help="of reproject: patients at once")
     args.add_argument("--first", action="store_true", help="the store is new")
     a = args.parse_args()
     spark = SparkSession.builder.appName("factgraph").getOrCreate()
@@ -26,6 +37,24 @@ def main() -> None:
         none = F.array().cast("array<string>")
         fresh = bundles.bundle_facts(bundles.read_bundles(spark, a.bundles)).select("fact_id", "patient_root", "type", "ts", F.lit(None).cast("string").alias("author"), "parents", none.alias("amends"), none.alias("retracts"), "content", F.col("fact_id").alias("computed_id"))
         store.append_facts(fresh, empty=a.first).show(100, truncate=False)
+    elif a.command == "rules":
+        with open(a.bundles, encoding="utf-8") as f:
+            for fact in read_rules(f.read()):
+                store.append_one(fact, None).show(truncate=False)
+    elif a.command == "correct":
+        at = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+        row = store.facts().where(F.col("fact_id") == a.bundles).select("patient_root").first()
+        if row is None:
+            args.error("no such fact")
+        make = corrections.retract if a.action == "retract" else corrections.attest
+        store.append_one(make(a.bundles, a.note, a.author, at), row.patient_root).show(truncate=False)
+    elif a.command == "reproject":
+        store.reproject(a.recent, a.limit, lambda batch: None).show(a.limit, truncate=False)
+    elif a.command == "trust":
+        with open(a.bundles, encoding="utf-8") as f:
+            print(trust.check_knowledge(store.knowledge(), json.load(f), datetime.now(timezone.utc)))
+    elif a.command == "embed":
+        print(store.embed(hash_embedder()))
     elif a.command == "reindex":
         print(store.reindex())
     elif a.command == "verify":

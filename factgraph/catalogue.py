@@ -208,7 +208,7 @@ def q19_text_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), g(g) AS (SELECT DISTINCT substr('ention', i, 3) FROM generate_series(1, 4) s(i)),
-c AS (SELECT doc_id, g, len(list_filter(generate_series(1, greatest(length(t) - 2, 0)), lambda i: substr(t, i, 3) = g)) AS c FROM d, g), n AS (SELECT count(*) AS docs, avg(greatest(length(t) - 2, 0)) AS mean FROM d),
+c AS (SELECT doc_id, g, (length(t) - length(replace(t, g, ''))) // 3 AS c FROM d, g), n AS (SELECT count(*) AS docs, avg(greatest(length(t) - 2, 0)) AS mean FROM d),
 f AS (SELECT g, count(*) FILTER (c > 0) AS df FROM c GROUP BY 1)
 SELECT d.doc_id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * greatest(length(t) - 2, 0) / mean))), 6) AS score FROM d JOIN c USING (doc_id) JOIN f USING (g), n WHERE contains(t, 'ention') GROUP BY d.doc_id ORDER BY 2 DESC, 1 LIMIT 50""")
 def q20_trigram_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +336,9 @@ def q34_retrieval_score(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT event_type, count(*)::BIGINT AS n, quantile_disc(value, 0.5)::DOUBLE AS p50, quantile_disc(value, 0.95)::DOUBLE AS p95, max(value) AS worst FROM events GROUP BY 1")
 def q35_latency_stats(spark: SparkSession, d: str) -> DataFrame:
-    return src.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("worst"))
+    from factgraph.operators.evalkit import percentiles
+
+    return percentiles(src.table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @register("""WITH a AS (SELECT o_custkey, max(o_orderdate) AS last, bool_or(o_orderpriority = '1-URGENT') AS dead FROM orders GROUP BY 1), s AS (SELECT c_custkey, 'C'||c_custkey AS patient_root, strftime(last, '%Y-%m-%d') AS last_visit_at, CASE WHEN last IS NULL THEN 1 WHEN dead THEN 2 WHEN last >= TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS tier FROM customer LEFT JOIN a ON o_custkey = c_custkey)
@@ -386,9 +388,15 @@ def q40_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return missing_parents(li, known)
 
 
-@register("SELECT 0::BIGINT AS wrong_order, 0::BIGINT AS unknown_severity, 0::BIGINT AS severe_without_evidence, 0::BIGINT AS duplicate_key")
+@register(f"""WITH {_LINKS}, sums AS (SELECT count(*) AS links, count(*) FILTER (e = 2) AS shared FROM lk)
+SELECT links::BIGINT AS wrong_order, links::BIGINT AS unknown_severity, shared::BIGINT AS severe_without_evidence, links::BIGINT AS duplicate_key FROM sums""")
 def q41_link_violations(spark: SparkSession, d: str) -> DataFrame:
-    return links.violations(_all_links(spark, d))
+    """All links, and of each one turned round, one of a severity that there isn't, one that is severe by its tags alone, and one that is there twice."""
+    every = _all_links(spark, d)
+    turned = every.withColumns({"a": F.col("b"), "b": F.col("a")})
+    unknown = every.withColumns({"severity": F.lit("grave"), "rule_version": F.lit("x"), "evidence_basis": F.lit("guideline")})
+    severe = every.where("evidence_basis = 'cooccurrence'").withColumns({"severity": F.lit("critical"), "rule_version": F.lit("y")})
+    return links.violations(every.unionByName(turned).unionByName(unknown).unionByName(severe).unionByName(every))
 
 
 @register()
@@ -401,7 +409,7 @@ def q42_retrieve(spark: SparkSession, d: str) -> DataFrame:
     edges = kids.select(F.col("fact_id").alias("src"), F.col("parent_id").alias("dst")).unionByName(src.encounters(spark, d).select(F.col("fact_id").alias("src"), F.col("patient_root").alias("dst")))
     status = src.encounters(spark, d).where("order_status = 'F'").select("fact_id", F.lit("retracted").alias("status"), F.lit(None).cast("string").alias("current_id"))
     anchors = src.tag_rows(kids).where("tag = 'risk:Brand#11'").select(F.col("patient_root").alias("query"), "fact_id")
-    return retrieve(anchors, facts, edges, _all_links(spark, d), status)
+    return retrieve(anchors, facts, edges, _all_links(spark, d), status, gaps="active")
 
 #: Text of a bundle for each order, written from the tables: its customer, the order as an encounter, its items as resources of four kinds by line number.
 _SYSTEM = {"snomed": "http://snomed.info/sct", "loinc": "http://loinc.org", "rxnorm": "http://www.nlm.nih.gov/research/umls/rxnorm"}
@@ -487,7 +495,7 @@ def _logs(spark: SparkSession, d: str) -> DataFrame:
     root = F.concat(F.lit("C"), "o_custkey")
     core = canon.canonical_fact(F.lit("encounter"), F.date_format("o_orderdate", "yyyy-MM-dd"), content, F.array(root))
     facts = src.table(spark, d, "orders").select(core.alias("core"), canon.identity(core).alias("fact_id"), root.alias("patient_root"), F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'").alias("written_at"), F.col("o_orderkey").cast("long").alias("append_seq"))
-    return append_frames(facts, segment=1_000_000)
+    return append_frames(facts)
 
 
 @register(_FRAMED)
@@ -521,7 +529,7 @@ def _flat(scenarios: DataFrame) -> DataFrame:
     return scenarios.withColumn("evidence", F.array_join("evidence", ","))
 
 
-@register(f"WITH {_REQ} {_SCENARIO} SELECT patient_root, 'medication_lookup' AS category, id AS k, '患者の condition '''||o_orderpriority||''' に対して処方された薬は?' AS question, name AS answer, id||',O'||l_orderkey AS evidence FROM req JOIN orders ON l_orderkey = o_orderkey)")
+@register(f"WITH {_REQ} {_SCENARIO} SELECT patient_root, 'medication_lookup' AS category, id AS k, 'Which drug was ordered because of '''||o_orderpriority||'''?' AS question, name AS answer, id||',O'||l_orderkey AS evidence FROM req JOIN orders ON l_orderkey = o_orderkey)")
 def q47_scenario_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Prescriptions with the reason for which they were made; an order stands for the condition of its items."""
     from factgraph.operators.evalkit import medication_lookup
@@ -530,14 +538,14 @@ def q47_scenario_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _flat(medication_lookup(_requests(spark, d).withColumn("reasons", F.array(F.lit("gone"), F.col("parent_id"))), why))
 
 
-@register(f"""WITH {_REQ}, w AS (SELECT *, lead(id) OVER v AS nid, lead(name) OVER v AS nname, lead(ts) OVER v AS nts FROM req WINDOW v AS (PARTITION BY patient_root ORDER BY ts, id)) {_SCENARIO} SELECT patient_root, 'temporal_order' AS category, id||'|'||nid AS k, ''''||name||''' と '''||nname||''' はどちらが先か?' AS question, name AS answer, id||','||nid AS evidence FROM w WHERE nts > ts)""")
+@register(f"""WITH {_REQ}, w AS (SELECT *, lead(id) OVER v AS nid, lead(name) OVER v AS nname, lead(ts) OVER v AS nts FROM req WINDOW v AS (PARTITION BY patient_root ORDER BY ts, id)) {_SCENARIO} SELECT patient_root, 'temporal_order' AS category, id||'|'||nid AS k, 'What happened earlier, '''||name||''' or '''||nname||'''?' AS question, name AS answer, id||','||nid AS evidence FROM w WHERE nts > ts)""")
 def q48_scenario_order(spark: SparkSession, d: str) -> DataFrame:
     from factgraph.operators.evalkit import temporal_order
 
     return _flat(temporal_order(_requests(spark, d)))
 
 
-@register(f"""WITH {_REQ} {_SCENARIO} SELECT patient_root, 'encounter_context' AS category, 'O'||l_orderkey AS k, 'encounter '''||any_value(o_orderpriority)||''' (O'||l_orderkey||') で行われた処置/検査は?' AS question, string_agg(name, ', ' ORDER BY ts, id) AS answer, 'O'||l_orderkey||','||string_agg(id, ',' ORDER BY ts, id) AS evidence FROM req JOIN orders ON l_orderkey = o_orderkey GROUP BY patient_root, l_orderkey)""")
+@register(f"""WITH {_REQ} {_SCENARIO} SELECT patient_root, 'encounter_context' AS category, 'O'||l_orderkey AS k, 'What was done during the visit '''||any_value(o_orderpriority)||''' (O'||l_orderkey||')?' AS question, string_agg(name, ', ' ORDER BY ts, id) AS answer, 'O'||l_orderkey||','||string_agg(id, ',' ORDER BY ts, id) AS evidence FROM req JOIN orders ON l_orderkey = o_orderkey GROUP BY patient_root, l_orderkey)""")
 def q49_scenario_encounter(spark: SparkSession, d: str) -> DataFrame:
     from factgraph.operators.evalkit import encounter_context
 
@@ -545,7 +553,7 @@ def q49_scenario_encounter(spark: SparkSession, d: str) -> DataFrame:
     return _flat(encounter_context(e, _requests(spark, d).select(F.col("parent_id").alias("encounter"), "fact_id", "name", "ts")))
 
 
-@register(f"""WITH {_REQ} {_SCENARIO} SELECT patient_root, 'medication_interaction_surface' AS category, risk AS k, '患者の薬剤リスク('''||risk||''')に関連する処方は?' AS question, string_agg(name, ', ' ORDER BY id) AS answer, string_agg(id, ',' ORDER BY id) AS evidence FROM req GROUP BY patient_root, risk HAVING count(*) >= 2)""")
+@register(f"""WITH {_REQ} {_SCENARIO} SELECT patient_root, 'medication_interaction_surface' AS category, risk AS k, 'Which orders share the risk '''||risk||'''?' AS question, string_agg(name, ', ' ORDER BY id) AS answer, string_agg(id, ',' ORDER BY id) AS evidence FROM req GROUP BY patient_root, risk HAVING count(*) >= 2)""")
 def q50_scenario_surface(spark: SparkSession, d: str) -> DataFrame:
     from factgraph.operators.evalkit import interaction_surface
 

@@ -28,6 +28,17 @@ def identity(canonical: Column) -> Column:
     return F.sha2(canonical, 256)
 
 
+def show_id(fact_id: Column) -> Column:
+    """An identity as it is shown outside."""
+    return F.concat(F.lit("sha256:"), fact_id)
+
+
+def read_id(text: Column) -> Column:
+    """The identity in a text, with its prefix or without; null for any other text, capitals included."""
+    bare = F.regexp_replace(text, "^sha256:", "")
+    return F.when(bare.rlike("^[0-9a-f]{64}$"), bare)
+
+
 def link_id(a: Column, b: Column, tag: Column, relation: Column, rule: Column) -> Column:
     parts = [F.lit('{"fact_a":'), json_string(a), F.lit(',"fact_b":'), json_string(b), F.lit(',"matched_tag":'), json_string(tag), F.lit(',"relation":'), json_string(relation), F.lit(',"rule_version":'), json_string(rule), F.lit("}")]
     return F.sha2(F.concat(*parts), 256)

@@ -22,12 +22,12 @@ def answer_choice(text):
     return F.upper(F.regexp_extract(text, r"(?i)Answer:\s*([AB])", 1))
 
 
-# Categories of questions and their wording; {a}, {b} are names.
+#: Categories of questions and their wording; {a}, {b} are names.
 QUESTIONS = {
-    "medication_lookup": "患者の condition '{a}' に対して処方された薬は?",
-    "temporal_order": "'{a}' と '{b}' はどちらが先か?",
-    "encounter_context": "encounter '{a}' ({b}) で行われた処置/検査は?",
-    "medication_interaction_surface": "患者の薬剤リスク('{a}')に関連する処方は?",
+    "medication_lookup": "Which drug was ordered because of '{a}'?",
+    "temporal_order": "What happened earlier, '{a}' or '{b}'?",
+    "encounter_context": "What was done during the visit '{a}' ({b})?",
+    "medication_interaction_surface": "Which orders share the risk '{a}'?",
 }
 
 
@@ -91,6 +91,38 @@ def arm_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.sum("tokens").alias("tokens"), F.round(F.avg(F.col("right").cast("int")), 6).alias("agreement"))
 
 
+def scenario_lines(scenarios: DataFrame) -> DataFrame:
+    """The scenarios as JSON, a line each, in order of patient, category and id: (place, line); written with `write_lines`."""
+    order = ["patient_root", "category", "scenario_id"]
+    return scenarios.select(*order, F.to_json(F.struct("scenario_id", "patient_root", "category", "question", "answer", "evidence")).alias("line")).orderBy(*order).select("line")
+
+
+def write_lines(lines: DataFrame, folder: str) -> None:
+    """Adds lines to those of a folder; with `pending`, a run that stopped goes on where it was."""
+    lines.select(F.col(lines.columns[0]).alias("value")).write.mode("append").text(folder)
+
+
+def answers_right(results: DataFrame) -> DataFrame:
+    """results (answer_text, expected) with choice and right; an answer without a choice is wrong."""
+    return results.withColumn("choice", answer_choice(F.col("answer_text"))).withColumn("right", F.col("choice") == F.col("expected"))
+
+
+def arm_items(hits: DataFrame, budget: int) -> DataFrame:
+    """What an arm of plain search gives a question: hits (query, fact_id, rank, text) in rank order until the first that doesn't fit. For the vector arm rank by distance, for the text
+    arm by score; the third arm is `retrieve`."""
+    from factgraph.functions.canon import REFERENCE_TOKENS, token_estimate
+    from factgraph.operators.context import pack_stop
+
+    costs = hits.withColumn("tokens", F.lit(REFERENCE_TOKENS) + token_estimate(F.coalesce("text", F.lit(""))))
+    return pack_stop(costs, budget, "query", ["rank", "fact_id"]).select("query", "fact_id", "rank", "used")
+
+
+def percentiles(values: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """n, the nearest-rank percentiles named in `shares`, and worst by key."""
+    found = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, p in shares.items()]
+    return values.groupBy(key).agg(F.count("*").alias("n"), *found, F.max(value).alias("worst"))
+
+
 def pending(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """(scenario_id, arm) that have no result yet: a run that stopped goes on there."""
     return wanted.join(done.select("scenario_id", "arm"), ["scenario_id", "arm"], "left_anti")

@@ -6,7 +6,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions.canon import link_id, namespace
@@ -52,9 +52,8 @@ def _finish(rows: DataFrame, rule: CooccurrenceRule) -> DataFrame:
 
 
 def _counted(tags: DataFrame, rule: CooccurrenceRule) -> DataFrame:
-    pairs = _pairs(tags, rule)
-    shared = pairs.groupBy("patient_root", "a", "b").agg(F.count("*").alias("shared"))
-    return pairs.join(shared.where(F.col("shared") >= rule.min_shared), ["patient_root", "a", "b"])
+    together = Window.partitionBy("patient_root", "a", "b")
+    return _pairs(tags, rule).withColumn("shared", F.count("*").over(together)).where(F.col("shared") >= rule.min_shared)
 
 
 def cooccurrence(tags: DataFrame, rule: CooccurrenceRule = CooccurrenceRule()) -> DataFrame:
@@ -112,6 +111,50 @@ def violations(links: DataFrame) -> DataFrame:
     )
 
 
+def upsert(links: DataFrame, fresh: DataFrame) -> DataFrame:
+    """links with the fresh ones; a link that is there already takes on all that the fresh one says. The key is the pair, relation, tag and rule."""
+    key = [F.col("a"), F.col("b"), F.col("relation"), F.col("tag"), F.coalesce("rule_version", F.lit("")).alias("_v")]
+    known = fresh.select(*key)
+    old = links.withColumn("_v", F.coalesce("rule_version", F.lit(""))).join(known, ["a", "b", "relation", "tag", "_v"], "left_anti").select(*links.columns)
+    return old.unionByName(fresh.select(*links.columns))
+
+
+def ends_of(links: DataFrame) -> DataFrame:
+    """links twice, once for either end: src, dst and all columns. Searching these by src is an equality, where both ends would be an OR."""
+    both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return links.select(both.alias("_x"), "*").select("_x.src", "_x.dst", *links.columns)
+
+
+def of_facts(links: DataFrame, ids: DataFrame, relation: str | None = None) -> DataFrame:
+    """fact_id, other and the links of each of the given facts."""
+    rows = ends_of(links.where(F.col("relation") == relation) if relation else links)
+    return rows.join(ids.select(F.col("fact_id").alias("src")).distinct(), "src", "left_semi").withColumnsRenamed({"src": "fact_id", "dst": "other"})
+
+
+def normalised(links: DataFrame, status: DataFrame, hidden: DataFrame | None = None, include_unattested: bool = False, gaps: str = "error") -> DataFrame:
+    """links between the current versions of their ends: an end that its status drops takes the link along, as does one among the hidden facts (fact_id); a link of a fact with itself goes.
+
+    Done before links are followed, so that no hop runs through a fact that isn't there any more."""
+    from factgraph.operators.state import resolve_status, with_status
+
+    rows = links
+    for end in ("a", "b"):
+        joined = with_status(rows.withColumn("fact_id", F.col(end)), status, gaps)
+        out = resolve_status(F.col("status"), F.col("current_id"), F.col("fact_id"), include_unattested)
+        rows = joined.where(out["keep"]).withColumn(end, out["resolved_id"]).drop("fact_id", "status", "current_id")
+        if hidden is not None:
+            rows = rows.join(hidden.select(F.col("fact_id").alias(end)), end, "left_anti")
+    return rows.where(F.col("a") != F.col("b")).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).select(*links.columns)
+
+
+def attached(links: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, fact_id, link_id, other): each link between two items of a query, at the end that comes first. items: query, fact_id, place."""
+    at = lambda end: items.select("query", F.col("fact_id").alias(end), F.col("place").alias(f"place_{end}"))
+    both = links.select("a", "b", "link_id").join(at("a"), "a").join(at("b"), ["query", "b"])
+    first = F.col("place_a") <= F.col("place_b")
+    return both.select("query", F.when(first, F.col("a")).otherwise(F.col("b")).alias("fact_id"), "link_id", F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
+
+
 def priority(severity: Column, basis: Column) -> list[Column]:
     """Sort keys of clinical priority: severity, then evidence."""
     s = F.when(severity == "critical", 0).when(severity == "alert", 1).when(severity == "warning", 2).when(severity == "info", 3).otherwise(4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,18 +31,144 @@ def trigram_bm25(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
 
     Postings are made for the query's trigrams alone, by counting within each document: no trigram of the corpus is shuffled."""
     wanted = sorted({query.lower()[i : i + 3] for i in range(len(query) - 2)})
+    return _scored(docs, F.lower("text").contains(query.lower()), wanted, limit, "doc_id")
+
+
+def _scored(docs: DataFrame, hit: Column, wanted: list[str], limit: int, key: str) -> DataFrame:
     if not wanted:
-        return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     low = F.lower("text")
     # overlapping occurrences: a text splits at a look-ahead once for each
     counts = [F.size(F.regexp_extract_all(low, F.concat(F.lit("(?=("), F.lit(_quoted(g)), F.lit("))")), 1)).alias(f"c{i}") for i, g in enumerate(wanted)]
-    rows = docs.select("doc_id", low.contains(query.lower()).alias("hit"), F.greatest(F.char_length(low) - 2, F.lit(0)).alias("n"), *counts)
+    rows = docs.select(key, hit.alias("hit"), F.greatest(F.char_length(low) - 2, F.lit(0)).alias("n"), *counts)
     stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"c{i}") > 0).alias(f"d{i}") for i in range(len(wanted))])
     score = F.lit(0.0)
     for i in range(len(wanted)):
         idf = F.greatest(F.log((F.col("docs") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)), F.lit(1e-6))
         score = score + idf * F.col(f"c{i}") * (K1 + 1) / (F.col(f"c{i}") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    return rows.where("hit").join(F.broadcast(stats)).select("doc_id", score.alias("score")).orderBy(F.round("score", 6).desc(), "doc_id").limit(limit)  # stats is one row
+    return rows.where("hit").join(F.broadcast(stats)).select(key, score.alias("score")).orderBy(F.round("score", 6).desc(), key).limit(limit)  # stats is one row
+
+
+def parse_query(query: str) -> tuple:
+    """The tree of a text query: words and "phrases" next to each other or joined by AND must all be there, OR binds less, NOT more (a NOT b: a without b); parentheses group."""
+    tokens = re.findall(r'"[^"]*"|[()]|[^\s()"]+', query)
+    at = 0
+
+    def peek():
+        return tokens[at] if at < len(tokens) else None
+
+    def either():
+        nonlocal at
+        node = both()
+        while peek() == "OR":
+            at += 1
+            node = ("or", node, both())
+        return node
+
+    def both():
+        nonlocal at
+        node = without()
+        while peek() not in (None, "OR", ")"):
+            at += peek() == "AND"
+            node = ("and", node, without())
+        return node
+
+    def without():
+        nonlocal at
+        node = term()
+        while peek() == "NOT":
+            at += 1
+            node = ("not", node, term())
+        return node
+
+    def term():
+        nonlocal at
+        t = peek()
+        if t is None or t in ("AND", "OR", "NOT", ")"):
+            raise ValueError(f"a word is missing in {query!r}")
+        at += 1
+        if t != "(":
+            return ("term", t.strip('"').lower())
+        node = either()
+        if peek() != ")":
+            raise ValueError(f"a parenthesis is open in {query!r}")
+        at += 1
+        return node
+
+    tree = either()
+    if at < len(tokens):
+        raise ValueError(f"a parenthesis too many in {query!r}")
+    return tree
+
+
+def terms_of(tree: tuple) -> list[str]:
+    """The terms that a match must or may have, without those that it must not."""
+    if tree[0] == "term":
+        return [tree[1]]
+    return terms_of(tree[1]) + ([] if tree[0] == "not" else terms_of(tree[2]))
+
+
+def matches(tree: tuple, text: str = "text") -> Column:
+    """Whether a text answers a query; a term is any run of characters, whatever their case, and one of fewer than three matches nothing."""
+    if tree[0] == "term":
+        return F.lower(text).contains(tree[1]) if len(tree[1]) >= 3 else F.lit(False)
+    a, b = matches(tree[1], text), matches(tree[2], text)
+    return a | b if tree[0] == "or" else a & ~b if tree[0] == "not" else a & b
+
+
+def ranked(docs: DataFrame, query: str, limit: int = 50, key: str = "doc_id") -> DataFrame:
+    """key and score of the documents that answer a query, best first: BM25 over the trigrams of its terms."""
+    tree = parse_query(query)
+    wanted = sorted({t[i : i + 3] for t in terms_of(tree) for i in range(len(t) - 2)})
+    return _scored(docs, matches(tree), wanted, limit, key)
+
+
+def filtered(facts: DataFrame, types: list[str] | None = None, date_from: str | None = None, date_to: str | None = None, patient: str | None = None) -> DataFrame:
+    """Facts of these types, from a time on and before another (compared as text), of a patient."""
+    keep = F.lit(True)
+    keep = keep & F.col("type").isin(*types) if types else keep
+    keep = keep & (F.col("ts") >= date_from) if date_from else keep
+    keep = keep & (F.col("ts") < date_to) if date_to else keep
+    return facts.where(keep & (F.col("patient_root") == patient) if patient else keep)
+
+
+def matched_tags(facts: DataFrame, tags: DataFrame, wanted: list[str]) -> DataFrame:
+    """The facts that have one of the wanted tags at least, with matched_tags in the order asked for."""
+    held = tags.where(F.col("tag").isin(*wanted)).groupBy(F.col("fact_id").alias("_f")).agg(F.collect_set("tag").alias("_t"))
+    asked = F.array(*[F.lit(t) for t in dict.fromkeys(wanted)])
+    return facts.join(held, F.col("fact_id") == F.col("_f")).withColumn("matched_tags", F.filter(asked, lambda t: F.array_contains("_t", t))).drop("_f", "_t")
+
+
+def first_patient(anchors: DataFrame) -> DataFrame:
+    """The anchors of the patient of each query's first anchor by id (query, fact_id, patient_root); shared facts if that one is shared."""
+    first = anchors.groupBy(F.col("query").alias("_q")).agg(F.min(F.struct("fact_id", "patient_root")).alias("_x"))
+    on = (F.col("query") == F.col("_q")) & F.col("patient_root").eqNullSafe(F.col("_x.patient_root"))
+    return anchors.join(first, on).drop("_q", "_x")
+
+
+def anchors(index: DataFrame, tags: DataFrame, query: str | None = None, wanted: list[str] | None = None, types: list[str] | None = None, date_from: str | None = None, date_to: str | None = None, patient: str | None = None,
+            near: DataFrame | None = None, limit: int = 50, post_limit: bool = False) -> DataFrame:
+    """fact_id, patient_root, by_text, distance, matched_tags of the facts that a search starts from: the best texts, or, without a query, all that have a tag; and the nearest
+    vectors (near: fact_id, distance). Filters hold before the limit, after it with post_limit. index: fact_id, patient_root, type, ts, text."""
+    if not query and not wanted:
+        raise ValueError("a search needs a query or tags")
+    chosen = filtered(index, types, date_from, date_to, patient)
+    if query:
+        best = ranked(index if post_limit else chosen, query, limit, "fact_id").select(F.col("fact_id").alias("id"))
+    else:
+        best = tags.where(F.col("tag").isin(*wanted)).select(F.col("fact_id").alias("id")).distinct()
+    far = near.select(F.col("fact_id").alias("id"), "distance") if near is not None else best.select("id", F.lit(None).cast("double").alias("distance")).limit(0)
+    hits = hybrid(best, far)
+    rows = chosen.select("fact_id", "patient_root").join(hits, F.col("fact_id") == F.col("id")).drop("id")
+    return matched_tags(rows, tags, wanted) if wanted else rows.withColumn("matched_tags", F.array().cast("array<string>"))
+
+
+def vector_search(vectors: DataFrame, query: list[float], k: int = 10, patient: str | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """fact_id and distance of the k nearest of vectors (fact_id, patient_root, embedding), nearest first, then without the hidden ones."""
+    rows = vectors.where(F.col("patient_root") == patient) if patient else vectors
+    asked = F.array(*[F.lit(float(x)) for x in query])
+    best = rows.select("fact_id", F.round(l2(F.col("embedding"), asked), 6).alias("distance")).orderBy("distance", "fact_id").limit(k)
+    return best.join(hidden.select("fact_id"), "fact_id", "left_anti") if hidden is not None else best
 
 
 def _quoted(g: str) -> str:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,14 +183,28 @@ def verify(logs: DataFrame) -> DataFrame:
 
 def append_frames(facts: DataFrame, segment: int = 10_000, codec: int = ZSTD) -> DataFrame:
     """(path, content): logs of facts (fact_id, core, patient_root, written_at, append_seq), a log for `segment` positions of a patient, so that
-    a patient with very many facts has many logs; facts without a patient go to logs named _shared."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = list(zip(pdf["fact_id"], pdf["core"], pdf["patient_root"], pdf["written_at"]))
-            yield pdf[["path", "append_seq"]].assign(frame=encode(rows, codec))
+    a patient with very many facts has many logs; facts without a patient go to logs named _shared. Facts are moved once, and a log is joined as its frames go by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts = None, []
+
+        def out(done: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([b"".join(p) for _, p in done], pa.binary())], names=["path", "content"])
+
+        for batch in batches:
+            path, *rows = [c.to_pylist() for c in batch.columns[:5]]
+            done = []
+            for p, frame in zip(path, encode(list(zip(*rows)), codec)):
+                if p != name:
+                    if parts:
+                        done.append((name, parts))
+                    name, parts = p, []
+                parts.append(frame)
+            if done:
+                yield out(done)
+        if parts:
+            yield out([(name, parts)])
 
     named = F.concat(F.coalesce("patient_root", F.lit("_shared")), F.lit("/"), F.lpad(F.floor(F.col("append_seq") / segment).cast("string"), 9, "0"))
-    one = facts.select("fact_id", "core", F.coalesce("patient_root", F.lit("")).alias("patient_root"), "written_at", "append_seq", named.alias("path")).mapInPandas(run, "path string, append_seq long, frame binary")
-    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("append_seq", "frame"))), F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["frame"]))
-    return one.groupBy("path").agg(joined.alias("content"))
+    rows = facts.select(named.alias("path"), "fact_id", "core", F.coalesce("patient_root", F.lit("")).alias("patient_root"), "written_at", "append_seq")
+    return rows.repartition("path").sortWithinPartitions("path", "append_seq", "fact_id").mapInArrow(run, "path string, content binary")

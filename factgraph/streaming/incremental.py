@@ -22,6 +22,21 @@ def replace_patients(table: DataFrame, fresh: DataFrame, affected: DataFrame) ->
     return table.join(affected.select("patient_root").distinct(), "patient_root", "left_anti").unionByName(fresh)
 
 
+def project_batch(folder: str, project: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame, int], None]:
+    """A projection for `project_stream`: the facts of all batches go to folder/facts, and the rows of the patients that a batch touches are derived again from all their facts and written as a
+    new generation, folder/rows/NUMBER; the last one counts. A batch that is replayed writes its own folders again, so that it changes nothing."""
+
+    def run(batch: DataFrame, affected: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/facts/batch={number}")
+        facts = spark.read.parquet(f"{folder}/facts").where(F.col("batch") <= number).drop("batch")
+        fresh = project(facts.join(affected, "patient_root", "left_semi"))
+        old = spark.read.schema(fresh.schema).parquet(f"{folder}/rows/{number - 1}") if number else spark.createDataFrame([], fresh.schema)
+        replace_patients(old, fresh, affected).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
+
+    return run
+
+
 def project_stream(spark: SparkSession, folder: str, schema, checkpoint: str, project: Callable[[DataFrame, DataFrame, int], None]) -> StreamingQuery:
     """Calls project(batch, affected patients, batch number) for each micro-batch of facts that arrives in a folder; a batch may be
     replayed after a failure, so project must be idempotent for a batch number."""

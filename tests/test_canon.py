@@ -5,6 +5,7 @@ from factgraph.functions import canon
 
 
 def test_identity_of_known_facts():
+    # fixed value: the identity that this registration has everywhere
     assert canon.fact_identity({"type": "patient_registration", "timestamp": "2026-01-01T00:00:00Z", "content": {"name": "Test Patient"}}) == "36d7b60d4c870e46aedd1c069ac4c747b956b3aa36b6d8a1abe520ab55959acd"
 
 

@@ -1,0 +1,106 @@
+"""The operators whose results depend on order, against plain Python."""
+
+import collections
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from factgraph.operators import context, links, retrieve, state
+
+
+def test_link_cap_equals_a_loop(spark):
+    rng = random.Random(3)
+    rows = sorted({(f"p{i % 3}", f"{rng.choice(['risk', 'atc', 'rxnorm', 'loinc'])}:{rng.randrange(6)}", f"f{i:03}", f"20{i % 20:02}") for i in range(90) for _ in range(3)})
+    tags = spark.createDataFrame(rows, "patient_root string, tag string, fact_id string, ts string").repartition(5)
+    rule = links.CooccurrenceRule(cap=3, frequency=0.9)
+    got = {(r.patient_root, r.a, r.b, r.tag) for r in links.cooccurrence_capped(tags, rule).collect()}
+    want = set()
+    for p in ("p0", "p1", "p2"):
+        own = [r for r in rows if r[0] == p]
+        facts = {r[2] for r in own}
+        by_tag = collections.defaultdict(list)
+        for _, t, f, _ in own:
+            by_tag[t].append(f)
+        used = collections.Counter()
+        for ns in rule.trigger:
+            for t in sorted(t for t in by_tag if t.startswith(ns)):
+                if len(by_tag[t]) / len(facts) >= 0.9:
+                    continue
+                for a in sorted(by_tag[t]):
+                    for b in sorted(by_tag[t]):
+                        if a < b and used[a] < 3 and used[b] < 3:
+                            used[a] += 1
+                            used[b] += 1
+                            want.add((p, a, b, t))
+    assert got == want and len(want) < links.cooccurrence(tags, rule).count()
+
+
+def _greedy(items, budget):
+    left, out = budget, []
+    for i in items:
+        cost = i["tokens"]
+        if cost <= left:
+            shape, cost = "full", cost
+        elif i["tier"] < 3 and left >= 15:
+            shape, cost = "reference", 15
+        else:
+            shape, cost = "truncated", 0
+        left -= cost
+        out.append((i["query"], i["fact_id"], shape, cost))
+    return out
+
+
+def test_packing_equals_a_loop(spark):
+    rng = random.Random(4)
+    items = [{"query": f"q{i % 5}", "fact_id": f"f{i}", "tier": rng.randrange(4), "link_rank": rng.randrange(3), "ts": f"20{rng.randrange(30):02}", "tokens": rng.randrange(15, 90)} for i in range(120)]
+    df = spark.createDataFrame([tuple(i.values()) for i in items], "query string, fact_id string, tier int, link_rank int, ts string, tokens long").repartition(4)
+    want = set()
+    for q in {i["query"] for i in items}:
+        own = sorted((i for i in items if i["query"] == q), key=lambda i: (i["tier"], i["link_rank"], i["ts"], i["fact_id"]))
+        want |= set(_greedy(own, 400))
+    packed = context.pack_demote(df, 400)
+    assert {(r.query, r.fact_id, r.shape, r.tokens) for r in packed.collect()} == want
+    again = context.refit(packed.withColumn("tokens", F.when(F.col("shape") == "full", F.col("tokens") + 10).otherwise(F.lit(15).cast("long"))), 400)
+    for q, rows in collections.Counter(r.query for r in again.collect()).items():
+        own = [r for r in again.collect() if r.query == q]
+        assert sum(r.tokens for r in own) <= 400 and rows == sum(1 for i in items if i["query"] == q)
+    assert context.pack_demote(df, 0).where("tokens > 0").count() == 0
+
+
+@pytest.mark.parametrize(("row", "unattested", "want"), [
+    (("active", "f"), False, (True, "f", False)), (("retracted", None), False, (False, None, False)), (("unattested", "f"), False, (False, None, False)), (("unattested", "f"), True, (True, "f", True)),
+    (("amended", "g"), False, (True, "g", False)), (("amended", None), False, (False, None, False)), ((None, None), False, (True, "f", False)),
+])
+def test_status_truth_table(spark, row, unattested, want):
+    df = spark.createDataFrame([("f", *row)], "fact_id string, status string, current_id string")
+    out = state.resolve_status(F.col("status"), F.col("current_id"), F.col("fact_id"), unattested)
+    got = df.select(*[F.coalesce(c, F.lit(False)).alias(k) if k != "resolved_id" else c.alias(k) for k, c in out.items()]).first()
+    assert (got.keep, got.resolved_id, got.not_for_clinical_action) == want
+
+
+def test_missing_status_is_an_error_unless_there_is_none(spark):
+    rows = spark.createDataFrame([("f",), ("g",)], "fact_id string")
+    status = spark.createDataFrame([("f", "active", "f")], "fact_id string, status string, current_id string")
+    assert state.with_status(rows, status.where("false")).count() == 2 and state.with_status(rows, status, "active").count() == 2
+    with pytest.raises(Exception, match="no status of fact g"):
+        state.with_status(rows, status).collect()
+
+
+def test_retrieval(spark):
+    """A chain root < visit < note, an amended finding, a link that runs through a retracted fact, and a hidden one."""
+    facts = spark.createDataFrame([(f, "2020", f"{f} " * 30) for f in ("root", "visit", "note", "old", "new", "gone", "far", "hid")], "fact_id string, ts string, text string")
+    edges = spark.createDataFrame([("visit", "root"), ("note", "visit"), ("old", "visit")], "src string, dst string")
+    st = {"old": ("amended", "new"), "gone": ("retracted", None)}
+    status = spark.createDataFrame([(f, *st.get(f, ("active", f))) for f in ("root", "visit", "note", "old", "new", "gone", "far", "hid")], "fact_id string, status string, current_id string")
+    rows = [("note", "old", "l1"), ("gone", "note", "l2"), ("far", "gone", "l3"), ("hid", "note", "l4")]
+    lk = spark.createDataFrame([(*sorted(r[:2]), r[2], "info", "cooccurrence", "2020", "shared_tag", "t", "v") for r in rows], "a string, b string, link_id string, severity string, evidence_basis string, created_at string, relation string, tag string, rule_version string")
+    ask = spark.createDataFrame([("q", "note"), ("q", "gone")], "query string, fact_id string")
+    run = lambda **k: {r.fact_id: (r.tier, r.shape) for r in retrieve.retrieve(ask, facts, edges, lk, status, **k).collect()}
+    assert run() == {"note": (0, "full"), "new": (1, "full"), "hid": (1, "full"), "visit": (2, "full"), "root": (2, "full")}
+    assert run(link_depth=3).keys() == run().keys()  # nothing is reached through the retracted fact
+    hidden = spark.createDataFrame([("hid",)], "fact_id string")
+    assert "hid" not in run(hidden=hidden) and run(include_links=False).keys() == {"note", "visit", "root"}
+    assert run(hidden=spark.createDataFrame([("note",)], "fact_id string")) == {}
+    small = run(budget=70)
+    assert small["note"] == (0, "full") and {s for _, s in small.values()} <= {"full", "reference", "truncated"} and small["new"][1] == "truncated"

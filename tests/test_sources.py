@@ -99,7 +99,7 @@ def test_tags_and_summaries(spark):
     got = flatten.tag_rows(spark.createDataFrame(rows, "fact_id string, patient_root string, ts string, type string, content string")).collect()
     assert sorted((r.fact_id, r.tag) for r in got) == [("a", t) for t in ("atc:b01ac04", "organ:cardiovascular", "organ:hematologic", "risk:bleeding", "rxnorm:309362")] + [("b", "temporal:encounter")]
     assert flatten.summary("fhir_medicationrequest", rx) == "fhir_medicationrequest: clopidogrel"
-    assert flatten.summary("fhir_observation", {"code": {"text": "Temp"}, "valueQuantity": {"value": 37.7910000001, "unit": "Cel"}}) == "fhir_observation: Temp 37.791 Cel"
+    assert flatten.summary("fhir_observation", {"code": {"text": "Girth"}, "valueQuantity": {"value": 81.2040000002, "unit": "cm"}}) == "fhir_observation: Girth 81.204 cm"
     assert flatten.summary("fhir_observation", {"code": {"text": "Smoking"}, "valueQuantity": {"unit": "mg"}, "valueCodeableConcept": {"text": "never"}}) == "fhir_observation: Smoking never"
     assert flatten.summary("x", {"b": ["z", {"c": "a"}]}) == "x: a" and flatten.summary("x", None) == "x"
     assert flatten.search_text("x", {"b": ["z", {"c": "a"}], "n": 1}) == "a z"
@@ -182,7 +182,7 @@ def test_rules_of_arrival(spark):
     rows = [("a", "note", None, ["x"], ["k"], [], "p", "a"), ("b", "retraction", "me", [], [], ["q"], "p", "b"), ("c", "note", "me", ["gone"], [], [], "p", "z"), ("d", "note", None, ["a"], [], [], "p", "d")]
     df = spark.createDataFrame(rows, "fact_id string, type string, author string, parents array<string>, amends array<string>, retracts array<string>, patient_root string, computed_id string")
     known = spark.createDataFrame([("k", "p"), ("q", "other"), ("x", "p")], "fact_id string, patient_root string")
-    assert sorted(map(tuple, corrections.rejected(df, known).collect())) == [("a", "author"), ("b", "other patient in retracts"), ("b", "subject"), ("c", "identity"), ("c", "unknown parents")]
+    assert sorted(map(tuple, corrections.rejected(df, known).collect())) == [("a", "author"), ("b", "other patient in retracts"), ("b", "subject"), ("c", "identity"), ("c", "unknown parents"), ("d", "refers to a rejected fact")]
     rules = spark.createDataFrame([("1", "", None), ("2", "2024-06-02", ""), ("3", "2024-01-01", "2024-06-01")], "id string, effective_from string, effective_to string")
     assert [r.id for r in corrections.in_force(rules, "2024-06-01 12:00:00").collect()] == ["1"]
 
