@@ -179,7 +179,7 @@ def streams(sized: DataFrame, how: Mix = Mix()) -> DataFrame:
 
 
 def mix(docs: DataFrame, how: Mix = Mix(), text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """row: a column that numbers the rows, if there is one. Returns (documents, blocks). documents: doc_id, size, source, source_size, target, taken, row, first_shard (the least output shard that holds words of it, null for none); blocks: the slots of `slots` with the documents whose
+    """row: a column that numbers the rows, if there is one. Returns (documents, blocks). documents: doc_id, size, source, source_size, target, taken, row, first_shard (the output shard of its first words that are taken, null for none); blocks: the slots of `slots` with the documents whose
     words they hold: doc_id, first word in the document, words."""
     row = F.col(row) if row else F.monotonically_increasing_id()
     sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64("doc_id", text, F.lit(how.seed)).alias("h"), row.alias("row")), "sized")
@@ -193,9 +193,9 @@ def mix(docs: DataFrame, how: Mix = Mix(), text: str = "text", row: str | None =
     parts = held.join(c, held["source"].eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     end = F.least(F.col("hi"), F.col("block") * b + F.col("n_words"))
     blocks = parts.where(end > F.col("lo")).select("source", "shard", "shards", "slot", "pass", "block", "doc_id", "row", (F.col("lo") - F.col("start")).alias("first_word"), (end - F.col("lo")).alias("n_words"))
-    taken = blocks.groupBy(F.col("row").alias("r2")).agg(F.sum("n_words").alias("taken"), F.min("shard").alias("first_shard")).hint("merge")
+    taken = blocks.groupBy(F.col("row").alias("r2")).agg(F.sum("n_words").alias("taken"), F.min(F.struct("first_word", "pass", "shard")).alias("at")).hint("merge")
     p = plan.select(F.col("source").alias("s3"), "source_size", "target")
-    documents = sized.join(taken, F.col("row") == F.col("r2"), "left").join(p, sized["source"].eqNullSafe(F.col("s3"))).select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row", "first_shard")
+    documents = sized.join(taken, F.col("row") == F.col("r2"), "left").join(p, sized["source"].eqNullSafe(F.col("s3"))).select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row", F.col("at.shard").alias("first_shard"))
     return documents, blocks
 
 
@@ -219,13 +219,13 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def mixed_rows(docs: DataFrame, how: Mix = Mix(), text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The mix as documents with the columns of docs, whatever their names: a row for each pass that takes words of a document, holding those words.
 
-    Rows come in the order of the output shards, each where its first slot is, so that any run of rows carries the target weights."""
+    Rows come in the order of the output shards, each where the block of its first words is, so that any run of rows carries the target weights, however long the documents are."""
     names = docs.columns
     own = [f"c{i}" for i in range(len(names))]
     base = materialise(docs.toDF(*own).withColumn("row", F.monotonically_increasing_id()), "base")
     named = {c: F.col(own[names.index(c)]).alias(c) for c in ("doc_id", "source", text)}
     _, blocks = mix(base.select(*named.values(), F.col("row").alias("_row")), how, text, "_row")
-    spans = blocks.groupBy(F.col("row").alias("r"), "pass").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"), F.min(F.struct("shard", "slot", "shards")).alias("at"))
+    spans = blocks.groupBy(F.col("row").alias("r"), "pass").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"), F.min(F.struct("first_word", "shard", "slot", "shards")).alias("at"))
     chosen = base.join(spans, F.col("row") == F.col("r")).select(*own, "spans", "at", "row", "pass")
     at_text, at_length = names.index(text), names.index(length) if length in names else None
 
@@ -246,4 +246,4 @@ def mixed_rows(docs: DataFrame, how: Mix = Mix(), text: str = "text", length: st
     # a run of shards is a partition; its number is known beforehand, so that nothing is sampled
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionById(parts, F.floor(F.col("at.shard") * parts / F.col("at.shards")).cast("int"))
-    return dealt.sortWithinPartitions("at", "row", "pass").select(*own).toDF(*names)
+    return dealt.sortWithinPartitions("at.shard", "at.slot", "row", "pass").select(*own).toDF(*names)
