@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("secret scan", secrets), ("mixing", mix), ("packing", pack)]
 
-#: Near-dedup, mixing and packing can't be expressed in SQL; tests hold run() against a brute-force version.
+#: Near-dedup, mixing and packing can't be expressed in SQL; tests/llm holds run() against a brute-force version of every stage.
 ORACLE_SQL = None
 
 
