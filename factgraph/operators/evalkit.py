@@ -92,7 +92,7 @@ def arm_summary(results: DataFrame) -> DataFrame:
 
 
 def scenario_lines(scenarios: DataFrame) -> DataFrame:
-    """The scenarios as JSON, a line each, in order of patient, category and id: (place, line); written with `write_lines`."""
+    """The scenarios as JSON, a row (line) each, in order of patient, category and id; written with `write_lines`."""
     order = ["patient_root", "category", "scenario_id"]
     return scenarios.select(*order, F.to_json(F.struct("scenario_id", "patient_root", "category", "question", "answer", "evidence")).alias("line")).orderBy(*order).select("line")
 
