@@ -457,11 +457,9 @@ _MAPPED = _ITEM + """, f AS (SELECT 'O'||o_orderkey AS path, 'C'||o_custkey AS f
 @register(f"WITH {_MAPPED} SELECT path, row_number() OVER (PARTITION BY path ORDER BY step, ts, fhir_id)::BIGINT AS append_seq, fhir_id, type, ts, parent_fhir_id, summary FROM f")
 def q43_bundle_facts(spark: SparkSession, d: str) -> DataFrame:
     """Bundles mapped to facts, with their one-line summaries."""
-    from factgraph.functions.flatten import content_summary
     from factgraph.sources.bundles import bundle_facts
 
-    f = bundle_facts(_bundles(spark, d))
-    return f.select("path", "append_seq", "fhir_id", "type", "ts", "parent_fhir_id", content_summary("type", "content").alias("summary"))
+    return bundle_facts(_bundles(spark, d), summary=True).select("path", "append_seq", "fhir_id", "type", "ts", "parent_fhir_id", "summary")
 
 
 _BOOK = "book(rx, tag) AS (VALUES {0})"
@@ -481,7 +479,7 @@ def q44_content_tags(spark: SparkSession, d: str) -> DataFrame:
     from factgraph.functions.flatten import tag_rows
     from factgraph.sources.bundles import bundle_facts
 
-    f = bundle_facts(_bundles(spark, d)).select(F.col("fhir_id").alias("fact_id"), "patient_root", "ts", "type", "content")
+    f = bundle_facts(_bundles(spark, d), codings=True).select(F.col("fhir_id").alias("fact_id"), "patient_root", "ts", "type", "codings")
     return tag_rows(f).select(F.col("fact_id").alias("fhir_id"), "tag")
 
 

@@ -9,6 +9,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_quoted = json.encoder.encode_basestring
+_CONSTANTS = {None: "null", True: "true", False: "false"}
+
 REFERENCE_TOKENS = 15
 
 
@@ -95,13 +98,17 @@ def _number(x: float) -> str:
 
 def canonical(value) -> str:
     """RFC 8785 canonical JSON of a decoded value: keys by UTF-16 code units, ECMAScript numbers, shortest escapes."""
-    if value is None or isinstance(value, (bool, str)):
-        return json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        return _quoted(value)
+    if value is None or isinstance(value, bool):
+        return _CONSTANTS[value]
     if isinstance(value, (int, float)):
         return _number(float(value))
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be"))) + "}"
-    return "[" + ",".join(map(canonical, value)) + "]"
+        # ASCII keys have the same order by UTF-16 units as by code points
+        keys = sorted(value) if all(map(str.isascii, value)) else sorted(value, key=lambda k: k.encode("utf-16-be"))
+        return "{" + ",".join([f"{_quoted(k)}:{canonical(value[k])}" for k in keys]) + "}"
+    return "[" + ",".join([canonical(v) for v in value]) + "]"
 
 
 def fact_identity(fact: dict) -> str:
