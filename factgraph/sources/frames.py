@@ -29,6 +29,8 @@ POLYNOMIAL = 0x82F63B78
 _BLOCK = 4096
 #: Frames that a task holds before it hands them on.
 BATCH = 5_000
+#: Bytes of logs that are checked together.
+GROUP = 4_000_000
 FRAME_SCHEMA = "path string, offset long, length long, fact_id string, codec int, core string, patient_root string, written_at string, verified boolean"
 REPORT_SCHEMA = "path string, frames long, valid_upto long, damaged boolean, reason string, failed_hashes long"
 
@@ -98,26 +100,26 @@ def encode(facts: list[tuple[str, str, str | None, str]], codec: int = ZSTD) ->
     return [bytes(f) for f in frames]
 
 
-def scan(content: bytes) -> tuple[list[dict], int, str]:
-    """(records, bytes of the valid prefix, why it ended before the end or '')."""
-    heads, at, reason = [], 0, ""
+def _heads(content: bytes) -> tuple[list[tuple[int, int, int, int, int]], str]:
+    """(start, end, codec, core length, CRC) of each frame by the headers alone, and why they end before the end or ''."""
+    heads, at = [], 0
     while at < len(content):
         if len(content) - at < FIXED:
-            reason = "short frame"
-            break
+            return heads, "short frame"
         magic, flags, n_core, n_meta, crc = struct.unpack_from(HEADER, content, at)
         end = at + FIXED + n_core + n_meta
         if magic != MAGIC or flags & 0xF0 or flags & 0x0F > ZSTD_DICTIONARY:
-            reason = "bad header"
-        elif end > len(content):
-            reason = "short frame"
-        if reason:
-            break
+            return heads, "bad header"
+        if end > len(content):
+            return heads, "short frame"
         heads.append((at, end, flags & 0x0F, n_core, crc))
         at = end
-    data = np.frombuffer(content, dtype=np.uint8)
+    return heads, ""
+
+
+def _records(content: bytes, heads: list[tuple[int, int, int, int, int]], sums: list[int], reason: str) -> tuple[list[dict], int, str]:
     records, valid = [], 0
-    for (s, e, codec, n_core, want), got in zip(heads, crc32c(data, [h[0] for h in heads], [h[1] for h in heads], (11, 15))):
+    for (s, e, codec, n_core, want), got in zip(heads, sums):
         body, raw = content[s + FIXED : s + FIXED + n_core], content[s + FIXED + n_core : e]
         try:
             meta = json.loads(raw) if raw else {}
@@ -130,6 +132,37 @@ def scan(content: bytes) -> tuple[list[dict], int, str]:
     return records, valid, reason
 
 
+def scan_all(contents: list[bytes]) -> Iterator[tuple[list[dict], int, str]]:
+    """Of each log: (records, bytes of the valid prefix, why it ended before the end or ''). The CRCs of all their frames advance together."""
+    found = [_heads(c) for c in contents]
+    begins = np.cumsum([0, *map(len, contents)]).tolist()
+    data = np.frombuffer(b"".join(contents), dtype=np.uint8)
+    starts, ends = ([b + h[k] for b, (heads, _) in zip(begins, found) for h in heads] for k in (0, 1))
+    sums, at = crc32c(data, starts, ends, (11, 15)), 0
+    for content, (heads, reason) in zip(contents, found):
+        yield _records(content, heads, sums[at : at + len(heads)], reason)
+        at += len(heads)
+
+
+def scan(content: bytes) -> tuple[list[dict], int, str]:
+    """(records, bytes of the valid prefix, why it ended before the end or '')."""
+    return next(scan_all([content]))
+
+
+def _scanned(pdf: pd.DataFrame) -> Iterator[tuple[str, tuple[list[dict], int, str]]]:
+    """(path, what scan finds) of logs, read in groups of at most GROUP bytes or one log."""
+    paths, contents, size = [], [], 0
+    for path, content in zip(pdf["path"], pdf["content"]):
+        content = bytes(content or b"")
+        if contents and size + len(content) > GROUP:
+            yield from zip(paths, scan_all(contents))
+            paths, contents, size = [], [], 0
+        paths.append(path)
+        contents.append(content)
+        size += len(content)
+    yield from zip(paths, scan_all(contents))
+
+
 def core_text(record: dict) -> str | None:
     """The canonical fact of a record, None if it can't be decoded."""
     try:
@@ -153,8 +186,8 @@ def frames(logs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple] = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                for r in scan(bytes(content or b""))[0]:
+            for path, (records, _, _) in _scanned(pdf):
+                for r in records:
                     core = core_text(r)
                     rows.append((path, r["offset"], r["length"], r["fact_id"], r["codec"], core, r["meta"].get("patient_root") or None, r["meta"].get("written_at"), core is not None and hashlib.sha256(core.encode()).hexdigest() == r["fact_id"]))
                 if len(rows) >= BATCH:
@@ -172,8 +205,7 @@ def verify(logs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                records, valid, reason = scan(bytes(content or b""))
+            for path, (records, valid, reason) in _scanned(pdf):
                 wrong = sum((t := core_text(r)) is None or hashlib.sha256(t.encode()).hexdigest() != r["fact_id"] for r in records)
                 rows.append((path, len(records), valid, bool(reason), reason, wrong))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in REPORT_SCHEMA.split(", ")])

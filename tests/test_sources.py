@@ -201,3 +201,22 @@ def test_scenarios_stop_and_go_on(spark):
     assert [tuple(r) for r in evalkit.pending(wanted, wanted.limit(1)).collect()] != [] and evalkit.pending(wanted, wanted).count() == 0
     none = spark.createDataFrame([("k", None)], "k string, attribution string")
     assert evalkit.claim_tally(none, "k").first().rate == 0.0
+
+
+def test_logs_read_together_are_read_as_alone(spark):
+    made = [frames.encode([(f"{i:064x}", "{}" * i, None, "t") for i in range(n)]) for n in (3, 0, 1, 5)]
+    logs = [b"".join(m) for m in made]
+    logs += [logs[3][:-1], logs[0][:60] + b"\x00" + logs[0][61:], b"x" * 50, b""]
+    assert list(frames.scan_all(logs)) == [frames.scan(c) for c in logs]
+    rows = spark.createDataFrame([(str(i), bytearray(c)) for i, c in enumerate(logs)] + [("none", None)], "path string, content binary").coalesce(1)
+    assert {r.path: (r.frames, r.valid_upto, r.reason) for r in frames.verify(rows).collect()} == {str(i): (len(frames.scan(c)[0]), *frames.scan(c)[1:]) for i, c in enumerate(logs)} | {"none": (0, 0, "")}
+    assert frames.frames(rows).count() == sum(len(frames.scan(c)[0]) for c in logs)
+
+
+def test_bundles_give_summaries_and_codings_as_their_content_does(spark):
+    df = spark.createDataFrame([("a", json.dumps(_bundle())), ("c", None)], "path string, content string")
+    f = bundles.bundle_facts(df, summary=True, codings=True)
+    rows = f.collect()
+    assert [r.summary for r in rows] == [flatten.summary(r.type, json.loads(r.content)) for r in rows]
+    assert [sorted((c.system, c.code) for c in r.codings) for r in rows] == [sorted(flatten.codings(json.loads(r.content))) for r in rows]
+    assert sorted(flatten.tag_rows(f).collect()) == sorted(flatten.tag_rows(f.drop("codings")).collect())
