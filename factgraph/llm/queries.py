@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import html_extract, language_id, minhash, mixing, packing, quality_rules, secret_scan, simhash, toxicity, warc
+from factgraph.llm import branch_merge, html_extract, language_id, minhash, mixing, packing, pigeonring, quality_rules, secret_scan, simhash, toxicity, warc, whitening
 from factgraph.llm._spark import table
 
 
@@ -54,7 +54,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing, op3_minhash_dedup, op4_simhash, op5_warc, op6_language_id, op7_quality_rules, op8_secret_scan, op9_toxicity, op10_best_fit_packing)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonring.near_components(table(spark, sf_dir, "documents"))
+
+
+def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = branch_merge.merged_rows(table(spark, sf_dir, "documents"))
+    return merged.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing, op3_minhash_dedup, op4_simhash, op5_warc, op6_language_id, op7_quality_rules, op8_secret_scan, op9_toxicity, op10_best_fit_packing, op11_whitening, op12_simhash_near_dedup, op13_branch_merge)}
 
 
 def _quality_sql() -> str:
@@ -94,4 +107,31 @@ b AS (SELECT p.*, first, list_transform(generate_series(0, 3), lambda k: ('0x' |
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest,
  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
 
-ORACLES: dict[str, str] = {"op5_warc": _WARC_SQL, "op7_quality_rules": _quality_sql()}
+# the checksum bit by bit: each byte enters with the first of its eight steps
+_MERGE_SQL = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, string_split(text, chr(10)) AS xs FROM d),
+e AS (SELECT doc_id, 'row' AS name, '' AS v FROM d UNION ALL SELECT doc_id, 'lang', lang FROM d UNION ALL SELECT doc_id, 'source', source FROM d
+ UNION ALL SELECT doc_id, (i - 1)::VARCHAR, xs[i] FROM (SELECT doc_id, xs, unnest(generate_series(1, len(xs))) AS i FROM s)),
+c AS (SELECT doc_id, name, v, b, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(b || ':' || doc_id || ':' || name, ''), lambda ch: [ord(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+ lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295) % 11 AS k FROM e CROSS JOIN (SELECT unnest(['L', 'R']) AS b)),
+p AS (SELECT doc_id, name, any_value(v) AS v, max(k) FILTER (b = 'L') AS x, max(k) FILTER (b = 'R') AS y FROM c GROUP BY doc_id, name),
+w AS (SELECT doc_id, x, y FROM p WHERE name = 'row'),
+q AS (SELECT doc_id, name, -1 AS pos, 0 AS kind, v AS base, CASE x WHEN 0 THEN '' WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END AS l, CASE y WHEN 0 THEN '' WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END AS r
+  FROM p WHERE name IN ('lang', 'source')
+ UNION ALL SELECT doc_id, name, name::INTEGER, 1, v, CASE x WHEN 0 THEN NULL WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END, CASE y WHEN 0 THEN NULL WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END
+  FROM p WHERE name NOT IN ('row', 'lang', 'source')
+ UNION ALL SELECT doc_id, name, name::INTEGER, 2, NULL, CASE x WHEN 3 THEN '!' WHEN 4 THEN '?' END, CASE y WHEN 3 THEN '!' WHEN 4 THEN '?' END FROM p WHERE name NOT IN ('row', 'lang', 'source') AND (x IN (3, 4) OR y IN (3, 4))),
+m AS (SELECT *, l IS DISTINCT FROM base AS dl, r IS DISTINCT FROM base AS dr, l IS DISTINCT FROM base AND r IS DISTINCT FROM base AND l IS DISTINCT FROM r AS clash FROM q),
+n AS (SELECT *, CASE WHEN clash THEN base WHEN dl THEN l ELSE r END AS v FROM m),
+g AS (SELECT doc_id, bool_or(dl) AS dl, bool_or(dr) AS dr, count(*) FILTER ((dl OR dr) AND NOT clash) AS clean, count(*) FILTER (clash AND kind < 2 AND l IS NOT NULL AND r IS NOT NULL) AS ee,
+ count(*) FILTER (clash AND kind = 1 AND (l IS NULL OR r IS NULL)) AS ed, count(*) FILTER (clash AND kind = 2) AS ii, max(v) FILTER (name = 'lang') AS lang, max(v) FILTER (name = 'source') AS source,
+ coalesce(string_agg(v, chr(10) ORDER BY pos, kind) FILTER (kind > 0 AND v IS NOT NULL), '') AS text FROM n GROUP BY doc_id),
+f AS (SELECT d.doc_id, d.lang AS bl, d.source AS bs, d.text AS bt, g.* EXCLUDE (doc_id), x = 0 OR y = 0 AS gone, (x = 0 AND y <> 0 AND dr) OR (y = 0 AND x <> 0 AND dl) AS kept FROM d JOIN g USING (doc_id) JOIN w USING (doc_id)),
+a AS (SELECT -1 - doc_id AS doc_id, 'L' AS b, lang, source, CASE x WHEN 3 THEN '!' ELSE '?' END AS text FROM d JOIN w USING (doc_id) WHERE x IN (3, 4)
+ UNION ALL SELECT -2 - doc_id, 'R', lang, source, CASE y WHEN 3 THEN '!' ELSE '?' END FROM d JOIN w USING (doc_id) WHERE y IN (3, 4)),
+h AS (SELECT doc_id, count(DISTINCT (lang, source, text)) = 1 AS one, min(lang) AS lang, min(source) AS source, min(text) AS text FROM a GROUP BY doc_id)
+SELECT doc_id, CASE WHEN kept THEN bl WHEN NOT gone THEN lang END AS lang, CASE WHEN kept THEN bs WHEN NOT gone THEN source END AS source, CASE WHEN kept THEN sha256(bt) WHEN NOT gone THEN sha256(text) END AS text_sha256,
+ CASE WHEN gone THEN (NOT kept)::BIGINT ELSE clean END AS n_clean, CASE WHEN gone THEN 0 ELSE ee END AS n_edit_edit, CASE WHEN gone THEN kept::BIGINT ELSE ed END AS n_edit_delete, CASE WHEN gone THEN 0 ELSE ii END AS n_insert_insert FROM f
+UNION ALL SELECT doc_id, CASE WHEN one THEN lang END, CASE WHEN one THEN source END, CASE WHEN one THEN sha256(text) END, one::BIGINT, 0, 0, (NOT one)::BIGINT FROM h"""
+
+ORACLES: dict[str, str] = {"op5_warc": _WARC_SQL, "op7_quality_rules": _quality_sql(), "op13_branch_merge": _MERGE_SQL}
