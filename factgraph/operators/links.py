@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions.canon import link_id, namespace
+from factgraph.plans.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -61,33 +60,34 @@ def cooccurrence(tags: DataFrame, rule: CooccurrenceRule = CooccurrenceRule()) -
     return _finish(_counted(tags, rule), rule)
 
 
-def take_greedily(pairs: list[tuple[str, str]], cap: int) -> list[bool]:
-    """In the order given, a pair is taken while neither end has used up its cap."""
-    used: Counter[str] = Counter()
-    out = []
-    for a, b in pairs:
-        ok = used[a] < cap and used[b] < cap
-        out.append(ok)
-        if ok:
-            used[a] += 1
-            used[b] += 1
-    return out
+def capped(rows: DataFrame, cap: int, order: list[str]) -> DataFrame:
+    """The links (patient_root, a, b, and what orders them) that are left if, in this order within a patient, a link is taken while neither of its ends has `cap` taken ones.
+
+    All links are decided at once, in rounds: a link is taken if both ends stay below the cap even if every open link before it is taken, and goes if an end has `cap` taken ones before
+    it; the first open link of a patient is always decided, so the rounds end. A fact with very many links is settled in two or three. The order must be total."""
+    key = ["patient_root", *dict.fromkeys([*order, "a", "b"])]
+    open_ = materialise(rows.select(*key, F.lit(False).alias("taken")), "open_links")
+    before = Window.partitionBy("patient_root", "end").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    while not open_.where(~F.col("taken")).isEmpty():
+        ends = open_.select(*key, "taken", F.explode(F.array("a", "b")).alias("end"))
+        taken, waiting = F.coalesce(F.count_if("taken").over(before), F.lit(0)), F.coalesce(F.count("*").over(before), F.lit(0))
+        worst = ends.select(*key, "taken", taken.alias("used"), waiting.alias("first")).groupBy(*key, "taken").agg(F.max("used").alias("used"), F.max("first").alias("first"))
+        left = worst.where(F.col("taken") | (F.col("used") < cap))
+        open_ = materialise(left.select(*key, (F.col("taken") | (F.col("first") < cap)).alias("taken")), "open_links")
+    return rows.join(open_.select(*key), key, "left_semi")
 
 
 def cooccurrence_capped(tags: DataFrame, rule: CooccurrenceRule = CooccurrenceRule()) -> DataFrame:
     """As `cooccurrence`, with at most `cap` links a fact: in the order of the rule's namespaces, tag, a, b. Both ends use up
-    their cap, which no window expresses: patients whose facts all stay within the cap skip the sequential pass."""
-    rows = _finish(_counted(tags, rule), rule)
+    their cap, which no window expresses: see `capped`. Patients whose facts all stay within the cap are left as they are."""
+    rows = materialise(_finish(_counted(tags, rule), rule), "links")
     ends = rows.select("patient_root", F.explode(F.array("a", "b")).alias("fact_id")).groupBy("patient_root", "fact_id").count()
-    over = ends.where(F.col("count") > rule.cap).select("patient_root").distinct()
-    order = {ns: i for i, ns in reversed(list(enumerate(rule.trigger)))}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_ns=pdf["tag"].str.extract(r"^([^:]*:)", expand=False).map(order)).sort_values(["_ns", "tag", "a", "b"])
-        return pdf[take_greedily(list(zip(pdf["a"], pdf["b"])), rule.cap)].drop(columns="_ns")
-
-    capped = rows.join(over, "patient_root", "left_semi").groupBy("patient_root").applyInPandas(run, rows.schema)
-    return rows.join(over, "patient_root", "left_anti").unionByName(capped)
+    over = materialise(ends.where(F.col("count") > rule.cap).select("patient_root").distinct(), "over_cap")
+    if over.isEmpty():
+        return rows
+    place = F.array_position(F.array(*[F.lit(ns) for ns in rule.trigger]), namespace(F.col("tag")))
+    bound = rows.join(over, "patient_root", "left_semi").withColumn("_ns", place)
+    return rows.join(over, "patient_root", "left_anti").unionByName(capped(bound, rule.cap, ["_ns", "tag", "a", "b"]).drop("_ns"))
 
 
 def curated(tags: DataFrame, rules: DataFrame) -> DataFrame:

@@ -20,12 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of this process in the shared one; it goes when the process ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(remove_written)
     _written.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
