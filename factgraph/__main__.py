@@ -1,4 +1,4 @@
-"""python -m factgraph COMMAND STORE ...: import bundles, publish a file of rules, reindex, reproject, correct, verify, trust, embed, or patients."""
+"""python -m factgraph COMMAND STORE ...: import bundles, publish a file of rules, reindex, begin a generation, reproject to it, correct, repair, counts, verify, trust, embed, or patients."""
 
 from __future__ import annotations
 
@@ -19,10 +19,12 @@ from factgraph.store import FactStore
 
 def main() -> None:
     args = argparse.ArgumentParser(prog="factgraph", description=__doc__)
-    args.add_argument("command", choices=("import", "rules", "reindex", "reproject", "correct", "verify", "trust", "embed", "patients"))
+    args.add_argument("command", choices=("import", "rules", "reindex", "begin", "reproject", "correct", "repair", "counts", "verify", "trust", "embed", "patients"))
     args.add_argument("store")
     args.add_argument("bundles", nargs="?", help="import: a folder of bundles; rules: a file; trust: a policy; correct: the fact to correct")
-    args.add_argument("--action", choices=("retract", "attest"), default="attest", help="of correct")
+    args.add_argument("--action", choices=("retract", "attest", "amend"), default="attest", help="of correct")
+    args.add_argument("--content", help="of an amendment: a file with the new content as JSON")
+    args.add_argument("--policy", help="of reindex and begin: a file with the trust policy, which is kept")
     args.add_argument("--author", default="")
     args.add_argument("--note", default="approved", help="of correct: the reason of a retraction, or approved or rejected")
     args.add_argument("--recent", default="2000-01-01", help="of reproject: patients seen since then come first")
@@ -30,7 +32,11 @@ def main() -> None:
     args.add_argument("--first", action="store_true", help="the store is new")
     a = args.parse_args()
     spark = SparkSession.builder.appName("factgraph").getOrCreate()
-    store = FactStore(spark, a.store)
+    store = FactStore(spark, a.store, a.author)
+    policy = None
+    if a.policy:
+        with open(a.policy, encoding="utf-8") as f:
+            policy = json.load(f)
     if a.command == "import":
         if not a.bundles:
             args.error("import needs a folder of bundles")
@@ -43,20 +49,32 @@ def main() -> None:
                 store.append_one(fact, None).show(truncate=False)
     elif a.command == "correct":
         at = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-        row = store.facts().where(F.col("fact_id") == a.bundles).select("patient_root").first()
+        row = store.facts(["system"]).where(F.col("fact_id") == a.bundles).select("patient_root", "type").first()
         if row is None:
             args.error("no such fact")
-        make = corrections.retract if a.action == "retract" else corrections.attest
-        store.append_one(make(a.bundles, a.note, a.author, at), row.patient_root).show(truncate=False)
+        if a.action == "amend":
+            if not a.content:
+                args.error("an amendment needs its content")
+            with open(a.content, encoding="utf-8") as f:
+                made = corrections.amend(a.bundles, row.type, json.load(f), a.author, at)
+        else:
+            made = (corrections.retract if a.action == "retract" else corrections.attest)(a.bundles, a.note, a.author, at)
+        store.append_one(made, row.patient_root).show(truncate=False)
+    elif a.command == "begin":
+        print(store.begin_generation(policy=policy))
     elif a.command == "reproject":
-        store.reproject(a.recent, a.limit, lambda batch: None).show(a.limit, truncate=False)
+        store.reproject(a.recent, a.limit).show(a.limit, truncate=False)
+    elif a.command == "repair":
+        print("\n".join(store.repair()))
+    elif a.command == "counts":
+        store.counts().show()
     elif a.command == "trust":
         with open(a.bundles, encoding="utf-8") as f:
             print(trust.check_knowledge(store.knowledge(), json.load(f), datetime.now(timezone.utc)))
     elif a.command == "embed":
         print(store.embed(hash_embedder()))
     elif a.command == "reindex":
-        print(store.reindex())
+        print(store.reindex(policy=policy))
     elif a.command == "verify":
         store.verify().show()
     else:

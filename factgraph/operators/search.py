@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,14 +148,15 @@ def first_patient(anchors: DataFrame) -> DataFrame:
 
 
 def anchors(index: DataFrame, tags: DataFrame, query: str | None = None, wanted: list[str] | None = None, types: list[str] | None = None, date_from: str | None = None, date_to: str | None = None, patient: str | None = None,
-            near: DataFrame | None = None, limit: int = 50, post_limit: bool = False) -> DataFrame:
+            near: DataFrame | None = None, limit: int = 50, post_limit: bool = False, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """fact_id, patient_root, by_text, distance, matched_tags of the facts that a search starts from: the best texts, or, without a query, all that have a tag; and the nearest
-    vectors (near: fact_id, distance). Filters hold before the limit, after it with post_limit. index: fact_id, patient_root, type, ts, text."""
+    vectors (near: fact_id, distance). Filters hold before the limit, after it with post_limit. index: fact_id, patient_root, type, ts, text; texts: finds the best among given facts (fact_id) by other means, an index."""
     if not query and not wanted:
         raise ValueError("a search needs a query or tags")
     chosen = filtered(index, types, date_from, date_to, patient)
     if query:
-        best = ranked(index if post_limit else chosen, query, limit, "fact_id").select(F.col("fact_id").alias("id"))
+        among = index if post_limit else chosen
+        best = (texts(among.select("fact_id")) if texts else ranked(among, query, limit, "fact_id")).select(F.col("fact_id").alias("id"))
     else:
         best = tags.where(F.col("tag").isin(*wanted)).select(F.col("fact_id").alias("id")).distinct()
     far = near.select(F.col("fact_id").alias("id"), "distance") if near is not None else best.select("id", F.lit(None).cast("double").alias("distance")).limit(0)

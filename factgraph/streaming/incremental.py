@@ -46,3 +46,14 @@ def project_stream(spark: SparkSession, folder: str, schema, checkpoint: str, pr
         project(batch, batch.select("patient_root").distinct(), number)
 
     return facts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def store_stream(store, folder: str, schema, checkpoint: str, name: str) -> StreamingQuery:
+    """Appends the facts that arrive in a folder to a store (as `FactStore.append_facts` takes them), a commit a micro-batch, with the links, status and activity that follow from them. A
+    batch that is sent again after a failure has its number in the store already, or left nothing there: either way its facts and what follows from them are there once."""
+    facts = store.spark.readStream.schema(schema).parquet(folder)
+
+    def each(batch: DataFrame, number: int) -> None:
+        store.append_facts(batch, stream=name, batch=number)
+
+    return facts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
