@@ -1,14 +1,16 @@
 """Secret scan: three base patterns, and a battery of randomness tests for tokens that no pattern names.
 
 Battery, per token of a text (the sides of an inner "=" apart, and the parts of a path, where no alphabet holds it whole): the encoding is
-inferred from the characters (digits, hex, base32, base64); a chi-squared test
+inferred from the characters (digits, hex, base32, base36, base58, base62, base64: the first alphabet that holds them all, in which a random token of a larger one is a random
+draw as well); a chi-squared test
 of alphabet uniformity, a runs test about the alphabet's middle and a lag-one serial correlation test must together be
 consistent with a random draw. What then speaks against an ordinary token (words, paths, identifiers) of the same length is a likelihood ratio, whose logarithm grows
 with length; the Benjamini-Hochberg procedure for such e-values over the tokens of the text controls the share of false discoveries, so that a short token, or one
 among many, needs more evidence for each character.
 
 Cases: null counts as the empty text, which has no spans; repeated rows are scanned each on its own; very long texts
-are scanned whole. Offsets are code points, ends exclusive. An empty table gives an empty result.
+are scanned whole. Not tested, whatever their characters: tokens of fewer than `least` (20) characters, and numbers, whose digits are no evidence; an UUID is an identifier and, with its hyphens, no
+draw from an alphabet. Offsets are code points, ends exclusive. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SIDE = re.compile(r"[^=]+(?:=+$)?")
 _STEP = re.compile(r"[^/]+")
 #: Alphabets by encoding, in the order in which they are tried.
-ALPHABETS = {"digits": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+_DIGITS, _LOW = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = {
+    "digits": _DIGITS, "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base32": _LOW.upper() + "234567", "base36": _DIGITS + _LOW, "BASE36": _DIGITS + _LOW.upper(),
+    "base58": "".join(c for c in _DIGITS + _LOW.upper() + _LOW if c not in "0OIl"), "base62": _DIGITS + _LOW.upper() + _LOW, "base64": _LOW.upper() + _LOW + _DIGITS + "+/", "base64url": _LOW.upper() + _LOW + _DIGITS + "-_",
+}
 _RANK = {k: {c: i for i, c in enumerate(a)} for k, a in ALPHABETS.items()}
 _SETS = {k: set(a) for k, a in ALPHABETS.items()}
 

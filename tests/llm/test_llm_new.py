@@ -239,3 +239,39 @@ def test_merge_query_equals_its_sql(spark):
     want = con.execute(queries.ORACLES["op13_branch_merge"])
     names = [c[0] for c in want.description]
     assert df.columns == names and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_random_tokens_of_every_alphabet_are_found():
+    from factgraph.llm import secret_scan
+
+    rng = random.Random(6)
+    for kind in ("hex", "base32", "base36", "BASE36", "base58", "base62", "base64", "base64url"):
+        for n in (20, 32, 48):
+            tokens = ["".join(rng.choice(secret_scan.ALPHABETS[kind]) for _ in range(n)) for _ in range(100)]
+            assert sum(any(k == 3 or k == 2 for _, k, _ in secret_scan.scan_text(f"value {t} here")[1]) for t in tokens) >= 93, (kind, n)
+    plain = ["".join(rng.choice(["system", "value", "order", "patient", "number", "record", "update"]) for _ in range(4)) for _ in range(500)] + ["1234567890" * 3, "123e4567-e89b-12d3-a456-426614174000"]
+    assert sum(bool(secret_scan.scan_text(f"see {t} there")[1]) for t in plain) <= 5
+
+
+def test_discoveries_equal_the_procedure_by_hand():
+    """e-values sorted by hand, and the three statistics recomputed character by character."""
+    from factgraph.llm import secret_scan
+
+    rng, how = random.Random(9), secret_scan.Battery()
+    words = ["international", "configuration", "x" * 30, "aaaabbbbccccddddeeee", "0123456789abcdef" * 2]
+    tokens = [rng.choice(words) + rng.choice(words) for _ in range(12)] + ["".join(rng.choice(secret_scan.ALPHABETS["base62"]) for _ in range(n)) for n in (20, 22, 25, 30)]
+    spans = [(100 * i, 100 * i + len(t), t) for i, t in enumerate(tokens)]
+    tested = []
+    for s, e, body, kind in (x for t in spans for x in secret_scan.parts(*t, how.least)):
+        alphabet, n = secret_scan.ALPHABETS[kind], len(body)
+        x = [alphabet.index(c) for c in body]
+        chi = sum((x.count(i) - n / len(alphabet)) ** 2 for i in range(len(alphabet))) * len(alphabet) / n
+        z = (chi - (len(alphabet) - 1)) / math.sqrt(2 * (len(alphabet) - 1) * (n - 1) / n)
+        p = secret_scan.randomness(body, kind)
+        assert math.isclose(p[0], 0.5 * math.erfc(z / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-300)
+        runs = 1 + sum((a >= len(alphabet) / 2) != (b >= len(alphabet) / 2) for a, b in zip(x, x[1:]))
+        assert runs == 1 + sum((a >= len(alphabet) / 2) ^ (b >= len(alphabet) / 2) for a, b in zip(x, x[1:]))
+        tested.append((secret_scan.evidence(body, kind, how) if 3 * min(p) >= how.random_p else -math.inf, s, e))
+    best = max((k for k in range(1, len(tested) + 1) if sum(math.exp(min(v, 700)) >= len(tested) / (k * how.fdr) for v, _, _ in tested) >= k), default=0)
+    want = sorted((s, e) for v, s, e in sorted(tested, key=lambda t: (-t[0], t[1]))[:best])
+    assert sorted(secret_scan.discoveries(spans, how)) == want and len(want) >= 4
