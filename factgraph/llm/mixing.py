@@ -90,12 +90,36 @@ def _key(source: str | None, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{'null' if source is None else 's' + source}".encode(), digest_size=7).digest(), "little")
 
 
+#: Nodes of up to so many slots count coins; the few larger ones draw from a generator each.
+_COINS = 4096
+
+
+def _halves(node: np.ndarray, size: np.ndarray, level: int, key: int) -> np.ndarray:
+    """How many of each node's slots go to its left half: a binomial draw of (size, 1/2) that depends on key, level and node alone. Small nodes count the set bits among as
+    many hashed ones, all together."""
+    left = np.zeros(len(node), np.int64)
+    big = np.flatnonzero(size > _COINS)
+    for i in big:
+        left[i] = np.random.default_rng((key, level, int(node[i]))).binomial(int(size[i]), 0.5)
+    todo = np.flatnonzero(size <= _COINS)
+    seed = tx.mix(tx.mix(node.astype(np.uint64) + tx.U64((key * 0x9E3779B97F4A7C15 + level) % 2**64)) ^ tx.U64(level + 1))
+    at = 0
+    while len(todo):
+        rest = np.minimum(size[todo] - 64 * at, 64).astype(np.uint64)
+        coins = tx.mix(seed[todo] + tx.U64((at + 1) * 0xD1342543DE82EF95 % 2**64))
+        kept = np.where(rest > 0, coins >> ((tx.U64(64) - rest) % tx.U64(64)), 0)
+        left[todo] += np.bitwise_count(kept)
+        at += 1
+        todo = todo[size[todo] > 64 * at]
+    return left
+
+
 def deal(rank: np.ndarray, n: int, levels: int, key: int) -> np.ndarray:
     """The shard, of 2 ** levels, of each rank of 0 to n - 1: a multinomial draw of the shards' counts, in which equal ranks and keys agree wherever they are evaluated."""
     node, size, at = np.zeros(len(rank), np.int64), np.full(len(rank), n, np.int64), rank.astype(np.int64)
     for level in range(levels):
         _, first, back = np.unique(node, return_index=True, return_inverse=True)
-        left = np.array([np.random.default_rng((key, level, int(node[i]))).binomial(int(size[i]), 0.5) for i in first], np.int64)[back]
+        left = _halves(node[first], size[first], level, key)[back]
         right = at >= left
         node = 2 * node + right
         at, size = np.where(right, at - left, at), np.where(right, size - left, left)
