@@ -41,6 +41,7 @@ OUTSIDE = frozenset("head nav header footer aside form button select menu dialog
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in a class, id or role that name a part outside the article.
 NOISE = frozenset(
     """ad ads adv advert adverts advertisement banner promo promoted sponsor sponsored cookie cookies consent gdpr notice notices alert
@@ -127,14 +128,14 @@ def settle(page: Page) -> None:
 def parse(source: str) -> Page:
     """Tokens and text blocks, in one pass. Elements that are never closed end with the next one that closes around them."""
     page = Page()
-    stack: list[tuple[str, bool, int, int, int, int]] = []  # name, outside, main, hash of the path, named, token
+    stack: list[tuple[str, int, int, int, int, int]] = []  # name, outside (1: in a header of the article alone), main, hash of the path, named, token
     open_: Counter[str] = Counter()  # of the stack, by name
     parts: list[str] = []
     linked, mains, links, at, n = 0, 0, 0, 0, len(source)
     last = source.rfind(">") + 1  # no tag ends beyond
 
-    def top() -> tuple[str, bool, int, int, int, int]:
-        return stack[-1] if stack else ("", False, 0, 0, -1, 0)
+    def top() -> tuple[str, int, int, int, int, int]:
+        return stack[-1] if stack else ("", 0, 0, 0, -1, 0)
 
     def pop() -> str:
         name = stack.pop()[0]
@@ -150,7 +151,7 @@ def parse(source: str) -> Page:
                 _, outside, main, path, around, element = top()
                 token = xxhash.xxh3_64_intdigest(text, path & 0xFFFFFFFFFFFFFFFF)
                 page.tokens.append(token)
-                page.blocks.append(Block(token, text, outside, main, linked, around, element))
+                page.blocks.append(Block(token, text, outside > 0, main, linked, around, element))
         linked = 0
 
     def add(piece: str) -> None:
@@ -218,7 +219,11 @@ def parse(source: str) -> Page:
             page.around[main] = around
             if noise and name in MAIN:
                 page.own.add(main)
-        stack.append((name, outside or name in OUTSIDE, main, path, around, element))
+        if name in OUTSIDE:
+            outside = max(outside, 1 if name == "header" and main else 2)
+        elif name in HEADINGS and outside == 1:
+            outside = 0  # the article's own heading
+        stack.append((name, outside, main, path, around, element))
         open_[name] += 1
     flush()
     settle(page)

@@ -275,3 +275,10 @@ def test_discoveries_equal_the_procedure_by_hand():
     best = max((k for k in range(1, len(tested) + 1) if sum(math.exp(min(v, 700)) >= len(tested) / (k * how.fdr) for v, _, _ in tested) >= k), default=0)
     want = sorted((s, e) for v, s, e in sorted(tested, key=lambda t: (-t[0], t[1]))[:best])
     assert sorted(secret_scan.discoveries(spans, how)) == want and len(want) >= 4
+
+
+def test_headings_in_the_header_of_an_article_stay():
+    from factgraph.llm.html_extract import main_text, parse
+
+    page = "<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me</p><nav><h2>Menu</h2></nav></header><p>Body one two three.</p></article><footer><h3>End</h3></footer>"
+    assert main_text(parse(page)) == "Title\nBody one two three."
