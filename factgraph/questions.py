@@ -327,7 +327,7 @@ def q87_replaced_patients(spark: SparkSession, d: str) -> DataFrame:
     return replace_patients(e, hit.withColumn("w", F.lit(100)), hit).groupBy(F.col("patient_root").alias("user_id")).agg(F.sum("w").alias("weight"))
 
 
-@register(f"""WITH {CUR.replace("FROM rule JOIN", "FROM (SELECT * FROM rule WHERE rule_version <> 'r3') JOIN")} SELECT patient_root, a, b, tag, relation, severity, created_at FROM cur""")
+@register(f"""WITH {CUR.replace("FROM rule JOIN", "FROM (SELECT * FROM rule WHERE rule_version <> 'r3') JOIN")} SELECT patient_root, a, b, array_to_string(list_sort(string_split(tag, '|')), '|') AS tag, relation, severity, created_at FROM cur""")
 def q88_rules_in_force(spark: SparkSession, d: str) -> DataFrame:
     """Rules read from a file, decoded from their facts, those in force applied."""
     import json
@@ -338,9 +338,7 @@ def q88_rules_in_force(spark: SparkSession, d: str) -> DataFrame:
     text = json.dumps({"rules": [{"rule_id": v, "tag_pairs": [[a, b]], "relation": r, "severity": s, "evidence_ids": ["e"], "author": "me", "published_at": "2024-01-01", "effective_from": ends[v][0], "effective_to": ends[v][1]} for v, a, b, s, r in CURATED]})
     rules = corrections.in_force(rulefiles.curated_pairs(spark, rulefiles.read_rules(text)), "2024-06-01 00:00:00")
     found = links.curated(_tags(spark, d), rules.select("rule_version", "tag_a", "tag_b", "severity", "relation"))
-    # a file's pairs are unordered; the oracle names them as they stand in the rule
-    named = F.when(F.col("tag") == "atc:PROMO|risk:Brand#3", "risk:Brand#3|atc:PROMO").otherwise(F.col("tag"))
-    return found.select("patient_root", "a", "b", named.alias("tag"), "relation", "severity", "created_at")
+    return found.select("patient_root", "a", "b", "tag", "relation", "severity", "created_at")
 
 
 @register(f"WITH {TURN} SELECT conv_id, fact_id, text FROM turn WHERE turn <= 2")
