@@ -64,12 +64,54 @@ def safe_query_word(text: Column) -> Column:
 
 def note_summary(text: Column, limit: int = 200) -> Column:
     """The first heading line, else the first line that isn't blank, cut to bytes without a broken character."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
     heading = F.filter(lines, lambda x: x.startswith("#"))
     line = F.coalesce(F.get(heading, F.lit(0)), F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
-    cut = F.substring(line.cast("binary"), 1, limit).cast("string")
-    whole = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(None).cast("string"), lambda acc, k: F.coalesce(acc, F.when(F.is_valid_utf8(F.substring(line.cast("binary"), F.lit(1), F.lit(limit) - k).cast("string")), F.substring(line.cast("binary"), F.lit(1), F.lit(limit) - k).cast("string"))))
-    return F.when(F.octet_length(line) <= limit, line).otherwise(F.coalesce(whole, cut))
+    return first_bytes(line, limit)
+
+
+def first_bytes(text: Column, limit: int) -> Column:
+    """A text cut to bytes without a broken character."""
+    raw = text.cast("binary")
+    cuts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.substring(raw, F.lit(1), F.lit(limit) - k).cast("string")), F.is_valid_utf8)
+    return F.when(F.octet_length(raw) <= limit, text).otherwise(F.get(cuts, F.lit(0)))
+
+
+def three_decimals(x: Column) -> Column:
+    """Three decimals, half away from zero, without trailing zeros."""
+    size = F.floor(F.abs(x) * 1000 + 0.5)
+    exact = F.when(F.abs(x) < 1e12, (size.cast("decimal(19,0)") / 1000).cast("decimal(38,3)")).otherwise(F.abs(x).cast("decimal(38,3)"))
+    small = F.regexp_replace(exact.cast("string"), r"\.?0+$", "")
+    return F.concat(F.when((x < 0) & (size > 0), "-").otherwise(""), F.when(size == 0, "0").otherwise(small))
+
+
+def _plain_number(text: Column) -> Column:
+    """A number as ECMAScript prints it, from its JSON text, as `_number` does."""
+    shown = text.cast("double").cast("string")
+    part = lambda i: F.regexp_extract(shown, r"^(-?)([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", i)
+    both = F.concat(part(2), part(3))
+    led = F.regexp_replace(both, "^0+", "")
+    digits = F.regexp_replace(led, "0+$", "")
+    n = F.length(digits)
+    point = F.length(part(2)) + F.coalesce(F.when(part(4) != "", part(4)).cast("int"), F.lit(0)) - (F.length(both) - F.length(led))
+    whole = F.concat(digits, F.repeat(F.lit("0"), point - n))
+    split = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    power = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
+    body = F.when((n <= point) & (point <= 21), whole).when((point > 0) & (point <= 21), split).when((point > -6) & (point <= 0), small).otherwise(power)
+    return F.when(digits == "", "0").otherwise(F.concat(part(1), body))
+
+
+def settled(text: Column) -> Column:
+    """RFC 8785 canonical JSON from what `to_json` writes of a VARIANT: its keys are in order already; long, small and large numbers are set anew, escapes in lower case."""
+    # a control character is never bare in JSON, so that two of them can stand for what could hide a quote
+    shut = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\1")), F.lit('\\"'), F.lit("\2"))
+    for code in ("000b", "000e", "000f", *[f"001{x}" for x in "abcdef"]):
+        shut = F.replace(shut, F.lit("\\u" + code.upper()), F.lit("\\u" + code))
+    tokens = F.regexp_extract_all(shut, F.lit('"[^"]*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'), 0)
+    anew = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), _plain_number(t)).otherwise(t)), "")
+    back = F.replace(F.replace(anew, F.lit("\2"), F.lit('\\"')), F.lit("\1"), F.lit("\\\\"))
+    return F.when(text.rlike(r"[0-9.]{16}|[0-9]E|0\.000000|\\u00[01][0-9A-F]"), back).otherwise(text)
 
 
 def _number(x: float) -> str:

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 import numpy as np
 import pytest
 
+import plain
 from factgraph.functions import ed25519, flatten
 from factgraph.operators import clearance, corrections, evalkit, search, trust
 from factgraph.sources import bundles, frames
@@ -74,16 +75,16 @@ def _bundle():
 
 
 def test_bundle_order_parents_and_content():
-    facts = bundles.map_bundle(_bundle())
+    facts = plain.map_bundle(_bundle())
     assert [(f["fhir_id"], f["ts"], f["parent_fhir_id"], f["parent_fallback"]) for f in facts] == [("p", "1980-01-01", None, False), ("e", "2020-01-05", "p", False), ("n", "2020-01-01", "e", False), ("m", "2020-01-02", "e", False), ("c", "2099-01-01", "p", True)]
     by = {f["fhir_id"]: f for f in facts}
     assert all(f["fact_id"] == trust.fact_identity({"type": f["type"], "timestamp": f["ts"], "parents": f["parents"], "content": json.loads(f["content"])}) for f in facts)
     assert by["n"]["warning"] and json.loads(by["n"]["content"])["raw_text"].startswith("\n# Visit") and by["n"]["type"] == "clinical_note"
     assert json.loads(by["p"]["content"])["name"] == "Ann Bo"
-    assert flatten.codings(json.loads(by["m"]["content"])) == [("http://www.nlm.nih.gov/research/umls/rxnorm", "309362")]
+    assert plain.codings(json.loads(by["m"]["content"])) == [("http://www.nlm.nih.gov/research/umls/rxnorm", "309362")]
     shuffled = _bundle()
     random.Random(2).shuffle(shuffled["entry"])
-    assert bundles.map_bundle(shuffled) == facts
+    assert plain.map_bundle(shuffled) == facts
 
 
 def test_bundles_that_cannot_be_read(spark):
@@ -98,12 +99,12 @@ def test_tags_and_summaries(spark):
     rows = [("a", "p", "t", "fhir_medicationrequest", json.dumps(rx)), ("b", "p", "t", "fhir_encounter", "{}"), ("c", "p", "t", "note", '{"coding":[1,{"system":"","code":"x"}],"a":{"coding":"no"}}'), ("d", "p", "t", "note", None), ("e", "p", "t", None, "{bad")]
     got = flatten.tag_rows(spark.createDataFrame(rows, "fact_id string, patient_root string, ts string, type string, content string")).collect()
     assert sorted((r.fact_id, r.tag) for r in got) == [("a", t) for t in ("atc:b01ac04", "organ:cardiovascular", "organ:hematologic", "risk:bleeding", "rxnorm:309362")] + [("b", "temporal:encounter")]
-    assert flatten.summary("fhir_medicationrequest", rx) == "fhir_medicationrequest: clopidogrel"
-    assert flatten.summary("fhir_observation", {"code": {"text": "Girth"}, "valueQuantity": {"value": 81.2040000002, "unit": "cm"}}) == "fhir_observation: Girth 81.204 cm"
-    assert flatten.summary("fhir_observation", {"code": {"text": "Smoking"}, "valueQuantity": {"unit": "mg"}, "valueCodeableConcept": {"text": "never"}}) == "fhir_observation: Smoking never"
-    assert flatten.summary("x", {"b": ["z", {"c": "a"}]}) == "x: a" and flatten.summary("x", None) == "x"
-    assert flatten.search_text("x", {"b": ["z", {"c": "a"}], "n": 1}) == "a z"
-    assert flatten.render("x", {"b": "<&>"}, 0) == 'x: {"b":"\\u003c\\u0026\\u003e"}' and flatten.render("x", {"b": "z"}, 2) == ""
+    assert plain.summary("fhir_medicationrequest", rx) == "fhir_medicationrequest: clopidogrel"
+    assert plain.summary("fhir_observation", {"code": {"text": "Girth"}, "valueQuantity": {"value": 81.2040000002, "unit": "cm"}}) == "fhir_observation: Girth 81.204 cm"
+    assert plain.summary("fhir_observation", {"code": {"text": "Smoking"}, "valueQuantity": {"unit": "mg"}, "valueCodeableConcept": {"text": "never"}}) == "fhir_observation: Smoking never"
+    assert plain.summary("x", {"b": ["z", {"c": "a"}]}) == "x: a" and plain.summary("x", None) == "x"
+    assert plain.search_text("x", {"b": ["z", {"c": "a"}], "n": 1}) == "a z"
+    assert plain.render("x", {"b": "<&>"}, 0) == 'x: {"b":"\\u003c\\u0026\\u003e"}' and plain.render("x", {"b": "z"}, 2) == ""
 
 
 def test_signature_vector():
@@ -217,6 +218,33 @@ def test_bundles_give_summaries_and_codings_as_their_content_does(spark):
     df = spark.createDataFrame([("a", json.dumps(_bundle())), ("c", None)], "path string, content string")
     f = bundles.bundle_facts(df, summary=True, codings=True)
     rows = f.collect()
-    assert [r.summary for r in rows] == [flatten.summary(r.type, json.loads(r.content)) for r in rows]
-    assert [sorted((c.system, c.code) for c in r.codings) for r in rows] == [sorted(flatten.codings(json.loads(r.content))) for r in rows]
+    assert [r.summary for r in rows] == [plain.summary(r.type, json.loads(r.content)) for r in rows]
+    assert [sorted((c.system, c.code) for c in r.codings) for r in rows] == [sorted(plain.codings(json.loads(r.content))) for r in rows]
     assert sorted(flatten.tag_rows(f).collect()) == sorted(flatten.tag_rows(f.drop("codings")).collect())
+
+
+def test_bundles_equal_their_plain_form(spark):
+    """Odd numbers, escapes, keys beyond the basic plane, several patients, medications and encounters of one name, a bundle without a patient."""
+    odd, many, none = _bundle(), _bundle(), _bundle()
+    odd["entry"][0]["resource"]["x"] = [1e21, 1e-7, 0.1, 12345678901234567890, -0.0, -2.5e-9, 1.5, 100, "a\u001f\u000b\\\"\u0001\n", "\\u000B", {"Z": {}, "a": [], "é": None, "\U0001f600": 1, "￮": 2}]
+    many["entry"] += [{"fullUrl": "urn:uuid:e", "resource": {"resourceType": "Encounter", "id": "e2", "type": [{"text": "later"}], "period": {"start": "2021-01-01"}}}, {"resource": {"resourceType": "Patient", "id": "p2", "name": [{"family": ["Cy"]}]}}, {"fullUrl": "urn:uuid:d", "resource": {"resourceType": "Medication", "id": "d3"}}]
+    many["entry"] += [{"resource": {"resourceType": "Observation", "id": "q", "context": {"encounter": [{"reference": "e"}]}, "code": {"coding": [{"display": "Girth"}]}, "valueQuantity": {"value": 81.2040000002, "unit": "cm"}}}] * 2
+    none["entry"].pop()
+    rows = [(k, json.dumps(b)) for k, b in (("a", _bundle()), ("many", many), ("none", none), ("odd", odd))]
+    got = bundles.bundle_facts(spark.createDataFrame(rows, "path string, content string"), summary=True, codings=True).collect()
+    got = [r.asDict(True) for r in sorted(got, key=lambda r: (r.path, r.append_seq))]
+    want = [f | {"path": k} for k, text in rows for f in plain.map_bundle(json.loads(text))]
+    assert [{k: r[k] for k in want[0]} for r in got] == want
+    assert [r["summary"] for r in got] == [plain.summary(f["type"], json.loads(f["content"])) for f in want]
+
+
+def test_content_equals_its_plain_form(spark):
+    kinds = ("fhir_observation", "fhir_encounter", "clinical_note", "x", None)
+    texts = ["{}", "[]", "null", "3", '"s"', "", "{bad", None, '{"code":7,"type":[]}', '{"code":{"coding":[{"code":"c"}]},"valueQuantity":{"value":-0.0004,"unit":"u"}}', '{"code":{"text":"t"},"valueQuantity":{"value":true},"valueCodeableConcept":{"text":"v"}}',
+        '{"code":{"text":"t"},"valueQuantity":{"value":1234567.0005}}', '{"raw_text":"\\n  \\t# h\\r\\nx","a":["é","z",["<&",{"b":""}]]}', '{"raw_text":"' + "é" * 150 + '"}', '{"a":"[{","b":"\\\\","c":{"d":[[["deep"]]]}}', '{"type":[{"text":"visit"}]}']
+    rows = [(i, k, c) for i, (k, c) in enumerate((k, c) for k in kinds for c in texts)]
+    df = spark.createDataFrame(rows, "i int, k string, c string")
+    got = df.select("i", flatten.content_summary("k", "c").alias("s"), flatten.content_search_text("k", "c").alias("t"), flatten.content_line("k", "c").alias("l"), flatten.content_whole("k", "c").alias("w")).orderBy("i").collect()
+    for r, (_, k, c) in zip(got, rows):
+        held = flatten.parse(c)
+        assert (r.s, r.t, r.l, r.w) == (plain.summary(k or "", held), plain.search_text(k or "", held), plain.render(k or "", held, 1), plain.render(k or "", held, 0)), (k, c)
