@@ -5,7 +5,8 @@ a fixed hashed embedding of its byte trigrams, so that unknown and altered words
 overlapping by half; every window of a text is scored, and the text's score is that of its worst window. Training is multiple-instance: the
 window that scores highest carries its text's label. Gradients are written out by hand; Adam updates them.
 
-Fitting draws at most `most` labelled rows by a hash of their id, of texts of at most `longest` characters; this bounds the driver's memory and work.
+Fitting draws at most `most` labelled rows by a hash of their id, and of a text of over `longest` characters as many in `slices` even slices, its first and last words included; this bounds
+the driver's memory and work. A toxic passage between the slices is not learned from; scoring reads all of every text.
 Everything else covers all data. Cases: a text without words scores the share of label 1 in the sample (0 if nothing was learned);
 repeated rows are scored each on its own; null labels are not used; an empty table gives an empty result.
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,7 @@ class Net:
     rate: float = 0.01
     most: int = 4000
     longest: int = 20_000
+    slices: int = 8
     seed: int = 3
 
     @property
@@ -291,10 +293,18 @@ def train(texts: list[str], labels: np.ndarray, net: Net = Net()) -> Model:
     return m
 
 
+def learned_text(text: Column, net: Net) -> Column:
+    """What fitting reads of a text: all of it, or slices that are spread evenly."""
+    part = net.longest // net.slices
+    gap = (F.char_length(text) - part) / (net.slices - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(net.slices - 1)), lambda i: F.substring(text, (F.floor(i * gap) + 1).cast("int"), F.lit(part)))
+    return F.when(F.char_length(text) <= net.longest, text).when(F.char_length(text) > net.longest, F.array_join(cut, " "))
+
+
 def fit(docs: DataFrame, labels: DataFrame, net: Net = Net()) -> Model:
     """docs: doc_id, text of the rows to learn from; labels: doc_id, toxic. The sample is drawn from the labels, and only its documents are fetched."""
     drawn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id")
-    own = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= net.longest)).select("doc_id", "text")
+    own = docs.where(F.col("text").isNotNull()).select("doc_id", learned_text(F.col("text"), net).alias("text"))
     # the draw is `most` rows at any size of the table; documents that it doesn't reach are not moved
     rows = own.join(F.broadcast(drawn.limit(net.most)), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], float), net)

@@ -738,3 +738,30 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, docs.where("false"), "")
         assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
+
+
+def test_toxicity_on_tables(spark):
+    """Labels without documents and documents without labels, nulls, repeated rows, clashing columns, empty tables, texts that are longer than what fitting reads."""
+    rng = random.Random(5)
+    net = toxicity.Net(hidden=3, word_dim=2, char_dim=2, attention=2, vocabulary=64, epochs=2, longest=400, slices=4)
+    texts = [prose(rng, 30) + (" vile" if i % 2 else "") for i in range(40)] + ODD
+    docs = table(spark, texts).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(9))
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, i % 2 if i != 7 else None) for i in range(60)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, net)
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == len(texts) + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert len({(r.doc_id, r.score) for r in rows if r.doc_id == 1}) == 1
+    again = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs.repartition(3), labels, net)).collect()}
+    assert again == {r.doc_id: r.score for r in rows}
+    assert toxicity.score(docs.limit(0), model).collect() == []
+    untaught = toxicity.score(docs, toxicity.fit(docs.limit(0), labels, net)).collect()
+    assert all(0 <= r.score <= 1 for r in untaught)
+
+
+def test_toxicity_reads_even_slices_of_long_texts(spark):
+    net = toxicity.Net(longest=40, slices=4)
+    texts = ["short", "x" * 40, "".join(f"{i:03d}" for i in range(100)), None]
+    got = [r[0] for r in table(spark, texts).orderBy("doc_id").select(toxicity.learned_text(F.col("text"), net)).collect()]
+    t = texts[2]
+    assert got == ["short", "x" * 40, " ".join(t[i : i + 10] for i in (0, 96, 193, 290)), None]
