@@ -50,14 +50,15 @@ def _finish(rows: DataFrame, rule: CooccurrenceRule) -> DataFrame:
     return rows.select("patient_root", "a", "b", "tag", "shared", (F.col("shared") * F.lit(rule.weight)).alias("score"), F.greatest("ts_a", "ts_b").alias("created_at"), link_id(F.col("a"), F.col("b"), F.col("tag"), F.lit(rule.relation), F.lit(rule.version)).alias("link_id"))
 
 
-def _counted(tags: DataFrame, rule: CooccurrenceRule) -> DataFrame:
+def shared(pairs: DataFrame, rule: CooccurrenceRule) -> DataFrame:
+    """The links of pairs (patient_root, tag, a, b, ts_a, ts_b) that share as many tags as the rule asks for."""
     together = Window.partitionBy("patient_root", "a", "b")
-    return _pairs(tags, rule).withColumn("shared", F.count("*").over(together)).where(F.col("shared") >= rule.min_shared)
+    return _finish(pairs.withColumn("shared", F.count("*").over(together)).where(F.col("shared") >= rule.min_shared), rule)
 
 
 def cooccurrence(tags: DataFrame, rule: CooccurrenceRule = CooccurrenceRule()) -> DataFrame:
     """A link per pair of facts and tag that they share, not capped."""
-    return _finish(_counted(tags, rule), rule)
+    return shared(_pairs(tags, rule), rule)
 
 
 def capped(rows: DataFrame, cap: int, order: list[str]) -> DataFrame:
@@ -78,9 +79,14 @@ def capped(rows: DataFrame, cap: int, order: list[str]) -> DataFrame:
 
 
 def cooccurrence_capped(tags: DataFrame, rule: CooccurrenceRule = CooccurrenceRule()) -> DataFrame:
-    """As `cooccurrence`, with at most `cap` links a fact: in the order of the rule's namespaces, tag, a, b. Both ends use up
+    """As `cooccurrence`, with at most `cap` links a fact: see `within_cap`."""
+    return within_cap(cooccurrence(tags, rule), rule)
+
+
+def within_cap(links: DataFrame, rule: CooccurrenceRule) -> DataFrame:
+    """At most `cap` links a fact: in the order of the rule's namespaces, tag, a, b. Both ends use up
     their cap, which no window expresses: see `capped`. Patients whose facts all stay within the cap are left as they are."""
-    rows = materialise(_finish(_counted(tags, rule), rule), "links")
+    rows = materialise(links, "links")
     ends = rows.select("patient_root", F.explode(F.array("a", "b")).alias("fact_id")).groupBy("patient_root", "fact_id").count()
     over = materialise(ends.where(F.col("count") > rule.cap).select("patient_root").distinct(), "over_cap")
     if over.isEmpty():
