@@ -87,6 +87,17 @@ def read_words(data: np.ndarray, offsets: np.ndarray, net: Net, table: np.ndarra
     return Words(index, doc, fresh, chars.astype(F32) * F32(0.5))
 
 
+def read_all(data: np.ndarray, offsets: np.ndarray, net: Net, table: np.ndarray, size: int = 500_000) -> Words:
+    """As `read_words`, a piece of about `size` bytes at a time, as hashing takes many bytes of memory for each byte of text."""
+    parts = [(lo, read_words(*tx.cut(data, offsets, lo, hi), net, table)) for lo, hi in tx.pieces(offsets, size)]
+    if not parts:
+        return read_words(data, offsets, net, table)
+    hashes, first, back = np.unique(np.concatenate([w.hashes for _, w in parts]), return_index=True, return_inverse=True)
+    base = np.cumsum([0, *(len(w.hashes) for _, w in parts)])
+    index = np.concatenate([back[b + w.index] for b, (_, w) in zip(base, parts)])
+    return Words(index, np.concatenate([w.doc + lo for lo, w in parts]), hashes, np.concatenate([w.chars for _, w in parts])[first])
+
+
 def windows(doc: np.ndarray, n_docs: int, net: Net) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, words and text of every overlapping window; texts without words have none."""
     counts = np.bincount(doc, minlength=n_docs)
@@ -148,7 +159,11 @@ class Model:
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """[2, ..., 3H] input parts of inputs [..., D]."""
-        return np.stack([x @ self.p["W"][d] + self.p["b_w"][d] for d in range(2)])
+        out = np.empty((2, *x.shape[:-1], 3 * self.net.hidden), np.result_type(x, self.p["W"]))
+        for d in range(2):
+            np.matmul(x, self.p["W"][d], out=out[d])
+            out[d] += self.p["b_w"][d]
+        return out
 
 
 def start_model(net: Net, known: np.ndarray, odds: np.ndarray) -> Model:
@@ -238,13 +253,13 @@ def text_scores(m: Model, data: np.ndarray, offsets: np.ndarray, table: np.ndarr
     return np.where(np.isinf(worst), m.prior, _sigmoid(worst))
 
 
-def train(texts: list[str], labels: np.ndarray, net: Net = Net()) -> Model:
+def train(texts: list[str] | pa.ChunkedArray, labels: np.ndarray, net: Net = Net()) -> Model:
     """Fit on whole texts with labels 0 and 1."""
     table = _char_table(net)
     if not len(texts):
         return Model(net, np.zeros(0, np.uint64))
-    data, offsets = tx.buffers(pa.array(texts, pa.large_string()))
-    words = read_words(data, offsets, net, table)
+    data, offsets = tx.buffers(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+    words = read_all(data, offsets, net, table)
     labels = np.asarray(labels, float)
     n = len(texts)
     # vocabulary: words of two texts or more, the most telling first
@@ -306,8 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, net: Net = Net()) -> Model:
     drawn = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id")
     own = docs.where(F.col("text").isNotNull()).select("doc_id", learned_text(F.col("text"), net).alias("text"))
     # the draw is `most` rows at any size of the table; documents that it doesn't reach are not moved
-    rows = own.join(F.broadcast(drawn.limit(net.most)), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], float), net)
+    rows = own.join(F.broadcast(drawn.limit(net.most)), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toArrow()
+    return train(rows["text"], rows["toxic"].to_numpy().astype(float), net)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3) -> DataFrame:
