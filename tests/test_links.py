@@ -1,0 +1,126 @@
+"""Links are made without moving their pairs, and those of given facts alone are what all links would give."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from factgraph.operators import graph, links
+from factgraph.sources import adapter
+
+TAGS = [
+    ("p", f, t, f"2024-01-{d:02}")
+    for d, (f, ts) in enumerate({"f1": "xyz", "f2": "xy", "f3": "x", "f4": "z", "f5": "yw", "f6": "w", "f7": "v", "f8": "v", "f9": "u", "g1": "t", "g2": "s", "g3": ""}.items(), 1)
+    for t in [*(f"atc:{c}" for c in ts), "loinc:every"]
+] + [("q", "h1", "atc:x", "2024-02-01"), ("q", "h2", "atc:x", "2024-02-02"), ("q", "h3", "atc:y", "2024-02-02"), (None, "n", "atc:x", "2024-02-02")]
+RULES = [("r1", "atc:x", "atc:y", "warning", "interaction"), ("r2", "atc:v", "atc:v", "info", "same")]
+
+
+def _tags(spark):
+    return spark.createDataFrame(TAGS, "patient_root string, fact_id string, tag string, ts string")
+
+
+def _rules(spark):
+    return spark.createDataFrame(RULES, "rule_version string, tag_a string, tag_b string, severity string, relation string")
+
+
+def _rows(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()))
+
+
+def _all(spark):
+    c = links.cooccurrence(_tags(spark)).select("patient_root", "a", "b", "tag", "created_at", "link_id", F.lit("info").alias("severity"), F.lit("cooccurrence").alias("evidence_basis"))
+    u = links.curated(_tags(spark), _rules(spark)).select("patient_root", "a", "b", "tag", "created_at", F.concat_ws("-", "a", "b", "tag", "rule_version").alias("link_id"), "severity", F.lit("curated_knowledge").alias("evidence_basis"))
+    return c.unionByName(u)
+
+
+def _moves(df):
+    """What the exchanges of a plan move by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", plan))
+
+
+def test_pairs_are_not_moved(spark):
+    found = links.cooccurrence(_tags(spark))
+    got = {(r.a, r.b, r.tag): r.shared for r in found.collect()}
+    assert got == {("f1", "f2", "atc:x"): 2, ("f1", "f2", "atc:y"): 2, ("f1", "f3", "atc:x"): 1, ("f2", "f3", "atc:x"): 1, ("f1", "f5", "atc:y"): 1, ("f2", "f5", "atc:y"): 1, ("f1", "f4", "atc:z"): 1, ("f5", "f6", "atc:w"): 1, ("f7", "f8", "atc:v"): 1}
+    assert not [m for m in _moves(found) if re.search(r"\b[ab]\b", m)]
+
+
+def test_frequency_moves_rows_by_patient_alone(spark):
+    found = links.tag_frequency(_tags(spark).union(_tags(spark)))
+    assert set(_moves(found)) == {"patient_root"}
+    got = {(r.patient_root, r.tag): (r.n, r.total, r.frequent) for r in found.collect()}
+    assert got["p", "atc:x"] == (3, 12, False) and got["p", "loinc:every"] == (12, 12, True) and got["q", "atc:x"] == (2, 3, True) and not [k for k in got if k[0] is None]
+
+
+def test_links_of_facts_equal_those_of_all(spark):
+    ids = spark.createDataFrame([("f1",), ("f2",), ("f7",), ("none",)], "fact_id string")
+    want = _rows(links.of_facts(_all(spark).withColumn("relation", F.lit("")), ids), "fact_id", "other", "tag", "created_at")
+    shared = links.cooccurrence_of(links.rare(_tags(spark)), ids).select("src", "dst", "tag", "created_at")
+    got = shared.unionByName(links.curated_of(_tags(spark), _rules(spark), ids).select("src", "dst", "tag", "created_at"))
+    assert _rows(got, "src", "dst", "tag", "created_at") == want and want
+    with pytest.raises(ValueError):
+        links.cooccurrence_of(links.rare(_tags(spark)), ids, links.CooccurrenceRule(min_shared=2))
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_expansion_asks_for_the_links_of_each_level(spark, depth):
+    every, asked = _all(spark), []
+
+    def find(ids):
+        asked.append({r.fact_id for r in ids.collect()})
+        return links.ends_of(every).join(ids.withColumnRenamed("fact_id", "src").distinct(), "src", "left_semi")
+
+    seeds = spark.createDataFrame([("q", "f3")], "query string, fact_id string")
+    columns = ("query", "fact_id", "via_link_id", "depth", "rank", "candidates")
+    assert _rows(graph.expand_links(seeds, find, depth), *columns) == _rows(graph.expand_links(seeds, every, depth), *columns)
+    assert asked[0] == {"f3"} and (depth == 1 or asked[1] == {"f1", "f2", "f5"})
+
+
+def test_what_facts_bring_along_equals_joins_of_links(spark):
+    st = spark.createDataFrame([("f1", "active", "f1"), ("f2", "amended", "f9"), ("f3", "retracted", None), ("f5", "amended", "f1"), ("f7", "active", "f7"), ("f8", "active", "f8")], "fact_id string, status string, current_id string")
+    hidden = spark.createDataFrame([("f8",)], "fact_id string")
+    ids = _tags(spark).select("fact_id").distinct()
+    now = links.current(ids, st, hidden, gaps="active")
+    for whole, some in ((links.cooccurrence(_tags(spark)), links.cooccurrence(_tags(spark), facts=now)), (links.curated(_tags(spark), _rules(spark)), links.curated(_tags(spark), _rules(spark), now))):
+        want = _rows(links.normalised(whole, st, hidden, gaps="active"), "a", "b", "tag")
+        assert _rows(links.renewed(some), "a", "b", "tag") == want and want
+    items = spark.createDataFrame([("u", "f1", 2), ("u", "f2", 1), ("v", "f1", 1), ("v", "f3", 3), ("u", "f5", 3)], "query string, fact_id string, place int")
+    want = _rows(links.attached(links.cooccurrence(_tags(spark)), items), "query", "fact_id", "other", "link_id")
+    got = links.at_first(links.cooccurrence(_tags(spark), facts=items, same=["query"]))
+    assert _rows(got, "query", "fact_id", "other", "link_id") == want and len(want) == 5
+    ruled = links.curated(_tags(spark), _rules(spark))
+    placed = links.curated(_tags(spark), _rules(spark), items, ["query"]).withColumn("link_id", F.lit(""))
+    assert _rows(links.at_first(placed), "query", "fact_id", "other") == _rows(links.attached(ruled.withColumn("link_id", F.lit("")), items), "query", "fact_id", "other")
+
+
+def test_upsert_leaves_links_of_other_rules_in_place(spark):
+    shape = "a string, b string, relation string, tag string, rule_version string, severity string"
+    old = spark.createDataFrame([("a", "b", "r", "t", None, "info"), ("a", "b", "r", "t", "v", "info"), ("a", "c", "r", "t", "v", "info"), ("a", "b", "s", "t", "v", "info")], shape)
+    fresh = spark.createDataFrame([("a", "b", "r", "t", "v", "alert"), ("x", "y", "r", "t", "v", "alert")], shape)
+    found = links.upsert(old, fresh)
+    want = [("a", "b", "r", "", "info"), ("a", "b", "r", "v", "alert"), ("a", "b", "s", "v", "info"), ("a", "c", "r", "v", "info"), ("x", "y", "r", "v", "alert")]
+    assert _rows(found, "a", "b", "relation", F.coalesce("rule_version", F.lit("")), "severity") == want
+    assert "BroadcastHashJoin [relation" in re.sub(r"#\d+L?", "", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_capped_links_keep_score_and_id(spark):
+    rule = links.CooccurrenceRule(cap=1, weight=2.5)
+    every = {r.link_id: r for r in links.cooccurrence(_tags(spark), rule).collect()}
+    some = links.cooccurrence_capped(_tags(spark), rule)
+    got = some.collect()
+    assert some.columns == links.cooccurrence(_tags(spark), rule).columns and 0 < len(got) < len(every) and all(every[r.link_id] == r for r in got)
+
+
+def test_items_move_once_by_order_in_numbers(spark, tmp_path):
+    day = "CAST('2024-01-0{}' AS TIMESTAMP)"
+    items = [(1, 10, 100, 1, 2), (1, 10, 100, 1, 1), (2, 11, 101, 3, 3)]
+    for name, text in {
+        "lineitem": " UNION ALL ".join(f"SELECT {o}L AS l_orderkey, {p}L AS l_partkey, {s}L AS l_suppkey, {n} AS l_linenumber, {day.format(d)} AS l_shipdate" for o, p, s, n, d in items),
+        "orders": "SELECT 1L AS o_orderkey, 7L AS o_custkey UNION ALL SELECT 2L, 8L", "part": "SELECT 10L AS p_partkey, 'B' AS p_brand, 'T' AS p_type, 5 AS p_size UNION ALL SELECT 11L, 'C', 'U', 6",
+    }.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = adapter.children(spark, str(tmp_path))
+    assert _rows(found, "fact_id", "patient_root", "parent_id", "ts") == [("L1-1-10-100", "C7", "O1", "2024-01-01"), ("L2-3-11-101", "C8", "O2", "2024-01-03")]
+    assert not [m for m in _moves(found) if "fact_id" in m or "l_linenumber" in m]
