@@ -8,16 +8,16 @@ missed. The bits follow the number of vectors, so that a bucket holds about `fil
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factgraph.operators.search import l2
+from factgraph.operators.search import nearest
 
 
 @dataclass(frozen=True)
@@ -71,29 +71,61 @@ def _dealt(rows: DataFrame, key: str, column: str, planes: np.ndarray, mean: np.
     return rows.select(column, key, *more).mapInArrow(run, schema)
 
 
-def candidates(vectors: DataFrame, queries: DataFrame, partition: str | None = None, how: Buckets = Buckets()) -> DataFrame:
-    """Distinct (query_id, vec_id) that share a probed bucket, within the partition if one is named; a query is no candidate of its own."""
-    more = [partition] if partition else []
+def _fitted(vectors: DataFrame, how: Buckets) -> tuple[DataFrame, int, int, np.ndarray, np.ndarray] | None:
+    """The vectors that are there, their length, the bits, the planes and the mean of all; None without vectors."""
     whole = vectors.where(F.col("embedding").isNotNull())
     size = whole.agg(F.max(F.size("embedding"))).first()[0]
     if size is None:
-        return vectors.join(queries, F.lit(False)).select("query_id", "vec_id")
+        return None
     # one row: a mean for each dimension
     found = whole.agg(F.count("*").alias("n"), *[F.avg(F.get("embedding", i)).alias(f"m{i}") for i in range(size)]).first()
-    mean, bits = np.array(found[1:], float), how.bits(found.n)
-    planes = _planes(how, bits, size)
+    bits = how.bits(found.n)
+    return whole, size, bits, _planes(how, bits, size), np.array(found[1:], float)
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, partition: str | None = None, how: Buckets = Buckets()) -> DataFrame:
+    """Distinct (query_id, vec_id) that share a probed bucket, within the partition if one is named; a query is no candidate of its own. For counting: `knn` doesn't move them."""
+    more = [partition] if partition else []
+    fitted = _fitted(vectors, how)
+    if fitted is None:
+        return vectors.join(queries, F.lit(False)).select("query_id", "vec_id")
+    whole, _, bits, planes, mean = fitted
     held = _dealt(whole, "vec_id", "embedding", planes, mean, how, bits, False, more)
     asked = _dealt(queries.where(F.col("vector").isNotNull()), "query_id", "vector", planes, mean, how, bits, True, more)
     return asked.join(held, ["table", "code", *more]).where(F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id").distinct()
 
 
+def met(y: np.ndarray, x: np.ndarray, planes: np.ndarray, mean: np.ndarray, how: Buckets, bits: int) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
+    """What finds, for some rows of the queries y, the rows of the vectors x in the buckets that they probe: (query, counted from the first of these; vector)."""
+    row, table, code = codes((x - mean) @ planes, how, bits, False)
+    name = (table.astype(np.int64) << bits) | code
+    order = np.argsort(name, kind="stable")
+    name, row = name[order], row[order]
+
+    def pairs(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        asking, table, code = codes((y[a:b] - mean) @ planes, how, bits, True)
+        probe = (table.astype(np.int64) << bits) | code
+        first, n = np.searchsorted(name, probe), np.searchsorted(name, probe, side="right")
+        n = n - first
+        there = np.zeros((b - a, len(x)), bool)
+        done = np.r_[0, np.cumsum(n)]
+        cuts = np.unique(np.r_[0, np.searchsorted(done, np.arange(1 << 21, done[-1], 1 << 21)), len(n)])
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            some = np.repeat(first[i:j] - done[i:j], n[i:j]) + np.arange(done[i], done[j])
+            there[np.repeat(asking[i:j], n[i:j]), row[some]] = True
+        return np.nonzero(there)
+
+    return pairs
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partition: str | None = None, how: Buckets = Buckets()) -> DataFrame:
-    """(query_id, vec_id, distance, rank) as `search.knn`, of the candidates alone."""
-    near = candidates(vectors, queries, partition, how)
-    pairs = near.join(queries.select("query_id", "vector"), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
-    ranked = pairs.select("query_id", "vec_id", F.round(l2(F.col("embedding"), F.col("vector")), 6).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """(query_id, vec_id, distance, rank) as `search.knn`, of the candidates alone. Blocks of queries meet slices of the vectors, and buckets are looked up there: neither candidates nor buckets are moved."""
+    fitted = _fitted(vectors, how)
+    if fitted is None:
+        return nearest(vectors, queries, k, partition)
+    whole, size, bits, planes, mean = fitted
+    of = lambda y, x: met(y, x, planes, mean, how, bits)
+    return nearest(whole.where(F.size("embedding") == size), queries.where(F.size("vector") == size), k, partition, among=of)
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 
@@ -181,31 +185,130 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partition: str | None = None, block: int = 2_000) -> DataFrame:
-    """(query_id, vec_id, distance, rank): the k nearest of each query, itself left out; within its partition if one is named.
-
-    A search compares every query with every vector. Queries are counted: up to `block` of them are broadcast (2,000 vectors of 768 floats
-    are 6 MB) and meet each vector where it is read. More are cut into blocks, and every pair of a block of queries and a slice of the vectors
-    is a key of its own in a shuffled join, so that no task holds all of one side; ranking starts before the shuffle in both cases."""
-    q = queries.select("query_id", F.col("vector").alias("_q"), *([F.col(partition).alias("_p")] if partition else []))
-    v = vectors.select("vec_id", "embedding", *([F.col(partition).alias("_vp")] if partition else []))
-    on = F.col("query_id") != F.col("vec_id")
-    if partition:
-        on = on & (F.col("_p") == F.col("_vp"))
-    n = queries.count()
-    if n <= block:
-        pairs = v.join(F.broadcast(q), on)
-    else:
-        slices, blocks = 64, -(-n // block)
-        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        left = v.withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")).withColumn("_block", each(blocks))
-        right = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_slice", each(slices))
-        pairs = left.join(right.hint("shuffle_hash"), ["_block", "_slice"]).where(on)
-    near = pairs.select("query_id", "vec_id", F.round(l2(F.col("embedding"), F.col("_q")), 6).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+#: MB of numbers of a slice of the vectors and of a block of the queries; the larger they are, the less is moved.
+SLICE_MB, BLOCK_MB = 8, 8
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, partition: str | None = None, block: int | None = None) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the k nearest of each query, itself left out; within its partition if one is named. What has no distance (a vector missing, of another length, with gaps) comes last.
+
+    Every query is compared with every vector, a block of queries with a slice of the vectors at a time, as matrices; a pair of these leaves its nearest alone. block: queries of a block, as many as `BLOCK_MB` has if not given."""
+    return nearest(vectors, queries, k, partition, block)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, partition: str | None = None, block: int | None = None, among: Callable | None = None) -> DataFrame:
+    """As `knn`; among: what tells, of two matrices of queries and vectors, the pairs (rows of queries from, to -> row of each, vector of each) that are compared; all if not given."""
+    on = lambda rows, ident, vector: rows.select(ident, F.col(vector).alias("_x"), (F.col(partition) if partition else F.lit(0)).alias("_p")).where(F.col("_p").isNotNull())
+    v, q = on(vectors, "vec_id", "embedding"), on(queries, "query_id", "vector")
+    # both sizes follow the number of a partition's vectors and queries
+    wide = F.greatest(F.max(F.size("_x")), F.lit(1))
+    held = v.groupBy("_p").agg(F.count("*").alias("_n"), wide.alias("_w"))
+    asked = q.groupBy("_p").agg(F.count("*").alias("_m"))
+    room = lambda mb: F.greatest(F.lit(1), F.floor(F.lit(mb * 250_000) / F.col("_w")))
+    blocks, slices = F.ceil(F.col("_m") / (F.lit(block) if block else room(BLOCK_MB))), F.ceil(F.col("_n") / room(SLICE_MB))
+    sizes = held.join(asked, "_p").select("_p", blocks.cast("int").alias("_blocks"), F.greatest(slices, F.least(F.ceil(F.col("_n") / 4096), F.lit(64))).cast("int").alias("_slices"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
+    key = ["_p", "_block", "_slice"]
+    left = v.join(sizes, "_p").select(*key[:1], each("_blocks").alias("_block"), dealt("vec_id", "_slices").alias("_slice"), "vec_id", "_x")
+    right = q.join(sizes, "_p").select(*key[:1], dealt("query_id", "_blocks").alias("_block"), each("_slices").alias("_slice"), "query_id", "_x")
+    schema = T.StructType([right.schema["query_id"], left.schema["vec_id"], T.StructField("distance", T.DoubleType())])
+
+    def run(some: pa.Table, asking: pa.Table) -> pa.Table:
+        out = _nearest(some.column("vec_id"), some.column("_x"), asking.column("query_id"), asking.column("_x"), k, among)
+        return pa.table(out, names=["query_id", "vec_id", "distance"])
+
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema).withColumn("distance", F.round("distance", 6))
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows, filled up with zeros, and their lengths; -1 of one that isn't there or has gaps."""
+    lists = column.combine_chunks()
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), -1), dtype=np.int64)
+    values = lists.flatten()
+    if len(lengths) and values.null_count == 0 and (lengths == lengths[0]).all() and lengths[0] > 0:
+        return np.asarray(values, dtype=float).reshape(len(lengths), -1), lengths
+    out = np.zeros((len(lengths), max(1, lengths.max(initial=1))))
+    for i, x in enumerate(lists.to_pylist()):
+        if x is None or any(e is None for e in x):
+            lengths[i] = -1
+        else:
+            out[i, : len(x)] = x
+    return out, lengths
+
+
+def _nearest(vec_ids: pa.ChunkedArray, vectors: pa.ChunkedArray, query_ids: pa.ChunkedArray, queries: pa.ChunkedArray, k: int, among: Callable | None) -> list[pa.Array]:
+    """query, vector and distance of those that may be among the k nearest; by the form of the matrix product first, then exactly, dimension by dimension as in `l2`."""
+    (x, own), (y, theirs) = _matrix(vectors), _matrix(queries)
+    wide = max(x.shape[1], y.shape[1])
+    x, y = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) if m.shape[1] < wide else m for m in (x, y))
+    if not len(x) or not len(y):
+        return [query_ids.combine_chunks()[:0], vec_ids.combine_chunks()[:0], pa.array([], pa.float64())]
+    # ids as numbers in their order, for ties, and those of queries among them, to leave these out
+    code = np.unique(np.concatenate([np.asarray(vec_ids), np.asarray(query_ids)]), return_inverse=True)[1]
+    order, self_ = code[: len(x)], code[len(x) :]
+    with np.errstate(all="ignore"):
+        xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    slack = 1e-11 * (np.max(xx, initial=1, where=np.isfinite(xx)) + np.max(yy, initial=1, where=np.isfinite(yy)))
+    pairs = among(y, x) if among else None
+    turned, odd = -2 * x.T, not np.isfinite(xx).all() or not np.isfinite(yy).all() or len(np.unique(np.r_[own, theirs])) > 1 or own[0] < 0
+    step, far, found = max(1, (1 << 19) // len(x)), 1e300, []
+    for a in range(0, len(y), step):
+        b = min(len(y), a + step)
+        with np.errstate(all="ignore"):
+            if pairs is None:
+                near = y[a:b] @ turned
+                near += xx
+                near += yy[a:b, None]
+                if odd:
+                    near[~np.isfinite(near) | (theirs[a:b, None] != own) | (theirs[a:b, None] < 0)] = far
+            else:
+                near = np.full((b - a, len(x)), np.inf)
+                i, j = pairs(a, b)
+                for at in range(0, len(i), 100_000):
+                    r, c = i[at : at + 100_000], j[at : at + 100_000]
+                    d = xx[c] + yy[a + r] - 2 * np.einsum("ij,ij->i", y[a + r], x[c])
+                    near[r, c] = np.where(np.isfinite(d) & (theirs[a + r] == own[c]) & (own[c] >= 0), d, far)
+        near[self_[a:b, None] == order[None, :]] = np.inf
+        kth = np.partition(near, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(b - a, far)
+        # rounding to six digits may make neighbours of those that are a little farther
+        most = np.where(kth < far, (np.sqrt(np.maximum(kth + slack, 0)) + 2e-6) ** 2 + slack, far)
+        i, j = np.nonzero(near <= most[:, None])
+        for at in _cuts(i, 200_000):
+            found.append(_exact(x, y, own, theirs, order, i[at] + a, j[at], k))
+    i, j, d, none = (np.concatenate(c) for c in zip(*found))
+    return [query_ids.combine_chunks().take(pa.array(i)), vec_ids.combine_chunks().take(pa.array(j)), pa.array(d, mask=none)]
+
+
+def _cuts(rows: np.ndarray, most: int) -> list[slice]:
+    """Slices of about so many of the sorted rows, none of which cuts equal ones."""
+    ends = np.unique(np.searchsorted(rows, rows[most - 1 :: most], side="right")).tolist() if len(rows) else []
+    edges = [0, *ends, len(rows)]
+    return [slice(a, b) for a, b in zip(edges, edges[1:]) if a < b or len(edges) == 2]
+
+
+def _exact(x: np.ndarray, y: np.ndarray, own: np.ndarray, theirs: np.ndarray, order: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of pairs of rows of y and x, those that may be among the k nearest of their y: row, row, distance, whether there is none. Of equal distances k at most stay."""
+    total = np.zeros(len(i))
+    with np.errstate(all="ignore"):
+        for n in range(x.shape[1]):
+            total += (x[j, n] - y[i, n]) ** 2
+    d, none = np.sqrt(total), (theirs[i] != own[j]) | (theirs[i] < 0)
+    far = np.where(none, 4e300, np.where(np.isnan(d), 3e300, np.where(np.isinf(d), 2e300, d)))
+    at = np.lexsort((order[j], far, i))
+    i, j, d, none, far = i[at], j[at], d[at], none[at], far[at]
+    place = np.arange(len(i))
+    new = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(new, place, 0))
+    alike = np.maximum.accumulate(np.where(new | np.r_[True, far[1:] != far[:-1]][: len(i)], place, 0))
+    last = far[np.minimum(first + k - 1, len(i) - 1)] if len(i) else far
+    last = np.where(i[np.minimum(first + k - 1, len(i) - 1)] == i, last, np.inf) if len(i) else last
+    keep = (place - alike < k) & (far <= last + 2e-6)
+    return i[keep], j[keep], d[keep], none[keep]
+
+
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame) -> DataFrame:
     """id, by_text, distance of the union: text first, vector hits add their distance."""
     t = text_hits.select("id", F.lit(True).alias("by_text"))
