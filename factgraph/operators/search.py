@@ -152,20 +152,24 @@ def first_patient(anchors: DataFrame) -> DataFrame:
 
 
 def anchors(index: DataFrame, tags: DataFrame, query: str | None = None, wanted: list[str] | None = None, types: list[str] | None = None, date_from: str | None = None, date_to: str | None = None, patient: str | None = None,
-            near: DataFrame | None = None, limit: int = 50, post_limit: bool = False, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            near: DataFrame | None = None, limit: int = 50, post_limit: bool = False, texts: Callable[[DataFrame], DataFrame] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """fact_id, patient_root, by_text, distance, matched_tags of the facts that a search starts from: the best texts, or, without a query, all that have a tag; and the nearest
-    vectors (near: fact_id, distance). Filters hold before the limit, after it with post_limit. index: fact_id, patient_root, type, ts, text; texts: finds the best among given facts (fact_id) by other means, an index."""
+    vectors (near: fact_id, distance). Filters hold before the limit, after it with post_limit. index: fact_id, patient_root, type, ts, text; texts: finds the best among given facts (fact_id) by other means, an index; keep: more columns of the index."""
     if not query and not wanted:
         raise ValueError("a search needs a query or tags")
     chosen = filtered(index, types, date_from, date_to, patient)
-    if query:
-        among = index if post_limit else chosen
-        best = (texts(among.select("fact_id")) if texts else ranked(among, query, limit, "fact_id")).select(F.col("fact_id").alias("id"))
-    else:
-        best = tags.where(F.col("tag").isin(*wanted)).select(F.col("fact_id").alias("id")).distinct()
+    if not query:
+        # the tags decide: who has one is joined once, and what is near adds its distance
+        held = matched_tags(chosen.select("fact_id", "patient_root", *keep), tags, wanted).withColumn("by_text", F.lit(True))
+        if near is None:
+            return held.select("fact_id", "patient_root", *keep, "by_text", F.lit(None).cast("double").alias("distance"), "matched_tags")
+        far = near.groupBy(F.col("fact_id").alias("id")).agg(F.min("distance").alias("distance"))
+        return held.join(far, F.col("fact_id") == F.col("id"), "left").select("fact_id", "patient_root", *keep, "by_text", "distance", "matched_tags")
+    among = index if post_limit else chosen
+    best = (texts(among.select("fact_id")) if texts else ranked(among, query, limit, "fact_id")).select(F.col("fact_id").alias("id"))
     far = near.select(F.col("fact_id").alias("id"), "distance") if near is not None else best.select("id", F.lit(None).cast("double").alias("distance")).limit(0)
     hits = hybrid(best, far)
-    rows = chosen.select("fact_id", "patient_root").join(hits, F.col("fact_id") == F.col("id")).drop("id")
+    rows = chosen.select("fact_id", "patient_root", *keep).join(hits, F.col("fact_id") == F.col("id")).drop("id")
     return matched_tags(rows, tags, wanted) if wanted else rows.withColumn("matched_tags", F.array().cast("array<string>"))
 
 

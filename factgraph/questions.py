@@ -51,9 +51,8 @@ def q56_matched_tags(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.* FROM a JOIN f USING (query) WHERE p = patient_root""")
 def q57_first_patient(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of the first anchor's patient, for a query each type."""
-    found = search.anchors(_index(spark, d), _tags(spark, d), wanted=["risk:Brand#7"])
-    rows = found.join(_index(spark, d).select("fact_id", F.col("type").alias("query")), "fact_id").select("query", "fact_id", "patient_root")
-    return search.first_patient(rows)
+    found = search.anchors(_index(spark, d), _tags(spark, d), wanted=["risk:Brand#7"], keep=("type",))
+    return search.first_patient(found.select(F.col("type").alias("query"), "fact_id", "patient_root"))
 
 
 @register(f"""WITH {CHILD}, n(id, distance) AS (SELECT fact_id, length(fact_id)::DOUBLE FROM child WHERE t2 = 'atc:ECONOMY') SELECT fact_id, t1 = 'risk:Brand#7' AS by_text, distance FROM child LEFT JOIN n ON id = fact_id WHERE (t1 = 'risk:Brand#7' OR id IS NOT NULL) AND ts >= '1996'""")
