@@ -124,3 +124,16 @@ def test_items_move_once_by_order_in_numbers(spark, tmp_path):
     found = adapter.children(spark, str(tmp_path))
     assert _rows(found, "fact_id", "patient_root", "parent_id", "ts") == [("L1-1-10-100", "C7", "O1", "2024-01-01"), ("L2-3-11-101", "C8", "O2", "2024-01-03")]
     assert not [m for m in _moves(found) if "fact_id" in m or "l_linenumber" in m]
+
+
+def test_violations_are_counted_where_links_lie(spark):
+    rows = [("p", "a", "b", "t", "r", "v", "info", "cooccurrence")] * 2 + [("p", "b", "a", "t", "r", "v", "grave", "guideline"), ("p", "a", "b", "t", "r", None, "alert", "guideline"), ("p", "a", None, "t", "r", "v", "info", None)]
+    df = spark.createDataFrame(rows, "patient_root string, a string, b string, tag string, relation string, rule_version string, severity string, evidence_basis string")
+    once = tuple(links.violations(df).first())
+    assert once == (1, 1, 1, 2)  # a link without an end has no key
+    assert tuple(links.violations(df.repartition("patient_root", "tag"), within=("patient_root", "tag")).first()) == once
+    assert tuple(links.violations(df.where("severity = 'info'"), df.where("severity <> 'info'")).first()) == once
+    assert tuple(links.violations(df.limit(0)).first()) == (0, 0, 0, 0)
+    dealt = links.violations(df.repartition(3, "patient_root", "tag"), within=("patient_root", "tag"))._jdf.queryExecution().sparkPlan().toString()
+    whole = links.violations(df.repartition(3, "patient_root", "tag"), within=("patient_root", "tag"))._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in dealt and whole.count("Exchange hashpartitioning") == 1
