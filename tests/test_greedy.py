@@ -104,3 +104,40 @@ def test_retrieval(spark):
     assert run(hidden=spark.createDataFrame([("note",)], "fact_id string")) == {}
     small = run(budget=70)
     assert small["note"] == (0, "full") and {s for _, s in small.values()} <= {"full", "reference", "truncated"} and small["new"][1] == "truncated"
+
+
+def test_links_of_given_facts_are_those_of_all(spark):
+    """What finds links of given facts gives what all links give, through facts that were amended, and is asked for no others."""
+    facts = spark.createDataFrame([(f, "2020", f"{f} " * 30) for f in ("root", "note", "old", "older", "new", "gone", "far", "hid")], "fact_id string, ts string, text string")
+    edges = spark.createDataFrame([("note", "root")], "src string, dst string")
+    st = {"old": ("amended", "new"), "older": ("amended", "new"), "gone": ("retracted", None)}
+    status = spark.createDataFrame([(f, *st.get(f, ("active", f))) for f in ("root", "note", "old", "older", "new", "gone", "far", "hid")], "fact_id string, status string, current_id string")
+    rows = [("note", "old", "l1"), ("gone", "note", "l2"), ("far", "gone", "l3"), ("hid", "note", "l4"), ("older", "far", "l5"), ("old", "older", "l6"), ("hid", "far", "l7")]
+    lk = spark.createDataFrame([(*sorted(r[:2]), r[2], "info", "cooccurrence", "2020", "shared_tag", "t", "v") for r in rows], "a string, b string, link_id string, severity string, evidence_basis string, created_at string, relation string, tag string, rule_version string")
+    asked = []
+
+    def find(ids):
+        asked.append({r.fact_id for r in ids.collect()})
+        return links.ends_of(lk).join(ids.withColumnRenamed("fact_id", "src"), "src", "left_semi")
+
+    for start, depth, hidden in (("note", 2, None), ("far", 1, spark.createDataFrame([("hid",)], "fact_id string"))):
+        ask = spark.createDataFrame([("q", start)], "query string, fact_id string")
+        got, want = ([tuple(r) for r in retrieve.retrieve(ask, facts, edges, x, status, link_depth=depth, hidden=hidden).orderBy("place").collect()] for x in (find, lk))
+        assert got == want
+    assert asked[0] == {"note", "root"} and any({"new", "old", "older"} <= ids and "gone" not in ids for ids in asked)
+
+
+def test_groups_are_packed_as_they_go_by(spark):
+    """Groups that lie in several batches, one without a name, and rows without a time: as `pack_items` has each of them."""
+    rows = [(None if i % 5 == 0 else i % 5, f"f{i:04}", i % 4, i % 3, None if i % 7 == 0 else str(2000 + i % 9), 5 + i * 37 % 90) for i in range(400)]
+    items = spark.createDataFrame(rows, "query long, fact_id string, tier int, link_rank int, ts string, tokens long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = context.pack_demote(items, 900).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (r[2], r[3], r[4] is None, r[4] or "", r[1]))
+        want = [(r[1], r[2], n, *x) for n, (r, x) in enumerate(zip(mine, context.pack_items([r[5] for r in mine], 900, [r[2] < 3 for r in mine])), 1)]
+        assert sorted((tuple(r)[1:] for r in found if r.query == q), key=lambda r: r[2]) == want
+    assert "FlatMapGroups" not in context.pack_demote(items, 900)._jdf.queryExecution().executedPlan().toString()
