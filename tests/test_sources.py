@@ -5,7 +5,9 @@ import random
 from datetime import datetime, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import plain
 from factgraph.functions import ed25519, flatten
@@ -248,3 +250,14 @@ def test_content_equals_its_plain_form(spark):
     for r, (_, k, c) in zip(got, rows):
         held = flatten.parse(c)
         assert (r.s, r.t, r.l, r.w) == (plain.summary(k or "", held), plain.search_text(k or "", held), plain.render(k or "", held, 1), plain.render(k or "", held, 0)), (k, c)
+
+
+def test_a_worker_holds_a_bounded_part_of_a_batch(spark):
+    """What a worker holds of frames and logs doesn't follow from how many rows Spark hands it at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(2_500)]), pa.array([b""] * 2_500)], names=["path", "content"])
+    assert [len(path) for path, _ in frames._parts([batch])] == [frames.ROWS, frames.ROWS, 500]
+    ident = F.sha2(F.concat(F.lit("t"), "id"), 256)
+    facts = spark.range(0, 2_500, 1, 1).select(ident.alias("fact_id"), F.concat(F.lit("t"), "id").alias("core"), F.concat(F.lit("P"), F.col("id") % 900).alias("patient_root"), F.lit("2020").alias("written_at"), F.col("id").alias("append_seq"))
+    logs = frames.append_frames(facts, segment=500).coalesce(1)
+    assert frames.verify(logs).agg(F.sum("frames"), F.bool_or("damaged"), F.sum("failed_hashes"), F.count("*")).first() == (2_500, False, 0, facts.select("patient_root", F.floor(F.col("append_seq") / 500)).distinct().count())
+    assert frames.frames(logs).where("verified").select("fact_id", "core").exceptAll(facts.select("fact_id", "core")).isEmpty()
