@@ -252,6 +252,18 @@ def test_content_equals_its_plain_form(spark):
         assert (r.s, r.t, r.l, r.w) == (plain.summary(k or "", held), plain.search_text(k or "", held), plain.render(k or "", held, 1), plain.render(k or "", held, 0)), (k, c)
 
 
+def test_content_is_walked_once_for_all_texts(spark):
+    kinds = ("fhir_observation", "clinical_note", "x", None)
+    texts = ["{}", "null", "{bad", None, '{"code":{"coding":[{"code":"c"}]},"valueQuantity":{"value":-0.0004,"unit":"u"}}', '{"raw_text":"# h\\nx","a":["é","z",["<&",{"b":""}]]}', '{"a":"[{","n":1e21,"c":{"d":[[["deep"]]]}}']
+    rows = [(i, k, c) for i, (k, c) in enumerate((k, c) for k in kinds for c in texts)]
+    df = flatten.with_texts(spark.createDataFrame(rows, "i int, type string, content string"))
+    for r, (_, k, c) in zip(df.orderBy("i").collect(), rows):
+        held = flatten.parse(c)
+        assert (r.summary, r.text, r.line, r.whole) == (plain.summary(k or "", held), plain.search_text(k or "", held), plain.render(k or "", held, 1), plain.render(k or "", held, 0)), (k, c)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1 and plan.count("to_json") + plan.count("StructsToJson") <= 2, plan
+
+
 def test_a_worker_holds_a_bounded_part_of_a_batch(spark):
     """What a worker holds of frames and logs doesn't follow from how many rows Spark hands it at a time."""
     batch = pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(2_500)]), pa.array([b""] * 2_500)], names=["path", "content"])
