@@ -64,6 +64,26 @@ def test_links_of_facts_equal_those_of_all(spark):
         links.cooccurrence_of(links.rare(_tags(spark)), ids, links.CooccurrenceRule(min_shared=2))
 
 
+def test_facts_with_all_their_tags_move_whole(spark):
+    whole = _tags(spark).where("tag is not null").groupBy("patient_root", "fact_id", "ts").agg(F.collect_list("tag").alias("tags"))
+    for make in (links.tag_frequency, links.rare, links.cooccurrence, links.cooccurrence_capped, lambda t: links.curated(t, _rules(spark))):
+        found = make(whole)
+        assert sorted(map(str, found.collect())) == sorted(map(str, make(_tags(spark).where("tag is not null")).collect()))
+    plan = links.rare(whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression")  # printed from the top: taken apart after the move
+
+
+def test_links_keep_what_asks_for_them(spark):
+    """One table of tags serves both kinds of links, and links that come with their query are those that are joined with it."""
+    rows = links.rare_or_named(_tags(spark), _rules(spark))
+    asked = spark.createDataFrame([("q1", "f1"), ("q2", "f1"), ("q2", "f7"), ("q2", "none")], "query string, fact_id string")
+    for find in (lambda ids: links.cooccurrence_of(rows.where("rare"), ids), lambda ids: links.curated_of(rows, _rules(spark), ids)):
+        want = asked.join(find(asked.select("fact_id")), F.col("fact_id") == F.col("src"))
+        names = ("query", "src", "dst", "tag", "created_at")
+        assert _rows(find(asked), *names) == _rows(want, *names)
+    assert sorted(map(str, rows.where("rare").drop("rare").collect())) == sorted(map(str, links.rare(_tags(spark)).collect()))
+
+
 @pytest.mark.parametrize("depth", [1, 2])
 def test_expansion_asks_for_the_links_of_each_level(spark, depth):
     every, asked = _all(spark), []
